@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysis is a scheduled monthly batch with no watermark, window, state or
+late-data handling, so there is no streaming plan here. A recurring run is a
+batch job triggered by the scheduler; see ``salesflow.plans.pipeline``.
+"""
