@@ -66,34 +66,67 @@ def round1(c: Column) -> Column:
 # Parsing free text
 # ---------------------------------------------------------------------------
 
-def na_to_null(c: Column) -> Column:
-    """Map spreadsheet missing-value tokens to NULL; keep everything else."""
-    return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+def _q(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
+def na_to_null_sql(expr: str) -> str:
+    """SQL text: ``expr`` with spreadsheet missing-value tokens mapped to NULL."""
+    tokens = ", ".join(_q(t) for t in NA_TOKENS)
+    return f"CASE WHEN {expr} IN ({tokens}) THEN NULL ELSE {expr} END"
 
-def try_number(c: Column) -> Column:
-    """Text to double; anything that is not a plain number gives NULL.
+
+def try_number_sql(expr: str) -> str:
+    """SQL text: ``expr`` (text) as double, NULL unless it is a plain number.
 
     The pattern guard rejects forms Spark's cast would accept but a numeric
     coercion would not (``12d``, ``12f``, ``nan``, ``Infinity``).
     """
-    s = c.cast("string")
-    return F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
+    return (f"CASE WHEN CAST({expr} AS STRING) RLIKE {_q(NUMBER_PATTERN)} "
+            f"THEN TRY_CAST(TRIM(CAST({expr} AS STRING)) AS DOUBLE) END")
 
 
-def cn_date(c: Column) -> Column:
-    """Parse a free-text date such as '2024年3月15日' into timestamp_ntz.
+def cn_date_sql(expr: str) -> str:
+    """SQL text: a free-text date such as '2024年3月15日' as timestamp_ntz.
 
-    Blank or unparseable text gives NULL. Invalid calendar dates
-    (2024-2-30, month 13) give NULL because each format is tried with
+    Blank or unparseable text gives NULL; invalid calendar dates (2024-2-30,
+    month 13) give NULL because every format is tried with
     ``try_to_timestamp``.
     """
+    s = (f"replace(replace(replace(trim(CAST({expr} AS STRING)), {_q(CN_YEAR)}, '-'), "
+         f"{_q(CN_MONTH)}, '-'), {_q(CN_DAY)}, '')")
+    tries = ", ".join(f"try_to_timestamp({s}, {_q(f)})" for f in DATE_FORMATS)
+    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
+
+
+def na_to_null(c: Column | str) -> Column:
+    """Map spreadsheet missing-value tokens to NULL; keep everything else."""
+    if isinstance(c, str):
+        return F.expr(na_to_null_sql(_ident(c)))
+    return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+
+
+def try_number(c: Column | str) -> Column:
+    """Text to double; anything that is not a plain number gives NULL."""
+    if isinstance(c, str):
+        return F.expr(try_number_sql(_ident(c)))
+    s = c.cast("string")
+    return F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
+
+
+def cn_date(c: Column | str) -> Column:
+    """Parse a free-text date such as '2024年3月15日' into timestamp_ntz."""
+    if isinstance(c, str):
+        return F.expr(cn_date_sql(_ident(c)))
     s = F.trim(c.cast("string"))
     s = F.replace(F.replace(F.replace(s, F.lit(CN_YEAR), F.lit("-")),
                             F.lit(CN_MONTH), F.lit("-")),
                   F.lit(CN_DAY), F.lit(""))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    return F.when(s != "", parsed.cast("timestamp_ntz"))
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
 
 
 def month_of(ts: Column) -> Column:

@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.functions.columns import (
-    MONEY, cn_date, month_of, na_to_null, percent1, try_number,
+    MONEY, cn_date_sql, month_of, na_to_null_sql, percent1, try_number_sql,
 )
 from salesflow.operators.quantile import exact_quantile
-from salesflow.session import ensure_checkpoint_dir
 from salesflow.sources.catalog import DEALER_SHEET_RENAME
 
 # ---------------------------------------------------------------------------
@@ -160,37 +159,27 @@ def inventory(src, keep_decimal: bool = False) -> DataFrame:
 def dealer_typed(src) -> DataFrame:
     """Every dealer row with typed cells (NULL where a cell does not parse).
 
-    Projections only: the text parsing must not be copied into pushed-down
-    filters, so filtering happens after the typed rows are staged.
+    Missing-value tokens are mapped in one projection and typed in the next,
+    so each cell is cleaned once per row.
     """
     raw = src.table("dealer_sheet")
     renamed = raw.withColumnsRenamed({k: v for k, v in DEALER_SHEET_RENAME.items() if k in raw.columns})
-    cells = renamed.select(*[na_to_null(F.col(c).cast("string")).alias(c)
-                             for c in DEALER_SHEET_RENAME.values()])
-    return cells.select(
+    cells = renamed.selectExpr(*[f"{na_to_null_sql(f'CAST(`{c}` AS STRING)')} AS {c}"
+                                 for c in DEALER_SHEET_RENAME.values()])
+    return cells.selectExpr(
         "order_id",
-        cn_date(F.col("date_str")).alias("order_date"),
+        f"{cn_date_sql('date_str')} AS order_date",
         "customer_name", "product_name",
-        try_number(F.col("quantity")).alias("quantity"),
-        try_number(F.col("unit_price")).alias("unit_price"),
-        try_number(F.col("amount")).alias("amount"),
+        f"{try_number_sql('quantity')} AS quantity",
+        f"{try_number_sql('unit_price')} AS unit_price",
+        f"{try_number_sql('amount')} AS amount",
     )
 
 
-def dealer_clean(src, stage: bool = True) -> DataFrame:
-    """Dealer rows with a date and all of amount, price, quantity and customer.
-
-    The cap needs a full pass over these rows before the filtering pass, so
-    with ``stage`` the typed rows are checkpointed once into the session's
-    checkpoint folder (reliable storage; survives executor loss) and both
-    passes read that copy instead of parsing the text twice.
-    """
-    typed = dealer_typed(src)
-    if stage:
-        ensure_checkpoint_dir(typed.sparkSession)
-        typed = typed.checkpoint(eager=True)
-    return (typed.filter(F.col("order_date").isNotNull())
-                 .dropna(subset=["amount", "unit_price", "quantity", "customer_name"]))
+def dealer_clean(src) -> DataFrame:
+    """Dealer rows with a date and all of amount, price, quantity and customer."""
+    return (dealer_typed(src).filter(F.col("order_date").isNotNull())
+            .dropna(subset=["amount", "unit_price", "quantity", "customer_name"]))
 
 
 def dealer_price_cap(src, q: float = DEALER_PRICE_QUANTILE) -> DataFrame:
@@ -249,14 +238,25 @@ def all_orders(src, channel: str = CHANNEL_ALL, shop: DataFrame | None = None,
                dealer: DataFrame | None = None) -> DataFrame:
     """Shop and dealer lines in one table, optionally narrowed to one channel.
 
-    ``channel`` is a literal per branch, so a channel filter removes the
-    other branch from the plan entirely.
+    ``channel`` is a literal per branch: a branch the filter excludes is not
+    built at all. The ERP channel is accepted but no row carries it, so its
+    result is empty.
     """
     if channel not in CHANNELS:
         raise ValueError(f"channel must be one of {CHANNELS}, got {channel!r}")
-    shop = orders_fact(src) if shop is None else shop
-    dealer = dealer_orders(src) if dealer is None else dealer
-    shop_rows = shop.select(
+    parts = []
+    if channel in (CHANNEL_ALL, CHANNEL_SHOP, CHANNEL_ERP):
+        parts.append(_shop_rows(orders_fact(src) if shop is None else shop))
+    if channel in (CHANNEL_ALL, CHANNEL_DEALER, CHANNEL_ERP):
+        parts.append(_dealer_rows(dealer_orders(src) if dealer is None else dealer))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if channel != CHANNEL_ALL:
+        out = out.filter(F.col("channel") == channel)
+    return out
+
+
+def _shop_rows(shop: DataFrame) -> DataFrame:
+    return shop.select(
         F.col("order_item_id").cast("bigint").alias("order_item_id"),
         F.col("order_id").cast("string").alias("order_id"),
         "order_date", "customer_name", "product_name",
@@ -264,7 +264,10 @@ def all_orders(src, channel: str = CHANNEL_ALL, shop: DataFrame | None = None,
         "unit_price", "amount", "status", "order_month",
         F.lit(CHANNEL_SHOP).alias("channel"),
     )
-    dealer_rows = dealer.select(
+
+
+def _dealer_rows(dealer: DataFrame) -> DataFrame:
+    return dealer.select(
         F.lit(None).cast("bigint").alias("order_item_id"),
         F.col("order_id").cast("string").alias("order_id"),
         "order_date", "customer_name", "product_name",
@@ -273,7 +276,3 @@ def all_orders(src, channel: str = CHANNEL_ALL, shop: DataFrame | None = None,
         F.col("amount").cast("double").alias("amount"),
         "status", "order_month", "channel",
     )
-    out = shop_rows.unionByName(dealer_rows)
-    if channel != CHANNEL_ALL:
-        out = out.filter(F.col("channel") == channel)
-    return out

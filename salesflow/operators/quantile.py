@@ -17,7 +17,7 @@ Nothing is collected to the driver; the result is a one-row DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,42 +27,57 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
 
 
+_QUANTILE_SQL = """
+WITH counts AS (
+  SELECT v, COUNT(*) AS c
+  FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {df})
+  WHERE v IS NOT NULL
+  GROUP BY v),
+sliced AS (
+  SELECT v, c, spark_partition_id() AS slice
+  FROM (SELECT /*+ REPARTITION_BY_RANGE({buckets}, v) */ v, c FROM counts)),
+slices AS (
+  SELECT slice,
+         coalesce(sum(slice_n) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS offset,
+         sum(slice_n) OVER () AS n
+  FROM (SELECT slice, sum(c) AS slice_n FROM sliced GROUP BY slice)),
+targets AS (
+  SELECT slice, offset, n, pos, floor(pos) AS lo_rank, least(floor(pos) + 1, n - 1) AS hi_rank
+  FROM (SELECT *, CAST(n - 1 AS DOUBLE) * {q}D AS pos FROM slices)),
+ranked AS (
+  SELECT /*+ BROADCAST(t) */ s.v, t.n, t.pos, t.lo_rank, t.hi_rank,
+         t.offset + sum(s.c) OVER (PARTITION BY s.slice ORDER BY s.v
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM sliced s JOIN targets t ON s.slice = t.slice),
+picked AS (
+  SELECT max(n) AS n, max(pos) AS pos, max(lo_rank) AS lo_rank,
+         min(CASE WHEN cum > lo_rank THEN v END) AS lo_value,
+         min(CASE WHEN cum > hi_rank THEN v END) AS hi_value
+  FROM ranked)
+SELECT coalesce(n, 0) AS n, lo_value, hi_value, pos - lo_rank AS frac FROM picked
+"""
+
+
 def exact_quantile(df: DataFrame, column: str, q: float, buckets: int | None = None) -> DataFrame:
     """One row: ``n`` (non-null count), ``lo_value``, ``hi_value`` and ``value``.
 
     ``value`` is the q-quantile of the non-null values of ``column`` with
     linear interpolation between order statistics ``floor((n-1)q)`` and the
-    next one; NULL when there are no values.
+    next one; NULL when there are no values. The ``targets`` table joined
+    back by broadcast has one row per slice, so its size is bounded by
+    ``buckets``.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be within [0, 1]")
     spark = df.sparkSession
     if buckets is None:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(1, buckets)
-
-    v = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    sliced = counts.repartitionByRange(buckets, "v").withColumn("slice", F.spark_partition_id())
-
-    slice_totals = sliced.groupBy("slice").agg(F.sum("c").alias("slice_n"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slice_totals.select(
-        "slice", F.coalesce(F.sum("slice_n").over(before), F.lit(0)).alias("offset"))
-
-    running = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # `offsets` has one row per slice, so its size is bounded by `buckets`.
-    ranked = (sliced.join(F.broadcast(offsets), "slice")
-              .select("v", (F.col("offset") + F.sum("c").over(running)).alias("cum")))
-
-    n = counts.agg(F.sum("c").alias("n")).scalar()
-    pos = (n - F.lit(1)).cast("double") * F.lit(float(q))
-    lo_rank = F.floor(pos)
-    hi_rank = F.least(lo_rank + F.lit(1), n - F.lit(1))
-    picked = ranked.agg(
-        F.min(F.when(F.col("cum") > lo_rank, F.col("v"))).alias("lo_value"),
-        F.min(F.when(F.col("cum") > hi_rank, F.col("v"))).alias("hi_value"),
-    )
+    buckets = max(1, int(buckets))
+    col = "`" + column.replace("`", "``") + "`"
+    text = _QUANTILE_SQL.replace("{column}", col).replace("{buckets}", str(buckets)) \
+                        .replace("{q}", repr(float(q)))
+    picked = spark.sql(text, df=df)
     return picked.select(
-        n.alias("n"), "lo_value", "hi_value",
-        lerp(F.col("lo_value"), F.col("hi_value"), pos - lo_rank).alias("value"))
+        "n", "lo_value", "hi_value",
+        lerp(F.col("lo_value"), F.col("hi_value"), F.col("frac")).alias("value"))

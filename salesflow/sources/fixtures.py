@@ -14,10 +14,15 @@ check every query independently.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.sources.catalog import DEALER_SHEET_COLUMNS
+from salesflow.session import shared_dir
+from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA, SOURCE_TABLES
+
+# Bump when the derived dealer sheet changes, so stale landing copies are not reused.
+LANDING_VERSION = "v1"
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
@@ -34,16 +39,45 @@ class FixtureCatalog:
     ``product_names='unique'`` names each product ``"<p_name> #<partkey>"``;
     ``'raw'`` uses the bare ``p_name`` (few distinct values), which makes the
     name join of category sales fan out.
+
+    With ``land=True`` (default) each derived source table is written once as
+    Parquet under the session's shared folder (``landing/...``) and read back
+    from there, the way the operational tables exist as files or database
+    tables for the real job. ``land=False`` keeps every table a lazy plan
+    over the test tables.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, product_names: str = "unique"):
+    def __init__(self, spark: SparkSession, sf_dir: str, product_names: str = "unique",
+                 land: bool = True):
         if product_names not in ("unique", "raw"):
             raise ValueError(f"product_names must be 'unique' or 'raw', got {product_names!r}")
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.product_names = product_names
+        self.land = land
+
+    def landing_path(self, name: str) -> str:
+        slug = "".join(ch if ch.isalnum() else "_" for ch in self.sf_dir.strip("/"))
+        return shared_dir(self.spark, f"landing/{LANDING_VERSION}/{slug}_{self.product_names}/{name}")
+
+    def landed(self, name: str) -> DataFrame:
+        """The landed copy of a source table, written on first use."""
+        path = self.landing_path(name)
+        reader = self.spark.read
+        if name == "dealer_sheet":
+            reader = reader.schema(DEALER_SHEET_SCHEMA)
+        try:
+            return reader.parquet(path)
+        except AnalysisException:
+            self.derive(name).write.mode("overwrite").parquet(path)
+            return reader.parquet(path)
 
     # -- raw test tables ---------------------------------------------------
+    def land_all(self) -> None:
+        """Land every source table now (otherwise each lands on first use)."""
+        for name in SOURCE_TABLES:
+            self.table(name)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -54,10 +88,13 @@ class FixtureCatalog:
 
     # -- operational tables ------------------------------------------------
     def table(self, name: str) -> DataFrame:
-        builder = getattr(self, f"_t_{name}", None)
-        if builder is None:
+        if not hasattr(self, f"_t_{name}"):
             raise KeyError(f"unknown source table {name!r}")
-        return builder()
+        return self.landed(name) if self.land else self.derive(name)
+
+    def derive(self, name: str) -> DataFrame:
+        """The source table as a plan over the test tables."""
+        return getattr(self, f"_t_{name}")()
 
     def _t_products(self) -> DataFrame:
         p = self.raw("part")
