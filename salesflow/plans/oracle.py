@@ -229,8 +229,45 @@ from c_all_orders o join c_products p on o.product_name is not distinct from p.p
 where p.category is not null group by p.category"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _dq_rows(table: str, cte: str, schema_rules: list[str], data_rules: list[str]) -> str:
+    parts = [f"select '{table}' table_name, 'nonempty' rule, "
+             f"cast(case when total = 0 then 1 else 0 end as bigint) violations, total, total > 0 passed from {cte}"]
+    parts += [f"select '{table}', '{r}', cast(0 as bigint), total, true from {cte}" for r in schema_rules]
+    parts += [f"select '{table}', '{r}', cast({r} as bigint), total, {r} = 0 from {cte}" for r in data_rules]
+    return "\nunion all ".join(parts)
+
+
+def _fails(cond: str) -> str:
+    return f"count_if(not coalesce({cond}, false))"
+
+
+DQ_REPORT = f"""
+, dq_products AS (select count(*) total, {_fails('gross_margin_pct >= 0')} margin_nonneg from c_products),
+dq_customers AS (select count(*) total, {_fails('customer_name is not null')} name_notnull from c_customers),
+dq_orders AS (select count(*) total, {_fails('amount >= 0')} amount_nonneg from c_orders),
+dq_inventory AS (select count(*) total, {_fails('current_stock >= 0')} stock_nonneg from c_inventory),
+dq_dealer AS (select count(*) total, {_fails("channel = '经销商'")} channel_const,
+                     {_fails('amount is not null')} amount_notnull, {_fails('amount > 0')} amount_pos from c_dealer),
+dq_collections AS (select count(*) total, {_fails('receivable is not null')} receivable_notnull from c_collections)
+{_dq_rows('products', 'dq_products', ['columns'], ['margin_nonneg'])}
+union all {_dq_rows('customers', 'dq_customers', ['columns'], ['name_notnull'])}
+union all {_dq_rows('orders', 'dq_orders', ['columns', 'date_type'], ['amount_nonneg'])}
+union all {_dq_rows('inventory', 'dq_inventory', ['columns'], ['stock_nonneg'])}
+union all {_dq_rows('dealer_orders', 'dq_dealer', ['columns'], ['channel_const', 'amount_notnull', 'amount_pos'])}
+union all {_dq_rows('collections', 'dq_collections', ['columns'], ['receivable_notnull'])}
+union all select 'all_orders', 'contract', cast(0 as bigint), total, true from dq_orders"""
+
+
+def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
+    def snap(cte: str) -> str:
+        return _q(f"select *, '{snapshot_month}' report_month from {cte}")
+
     return {
+        "dq_report": "WITH " + ctes().strip() + DQ_REPORT,
+        "snapshot_products": snap("c_products"),
+        "snapshot_orders": snap("c_all_orders"),
+        "snapshot_inventory": snap("c_inventory"),
+        "snapshot_collections": snap("c_collections"),
         "products": _q("select * from c_products"),
         "customers": _q("select * from c_customers"),
         "orders_fact": _q("select * from c_orders"),

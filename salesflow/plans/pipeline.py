@@ -187,14 +187,15 @@ class Analysis:
         root = base or shared_dir(spark, "snapshots")
         return f"{root.rstrip('/')}/report_{table}"
 
+    def save_snapshot(self, table: str, base: str | None = None, replace_month: bool = False) -> bool:
+        """Append one cleaned table under the report month; empty stock/payments are skipped."""
+        return write_snapshot(self.snapshot_sources()[table], self.snapshot_path(table, base),
+                              self.params.report_month, replace_month=replace_month,
+                              skip_empty=table in ("inventory", "collections"))
+
     def save_snapshots(self, base: str | None = None, replace_month: bool = False) -> dict[str, bool]:
-        """Append each cleaned table under the report month; empty stock/payments are skipped."""
-        written = {}
-        for table, df in self.snapshot_sources().items():
-            written[table] = write_snapshot(
-                df, self.snapshot_path(table, base), self.params.report_month,
-                replace_month=replace_month, skip_empty=table in ("inventory", "collections"))
-        return written
+        """Append every cleaned table under the report month (never overwriting by default)."""
+        return {t: self.save_snapshot(t, base, replace_month) for t in SNAPSHOT_TABLES}
 
     def read_snapshot(self, table: str, base: str | None = None, month: str | None = None) -> DataFrame:
         df = self.snapshot_sources()[table]

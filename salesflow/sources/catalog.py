@@ -132,3 +132,15 @@ class SourceCatalog:
         """Every table at ``{base}/{name}`` (a Parquet file or folder)."""
         base = base.rstrip("/")
         return cls(spark, {t: SourceSpec("parquet", f"{base}/{t}") for t in SOURCE_TABLES})
+
+
+class FrameCatalog:
+    """Name → DataFrame, for tables already in hand (tests, notebooks)."""
+
+    def __init__(self, frames: Mapping[str, DataFrame]):
+        self.frames = dict(frames)
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.frames:
+            raise KeyError(f"no frame for table {name!r}")
+        return self.frames[name]
