@@ -52,6 +52,11 @@ def _msum(x: str) -> str:
     return f"coalesce(cast(sum(cast({x} as decimal(18,2))) as double), 0)"
 
 
+def _k(x: str) -> str:
+    """Whole number with thousands separators."""
+    return f"format('{{:,.0f}}', cast({x} as double))"
+
+
 def _pct(num: str, den: str) -> str:
     return _r1(f"(cast({num} as double) / nullif(cast({den} as double), 0)) * 100")
 
@@ -310,9 +315,11 @@ from (select status, count(*) order_lines from c_all_orders where status is not
         "debt_top": _q("select * from m_debt_top"),
         "receivable_totals": _q("select * from m_receivable_totals"),
         "report_headline": _q(f"""
-select {_r0(_msum('amount'))} total_sales, count(*) order_lines,
-       (select count(*) from c_products) products, (select count(*) from c_customers) customers
-from c_all_orders"""),
+select *, '总销售额: ' || {_k('total_sales')} || ' 元 | 总订单: ' || {_k('order_lines')} || ' 条 | 产品: '
+          || cast(products as varchar) || ' 种 | 客户: ' || cast(customers as varchar) || ' 个' line
+from (select {_r0(_msum('amount'))} total_sales, count(*) order_lines,
+             (select count(*) from c_products) products, (select count(*) from c_customers) customers
+      from c_all_orders) h"""),
         "load_counts": _q("""
 select 'products' table_name, count(*) row_count from c_products
 union all select 'customers', count(*) from c_customers
@@ -323,18 +330,27 @@ union all select 'inventory', count(*) from c_inventory
 union all select 'collections', count(*) from c_collections"""),
         "digest": _q(f"""
 select 'latest_month' section, 1 rank, order_month label, cast(order_lines as double) value1, sales value2,
-       cast(null as double) value3
+       cast(null as double) value3,
+       '本月订单: ' || cast(order_lines as varchar) || ' 单 | 销售额: ' || {_k('sales')} || ' 元' line
 from (select * from m_monthly order by order_month desc limit 1) a
 union all
-select 'best_month', 1, order_month, cast(order_lines as double), sales, null
+select 'best_month', 1, order_month, cast(order_lines as double), sales, null,
+       '年度最高: ' || order_month || ' | ' || {_k('sales')} || ' 元'
 from (select * from m_monthly order by sales desc, order_month asc limit 1) b
 union all
-select 'top_product', row_number() over (order by quantity desc, product_name), product_name, quantity, sales, null
-from (select * from m_top_products order by quantity desc, product_name limit 5) c
+select 'top_product', rk, product_name, quantity, sales, null,
+       '  ' || cast(rk as varchar) || '. ' || product_name || ' — ' || cast(cast(quantity as bigint) as varchar)
+       || ' 件 / ' || {_k('sales')} || ' 元'
+from (select *, row_number() over (order by quantity desc, product_name) rk
+      from (select * from m_top_products order by quantity desc, product_name limit 5) c0) c
 union all
-select 'recovery', 1, null, recovery_pct, collected, receivable - collected
+select 'recovery', 1, null, recovery_pct, collected, receivable - collected,
+       '回款率: ' || format('{{:.1f}}', recovery_pct) || '% | 已回: ' || {_k('collected')} || ' | 未回: '
+       || {_k('receivable - collected')}
 from m_receivable_totals where receivable > 0
 union all
-select 'debtor', row_number() over (order by outstanding desc, customer_name), customer_name, outstanding, null, null
-from (select * from m_debt_top order by outstanding desc, customer_name limit 3) d"""),
+select 'debtor', rk, customer_name, outstanding, null, null,
+       '  ' || customer_name || ' — 未回款 ' || {_k('outstanding')} || ' 元'
+from (select *, row_number() over (order by outstanding desc, customer_name) rk
+      from (select * from m_debt_top order by outstanding desc, customer_name limit 3) d0) d"""),
     }

@@ -15,19 +15,52 @@ from salesflow.functions.columns import money_sum, round0
 
 DIGEST_TOP_PRODUCTS = 5
 DIGEST_TOP_DEBTORS = 3
+
+# ---------------------------------------------------------------------------
+# The digest's line texts ({n} = thousands-separated integer)
+# ---------------------------------------------------------------------------
 EXPIRY_OK = "正常"   # expiry status of a batch that needs no alert
+LINE_LATEST = "本月订单: {lines} 单 | 销售额: {sales} 元"
+LINE_BEST = "年度最高: {month} | {sales} 元"
+LINE_PRODUCT = "  {rank}. {name} — {qty} 件 / {sales} 元"
+LINE_RECOVERY = "回款率: {rate}% | 已回: {collected} | 未回: {uncollected}"
+LINE_ALERT = "库存预警: {n} 批次临期或过期，请通知仓库主管"
+LINE_DEBTOR = "  {name} — 未回款 {outstanding} 元"
+LINE_HEADLINE = "总销售额: {sales} 元 | 总订单: {lines} 条 | 产品: {products} 种 | 客户: {customers} 个"
+
+
+def _thousands(c):
+    """Whole number with thousands separators, ties to even ('1,234')."""
+    return F.format_number(c.cast("double"), 0)
+
+
+def _fill(template: str, **parts):
+    """Build ``template`` from literal text and Column parts (NULL if any part is NULL)."""
+    out, rest = [], template
+    while "{" in rest:
+        head, tail = rest.split("{", 1)
+        key, rest = tail.split("}", 1)
+        if head:
+            out.append(F.lit(head))
+        out.append(parts[key].cast("string"))
+    if rest:
+        out.append(F.lit(rest))
+    return F.concat(*out)
 
 
 def report_headline(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
-    """One row: total sales, order lines, catalogue rows and active customers."""
+    """One row: total sales, order lines, catalogue rows, active customers and the text line."""
+    c = F.col
     return orders.agg(
-        round0(money_sum(F.col("amount"))).alias("total_sales"),
+        round0(money_sum(c("amount"))).alias("total_sales"),
         F.count(F.lit(1)).alias("order_lines"),
     ).select(
         "total_sales", "order_lines",
         products.agg(F.count(F.lit(1))).scalar().alias("products"),
         customers.agg(F.count(F.lit(1))).scalar().alias("customers"),
-    )
+    ).withColumn("line", _fill(LINE_HEADLINE, sales=_thousands(c("total_sales")),
+                               lines=_thousands(c("order_lines")), products=c("products"),
+                               customers=c("customers")))
 
 
 def load_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -47,44 +80,58 @@ def inventory_alert_count(inv: DataFrame):
 
 def digest(monthly: DataFrame, top_products: DataFrame, totals: DataFrame,
            debt_top: DataFrame, inv: DataFrame | None = None) -> DataFrame:
-    """The text digest as rows: (section, rank, label, value1, value2, value3).
+    """The text digest as rows: (section, rank, label, value1, value2, value3, line).
 
     Sections: ``latest_month`` and ``best_month`` (lines, sales);
     ``top_product`` 1..5 (quantity, sales); ``recovery`` (rate, collected,
     uncollected) when anything is receivable; ``inventory_alert`` (count)
-    when positive; ``debtor`` 1..3 (outstanding).
+    when positive; ``debtor`` 1..3 (outstanding). ``line`` is the digest's
+    text line for the row.
     """
-    def row(section, rank, label, v1, v2=None, v3=None):
+    def row(section, rank, label, line, v1, v2=None, v3=None):
         none = F.lit(None).cast("double")
         return [F.lit(section).alias("section"), rank.cast("bigint").alias("rank"),
                 label.cast("string").alias("label"),
                 (none if v1 is None else v1.cast("double")).alias("value1"),
                 (none if v2 is None else v2.cast("double")).alias("value2"),
-                (none if v3 is None else v3.cast("double")).alias("value3")]
-
-    one = F.lit(1)
-    latest = (monthly.orderBy(F.col("order_month").desc()).limit(1)
-              .select(*row("latest_month", one, F.col("order_month"), F.col("order_lines"), F.col("sales"))))
-    best = (monthly.orderBy(F.col("sales").desc(), F.col("order_month").asc()).limit(1)
-            .select(*row("best_month", one, F.col("order_month"), F.col("order_lines"), F.col("sales"))))
-    w_prod = Window.orderBy(F.col("quantity").desc(), F.col("product_name").asc())
-    prods = (top_products.orderBy(F.col("quantity").desc(), F.col("product_name").asc())
+                (none if v3 is None else v3.cast("double")).alias("value3"),
+                line.alias("line")]
+
+    c, one = F.col, F.lit(1)
+    latest = (monthly.orderBy(c("order_month").desc()).limit(1)
+              .select(*row("latest_month", one, c("order_month"),
+                           _fill(LINE_LATEST, lines=c("order_lines"), sales=_thousands(c("sales"))),
+                           c("order_lines"), c("sales"))))
+    best = (monthly.orderBy(c("sales").desc(), c("order_month").asc()).limit(1)
+            .select(*row("best_month", one, c("order_month"),
+                         _fill(LINE_BEST, month=c("order_month"), sales=_thousands(c("sales"))),
+                         c("order_lines"), c("sales"))))
+    w_prod = Window.orderBy(c("quantity").desc(), c("product_name").asc())
+    rank = F.row_number().over(w_prod)
+    prods = (top_products.orderBy(c("quantity").desc(), c("product_name").asc())
              .limit(DIGEST_TOP_PRODUCTS)
-             .select(*row("top_product", F.row_number().over(w_prod), F.col("product_name"),
-                          F.col("quantity"), F.col("sales"))))
-    recovery = (totals.filter(F.col("receivable") > 0)
-                .select(*row("recovery", one, F.lit(None), F.col("recovery_pct"), F.col("collected"),
-                             F.col("receivable") - F.col("collected"))))
-    w_debt = Window.orderBy(F.col("outstanding").desc(), F.col("customer_name").asc())
-    debtors = (debt_top.orderBy(F.col("outstanding").desc(), F.col("customer_name").asc())
+             .select(*row("top_product", rank, c("product_name"),
+                          _fill(LINE_PRODUCT, rank=rank, name=c("product_name"),
+                                qty=c("quantity").cast("bigint"), sales=_thousands(c("sales"))),
+                          c("quantity"), c("sales"))))
+    uncollected = c("receivable") - c("collected")
+    recovery = (totals.filter(c("receivable") > 0)
+                .select(*row("recovery", one, F.lit(None),
+                             _fill(LINE_RECOVERY, rate=F.format_string("%.1f", c("recovery_pct")),
+                                   collected=_thousands(c("collected")), uncollected=_thousands(uncollected)),
+                             c("recovery_pct"), c("collected"), uncollected)))
+    w_debt = Window.orderBy(c("outstanding").desc(), c("customer_name").asc())
+    debtors = (debt_top.orderBy(c("outstanding").desc(), c("customer_name").asc())
                .limit(DIGEST_TOP_DEBTORS)
-               .select(*row("debtor", F.row_number().over(w_debt), F.col("customer_name"),
-                            F.col("outstanding"))))
+               .select(*row("debtor", F.row_number().over(w_debt), c("customer_name"),
+                            _fill(LINE_DEBTOR, name=c("customer_name"),
+                                  outstanding=_thousands(c("outstanding"))),
+                            c("outstanding"))))
     parts = [latest, best, prods, recovery]
     if inv is not None and "expiry_status" in inv.columns:
-        alerts = (inv.agg(F.count_if(F.col("expiry_status") != EXPIRY_OK).alias("n"))
-                  .filter(F.col("n") > 0)
-                  .select(*row("inventory_alert", one, F.lit(None), F.col("n"))))
+        alerts = (inv.agg(F.count_if(c("expiry_status") != EXPIRY_OK).alias("n"))
+                  .filter(c("n") > 0)
+                  .select(*row("inventory_alert", one, F.lit(None), _fill(LINE_ALERT, n=c("n")), c("n"))))
         parts.append(alerts)
     parts.append(debtors)
     return reduce(DataFrame.unionByName, parts)
