@@ -74,7 +74,9 @@ def jdbc_options_from_env(prefix: str, environ: Mapping[str, str] | None = None)
 class SourceSpec:
     """How to read one table.
 
-    format: ``parquet`` | ``orc`` | ``csv`` | ``json`` | ``table`` | ``jdbc``.
+    format: ``parquet`` | ``orc`` | ``csv`` | ``json`` | ``table`` | ``sql`` | ``jdbc``.
+    ``table`` reads a metastore table named by ``path``; ``sql`` runs the SQL
+    text in ``path`` over the session's tables and views.
     For ``jdbc`` give ``options`` with url/driver/credentials and either
     ``dbtable`` or ``query``; add ``partitionColumn``/``lowerBound``/
     ``upperBound``/``numPartitions`` for a parallel read.
@@ -88,6 +90,8 @@ class SourceSpec:
     def read(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
             return spark.table(self.path)
+        if self.format == "sql":
+            return spark.sql(self.path)
         reader = spark.read.format(self.format)
         if self.schema is not None:
             reader = reader.schema(self.schema)
@@ -121,11 +125,15 @@ class SourceCatalog:
     def __init__(self, spark: SparkSession, specs: Mapping[str, SourceSpec]):
         self.spark = spark
         self.specs = dict(specs)
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        """Lazy DataFrame of the table, built once per catalog."""
         if name not in self.specs:
             raise KeyError(f"no source configured for table {name!r}")
-        return self.specs[name].read(self.spark)
+        if name not in self._tables:
+            self._tables[name] = self.specs[name].read(self.spark)
+        return self._tables[name]
 
     @classmethod
     def parquet_dir(cls, spark: SparkSession, base: str) -> "SourceCatalog":

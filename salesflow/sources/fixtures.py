@@ -22,7 +22,7 @@ from salesflow.session import shared_dir
 from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA, SOURCE_TABLES
 
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
-LANDING_VERSION = "v1"
+LANDING_VERSION = "v2"
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
@@ -55,6 +55,7 @@ class FixtureCatalog:
         self.sf_dir = sf_dir.rstrip("/")
         self.product_names = product_names
         self.land = land
+        self._tables: dict[str, DataFrame] = {}
 
     def landing_path(self, name: str) -> str:
         slug = "".join(ch if ch.isalnum() else "_" for ch in self.sf_dir.strip("/"))
@@ -69,7 +70,10 @@ class FixtureCatalog:
         try:
             return reader.parquet(path)
         except AnalysisException:
-            self.derive(name).write.mode("overwrite").parquet(path)
+            # One file per core, like a table in a lake (the test files hold a
+            # single row group each, which would leave scans with one task).
+            files = max(1, self.spark.sparkContext.defaultParallelism)
+            self.derive(name).repartition(files).write.mode("overwrite").parquet(path)
             return reader.parquet(path)
 
     # -- raw test tables ---------------------------------------------------
@@ -88,9 +92,12 @@ class FixtureCatalog:
 
     # -- operational tables ------------------------------------------------
     def table(self, name: str) -> DataFrame:
+        """The source table; the DataFrame (and its file listing) is built once per catalog."""
         if not hasattr(self, f"_t_{name}"):
             raise KeyError(f"unknown source table {name!r}")
-        return self.landed(name) if self.land else self.derive(name)
+        if name not in self._tables:
+            self._tables[name] = self.landed(name) if self.land else self.derive(name)
+        return self._tables[name]
 
     def derive(self, name: str) -> DataFrame:
         """The source table as a plan over the test tables."""
