@@ -55,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir (or salesflow.warehouse.dir) to a folder "
+                               "shared by the cluster; a machine-local folder cannot be used")
         conf_dir = tempfile.mkdtemp(prefix="salesflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
