@@ -32,17 +32,45 @@ def _money_dec(c):
     return c.cast(MONEY_ROW)
 
 
-# ---------------------------------------------------------------------------
-# Monthly trend, month over month, best / latest month
-# ---------------------------------------------------------------------------
-
-def monthly_trend(orders: DataFrame) -> DataFrame:
-    """Per month: order lines, sales and mean line amount (both rounded to 0)."""
-    g = orders.groupBy("order_month").agg(
+def _sales_aggs():
+    """Per-group sums every sales metric is finished from (one partial/final aggregate)."""
+    return [
         F.count("order_id").alias("order_lines"),
+        F.count(F.lit(1)).alias("_rows"),
         F.sum(_money_dec(F.col("amount"))).cast("double").alias("_sum"),
         F.count("amount").alias("_n"),
-    )
+        F.sum("quantity").alias("_qty"),
+    ]
+
+
+# Grouping of the one-pass rollup: name -> grouping key.
+ROLLUP_KEYS = {"month": "order_month", "product": "product_name",
+               "customer": "customer_name", "status": "status"}
+
+
+def sales_rollup(orders: DataFrame) -> DataFrame:
+    """Month, product, customer and status totals in one pass (GROUPING SETS).
+
+    One scan and one shuffle feed every sales metric; ``_level`` names the
+    grouping of each row. Rows whose key is NULL are kept here and dropped by
+    the finishing steps, as a per-key group-by would.
+    """
+    keys = list(ROLLUP_KEYS.values())
+    g = orders.groupingSets([[k] for k in keys], *keys).agg(
+        *_sales_aggs(), F.grouping_id(*keys).alias("_gid"))
+    level = F.lit(None).cast("string")
+    for i, (name, key) in enumerate(ROLLUP_KEYS.items()):
+        gid = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))   # only `key` grouped
+        level = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(level)
+    return g.withColumn("_level", level).drop("_gid")
+
+
+def rollup_level(rollup: DataFrame, name: str) -> DataFrame:
+    """The rows of one grouping of ``sales_rollup``."""
+    return rollup.filter(F.col("_level") == name)
+
+
+def _finish_monthly(g: DataFrame) -> DataFrame:
     return g.filter(F.col("order_month").isNotNull()).select(
         "order_month", "order_lines",
         round0(F.coalesce(F.col("_sum"), F.lit(0.0))).alias("sales"),
@@ -50,6 +78,33 @@ def monthly_trend(orders: DataFrame) -> DataFrame:
     )
 
 
+def _finish_products(g: DataFrame) -> DataFrame:
+    return (g.filter(F.col("product_name").isNotNull())
+            .select("product_name", F.coalesce(F.col("_qty"), F.lit(0.0)).alias("_qty"),
+                    F.coalesce(F.col("_sum"), F.lit(0.0)).alias("_sales")))
+
+
+def _finish_customers(g: DataFrame) -> DataFrame:
+    return (g.filter(F.col("customer_name").isNotNull())
+            .select("customer_name", "order_lines", F.coalesce(F.col("_sum"), F.lit(0.0)).alias("_spend")))
+
+
+def _finish_status(g: DataFrame) -> DataFrame:
+    total = F.sum("_rows").over(Window.partitionBy())
+    return (g.filter(F.col("status").isNotNull())
+            .select("status", F.col("_rows").alias("order_lines"),
+                    round1(F.lit(100.0) * ratio(F.col("_rows"), total)).alias("share_pct")))
+
+
+# ---------------------------------------------------------------------------
+# Monthly trend, month over month, best / latest month
+# ---------------------------------------------------------------------------
+
+def monthly_trend(orders: DataFrame) -> DataFrame:
+    """Per month: order lines, sales and mean line amount (both rounded to 0)."""
+    return _finish_monthly(orders.groupBy("order_month").agg(*_sales_aggs()))
+
+
 def month_over_month(monthly: DataFrame) -> DataFrame:
     """Change of rounded monthly sales against the previous month present, in %.
 
@@ -83,15 +138,13 @@ def latest_month(monthly: DataFrame) -> DataFrame:
 
 def product_sales(orders: DataFrame) -> DataFrame:
     """Unrounded quantity and sales per product name."""
-    return (orders.filter(F.col("product_name").isNotNull())
-            .groupBy("product_name")
-            .agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("_qty"),
-                 money_sum(F.col("amount")).alias("_sales")))
+    return _finish_products(orders.filter(F.col("product_name").isNotNull())
+                            .groupBy("product_name").agg(*_sales_aggs()))
 
 
-def top_products(orders: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
-    """Top products by quantity sold."""
-    return (product_sales(orders)
+def top_products(orders: DataFrame, n: int = TOP_PRODUCTS, per_product: DataFrame | None = None) -> DataFrame:
+    """Top products by quantity sold (``per_product``: precomputed ``product_sales``)."""
+    return ((product_sales(orders) if per_product is None else per_product)
             .orderBy(F.col("_qty").desc(), F.col("product_name").asc())
             .limit(n)
             .select("product_name", round0(F.col("_qty")).alias("quantity"),
@@ -123,24 +176,22 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def _customer_totals(orders: DataFrame) -> DataFrame:
-    return (orders.filter(F.col("customer_name").isNotNull())
-            .groupBy("customer_name")
-            .agg(F.count("order_id").alias("order_lines"),
-                 money_sum(F.col("amount")).alias("_spend")))
+    return _finish_customers(orders.filter(F.col("customer_name").isNotNull())
+                             .groupBy("customer_name").agg(*_sales_aggs()))
 
 
-def customer_value(orders: DataFrame, n: int = TOP_CUSTOMERS) -> DataFrame:
+def customer_value(orders: DataFrame, n: int = TOP_CUSTOMERS, per_customer: DataFrame | None = None) -> DataFrame:
     """Top customers by number of order lines, with their spend."""
-    return (_customer_totals(orders)
+    return ((_customer_totals(orders) if per_customer is None else per_customer)
             .orderBy(F.col("order_lines").desc(), F.col("customer_name").asc())
             .limit(n)
             .select("customer_name", "order_lines", round0(F.col("_spend")).alias("spend")))
 
 
 def customer_value_series(orders: DataFrame, n: int = TOP_CUSTOMERS,
-                          labelled: int = LABELLED_CUSTOMERS) -> DataFrame:
+                          labelled: int = LABELLED_CUSTOMERS, per_customer: DataFrame | None = None) -> DataFrame:
     """``customer_value`` plus the scatter's bubble size and label flag."""
-    top = customer_value(orders, n)
+    top = customer_value(orders, n, per_customer)
     w = Window.orderBy(F.col("order_lines").desc(), F.col("customer_name").asc())
     return top.select(
         "customer_name", "order_lines", "spend",
@@ -151,11 +202,17 @@ def customer_value_series(orders: DataFrame, n: int = TOP_CUSTOMERS,
 
 def order_status(orders: DataFrame) -> DataFrame:
     """Lines per status with the share of all lines that have a status, in %."""
-    g = (orders.filter(F.col("status").isNotNull())
-         .groupBy("status").agg(F.count(F.lit(1)).alias("order_lines")))
-    total = F.sum("order_lines").over(Window.partitionBy())
-    return g.select("status", "order_lines",
-                    round1(F.lit(100.0) * ratio(F.col("order_lines"), total)).alias("share_pct"))
+    return _finish_status(orders.filter(F.col("status").isNotNull()).groupBy("status").agg(*_sales_aggs()))
+
+
+def from_rollup(rollup: DataFrame) -> dict[str, DataFrame]:
+    """Monthly, per-product, per-customer and per-status results of one ``sales_rollup``."""
+    return {
+        "monthly": _finish_monthly(rollup_level(rollup, "month")),
+        "product": _finish_products(rollup_level(rollup, "product")),
+        "customer": _finish_customers(rollup_level(rollup, "customer")),
+        "status": _finish_status(rollup_level(rollup, "status")),
+    }
 
 
 # ---------------------------------------------------------------------------
@@ -189,6 +246,35 @@ def low_stock(inv: DataFrame) -> DataFrame:
 # Receivables
 # ---------------------------------------------------------------------------
 
+def receivables_rollup(coll: DataFrame) -> dict[str, DataFrame]:
+    """Per-customer and grand totals of receivables in one pass (GROUPING SETS).
+
+    Returns ``{"by_customer": ..., "totals": ...}`` with the same columns as
+    ``receivables_by_customer`` and ``receivable_totals``.
+    """
+    g = coll.groupingSets([["customer_name"], []], "customer_name").agg(
+        money_sum(F.col("outstanding")).alias("outstanding"),
+        money_sum(F.col("receivable")).alias("receivable"),
+        money_sum(F.col("collected")).alias("collected"),
+        F.grouping_id("customer_name").alias("_gid"))
+    totals = (g.filter(F.col("_gid") == 1)
+              .select("receivable", "collected", "outstanding",
+                      F.when(F.col("receivable") > 0,
+                             percent1(F.col("collected"), F.col("receivable"))).alias("recovery_pct")))
+    total = totals.select("receivable").scalar()
+    by_customer = (g.filter((F.col("_gid") == 0) & F.col("customer_name").isNotNull() & (total > 0))
+                   .select("customer_name", "outstanding", "receivable", "collected",
+                           percent1(F.col("collected"), F.col("receivable")).alias("recovery_pct")))
+    return {"by_customer": by_customer, "totals": totals}
+
+
+def debt_top_of(by_customer: DataFrame, n: int = TOP_DEBTORS) -> DataFrame:
+    """Customers who still owe money, largest balance first, from per-customer totals."""
+    return (by_customer.filter(F.col("outstanding") > 0)
+            .orderBy(F.col("outstanding").desc(), F.col("customer_name").asc())
+            .limit(n))
+
+
 def receivable_totals(coll: DataFrame) -> DataFrame:
     """One row: total receivable, collected, outstanding and recovery rate.
 
@@ -219,7 +305,4 @@ def receivables_by_customer(coll: DataFrame) -> DataFrame:
 
 def debt_top(coll: DataFrame, n: int = TOP_DEBTORS) -> DataFrame:
     """Customers who still owe money, largest balance first."""
-    return (receivables_by_customer(coll)
-            .filter(F.col("outstanding") > 0)
-            .orderBy(F.col("outstanding").desc(), F.col("customer_name").asc())
-            .limit(n))
+    return debt_top_of(receivables_by_customer(coll), n)

@@ -73,3 +73,20 @@ def test_dq_report_counts_violations(spark):
     assert got[("dealer_orders", "amount_pos")] == (1, 1, False)
     assert got[("collections", "receivable_notnull")] == (1, 1, False)
     assert got[("all_orders", "contract")][0] == 0
+
+
+def test_full_run_matches_single_queries(fx):
+    """The one-pass rollups give exactly the per-key results."""
+    a = Analysis(fx, AnalysisParams())
+    run = Analysis(fx, AnalysisParams(one_pass=True)).run()
+    assert set(run) == set(a.run())
+    single = {
+        "monthly_trend": a.monthly_trend, "top_products": a.top_products,
+        "customer_value": a.customer_value(), "customer_value_series": a.customer_value_series(),
+        "order_status": a.order_status(), "month_over_month": a.month_over_month(),
+        "best_month": a.best_month(), "latest_month": a.latest_month(),
+        "receivables_by_customer": a.receivables_by_customer(), "debt_top": a.debt_top,
+        "receivable_totals": a.receivable_totals,
+    }
+    for name, df in single.items():
+        assert sorted(run[name].collect()) == sorted(df.collect()), name
