@@ -222,14 +222,17 @@ def from_rollup(rollup: DataFrame) -> dict[str, DataFrame]:
 def inventory_value(inv: DataFrame) -> DataFrame:
     """Stock value of each batch, highest first (missing values last).
 
-    The global sort range-partitions on (value, inventory_id), so a value
-    shared by many batches (e.g. zero stock) still splits across tasks.
+    The global sort range-partitions on (value, inventory_id, ...), so a value
+    shared by many batches (e.g. zero stock) still splits across tasks; the
+    extra keys make the order total even when batch ids repeat.
     """
     value = (F.col("current_stock") * F.col("purchase_price").cast("decimal(10,2)")).cast("double")
     return (inv.select("inventory_id", "product_name", "current_stock",
                        F.col("purchase_price").cast("double").alias("purchase_price"),
                        value.alias("stock_value"))
-            .orderBy(F.col("stock_value").desc_nulls_last(), F.col("inventory_id").asc()))
+            .orderBy(F.col("stock_value").desc_nulls_last(), F.col("inventory_id").asc(),
+                     F.col("product_name").asc(), F.col("current_stock").asc(),
+                     F.col("purchase_price").asc()))
 
 
 def inventory_top(inv: DataFrame, n: int = TOP_STOCK) -> DataFrame:

@@ -81,7 +81,7 @@ src_inventory AS (
               else cast(cast(p_retailprice as decimal(10,2)) * cast(0.3 + l_discount as decimal(3,2)) as decimal(14,4)) end purchase_price,
          s_name supplier_info, l_shipdate created_at
   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
-  where l_linenumber = 1 and l_partkey % 11 <> 0),
+  where l_partkey % 11 <> 0),
 src_users AS (
   select c_custkey user_id, c_name username,
          case when c_mktsegment = 'MACHINERY' then 'inactive' else 'active' end status
@@ -308,7 +308,7 @@ select status, order_lines,
 from (select status, count(*) order_lines from c_all_orders where status is not null group by status) t"""),
         "inventory_value": _q(INVENTORY_VALUE),
         "inventory_top10": _q(f"select * from ({INVENTORY_VALUE}) v "
-                              "order by stock_value desc nulls last, inventory_id limit 10"),
+                              "order by stock_value desc nulls last, inventory_id, product_name, current_stock, purchase_price limit 10"),
         "low_stock": _q("select inventory_id, product_id, product_name, current_stock, safety_stock "
                         "from c_inventory where current_stock < safety_stock"),
         "receivables_by_customer": _q("select * from m_debt"),

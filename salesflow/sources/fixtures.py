@@ -22,7 +22,7 @@ from salesflow.session import shared_dir
 from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA, SOURCE_TABLES
 
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
-LANDING_VERSION = "v2"
+LANDING_VERSION = "v3"
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
@@ -129,7 +129,9 @@ class FixtureCatalog:
         return by_type.unionByName(by_brand)
 
     def _t_inventory(self) -> DataFrame:
-        li = self.raw("lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_partkey") % 11 != 0))
+        # Every order line is a stock batch; parts whose key is a multiple of 11
+        # have none (their cost falls back to 40 % of the price).
+        li = self.raw("lineitem").filter(F.col("l_partkey") % 11 != 0)
         part = self.raw("part").select("p_partkey", "p_retailprice")
         supp = self.raw("supplier").select("s_suppkey", "s_name")
         j = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
