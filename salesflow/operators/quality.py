@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,60 +30,57 @@ MERGE_CONTRACT = ["order_id", "order_date", "order_month", "customer_name", "pro
                   "quantity", "amount"]
 
 
-def _fails(ok: Column) -> Column:
-    """Count rows where ``ok`` is false or unknown."""
-    return F.count_if(~F.coalesce(ok, F.lit(False)))
+def _fails(ok: str) -> str:
+    """SQL: count rows where ``ok`` is false or unknown."""
+    return f"CAST(count_if(NOT coalesce({ok}, false)) AS BIGINT)"
 
 
 def _missing(df: DataFrame, cols: list[str]) -> int:
     return len([c for c in cols if c not in df.columns])
 
 
-def _rules_for(name: str, df: DataFrame, data_rules: dict[str, Column],
+def _rules_for(name: str, df: DataFrame, data_rules: dict[str, str],
                schema_rules: dict[str, int]) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [_fails(ok).cast("bigint").alias(rule) for rule, ok in data_rules.items()]
-    g = df.agg(*aggs)
-    g = g.withColumn("nonempty", F.when(F.col("total") == 0, 1).otherwise(0).cast("bigint"))
-    for rule, v in schema_rules.items():
-        g = g.withColumn(rule, F.lit(v).cast("bigint"))
-    rules = ["nonempty", *schema_rules, *data_rules]
-    long = g.unpivot("total", rules, "rule", "violations")
-    return long.select(F.lit(name).alias("table_name"), "rule", "violations", "total",
-                       (F.col("violations") == 0).alias("passed"))
+    """One aggregate over ``df`` (a count per data rule), unpivoted to one row per rule."""
+    aggs = ["count(1) AS total"] + [f"{_fails(ok)} AS {rule}" for rule, ok in data_rules.items()]
+    g = df.agg(*[F.expr(a) for a in aggs])
+    values = {"nonempty": "CAST(CASE WHEN total = 0 THEN 1 ELSE 0 END AS BIGINT)",
+              **{rule: f"CAST({v} AS BIGINT)" for rule, v in schema_rules.items()},
+              **{rule: rule for rule in data_rules}}
+    stack = ", ".join(f"'{rule}', {expr}" for rule, expr in values.items())
+    return g.selectExpr(f"'{name}' AS table_name", f"stack({len(values)}, {stack}) AS (rule, violations)",
+                        "total").selectExpr("table_name", "rule", "violations", "total",
+                                            "violations = 0 AS passed")
 
 
 def dq_report(products: DataFrame, customers: DataFrame, orders: DataFrame, inventory: DataFrame,
               dealer: DataFrame, collections: DataFrame) -> DataFrame:
-    c = F.col
     parts = [
         _rules_for("products", products,
-                   {"margin_nonneg": c("gross_margin_pct") >= 0},
+                   {"margin_nonneg": "gross_margin_pct >= 0"},
                    {"columns": _missing(products, REQUIRED_COLUMNS["products"])}),
         _rules_for("customers", customers,
-                   {"name_notnull": c("customer_name").isNotNull()},
+                   {"name_notnull": "customer_name IS NOT NULL"},
                    {"columns": _missing(customers, REQUIRED_COLUMNS["customers"])}),
         _rules_for("orders", orders,
-                   {"amount_nonneg": c("amount") >= 0},
+                   {"amount_nonneg": "amount >= 0"},
                    {"columns": _missing(orders, REQUIRED_COLUMNS["orders"]),
                     "date_type": 0 if isinstance(orders.schema["order_date"].dataType,
                                                  (T.TimestampType, T.TimestampNTZType)) else 1}),
         _rules_for("inventory", inventory,
-                   {"stock_nonneg": c("current_stock") >= 0},
+                   {"stock_nonneg": "current_stock >= 0"},
                    {"columns": _missing(inventory, REQUIRED_COLUMNS["inventory"])}),
         _rules_for("dealer_orders", dealer,
-                   {"channel_const": c("channel") == CHANNEL_DEALER,
-                    "amount_notnull": c("amount").isNotNull(),
-                    "amount_pos": c("amount") > 0},
+                   {"channel_const": f"channel = '{CHANNEL_DEALER}'",
+                    "amount_notnull": "amount IS NOT NULL",
+                    "amount_pos": "amount > 0"},
                    {"columns": _missing(dealer, REQUIRED_COLUMNS["dealer_orders"])}),
         _rules_for("collections", collections,
-                   {"receivable_notnull": c("receivable").isNotNull()},
+                   {"receivable_notnull": "receivable IS NOT NULL"},
                    {"columns": _missing(collections, REQUIRED_COLUMNS["collections"])}),
     ]
     contract = len(set(MERGE_CONTRACT) - (set(orders.columns) & set(dealer.columns)))
-    parts.append(
-        orders.agg(F.count(F.lit(1)).alias("total"))
-        .select(F.lit("all_orders").alias("table_name"), F.lit("contract").alias("rule"),
-                F.lit(contract).cast("bigint").alias("violations"), "total",
-                F.lit(contract == 0).alias("passed")))
+    parts.append(orders.agg(F.count(F.lit(1)).alias("total")).selectExpr(
+        "'all_orders' AS table_name", "'contract' AS rule", f"CAST({contract} AS BIGINT) AS violations",
+        "total", f"{str(contract == 0).lower()} AS passed"))
     return reduce(DataFrame.unionByName, parts)

@@ -29,38 +29,41 @@ LINE_DEBTOR = "  {name} — 未回款 {outstanding} 元"
 LINE_HEADLINE = "总销售额: {sales} 元 | 总订单: {lines} 条 | 产品: {products} 种 | 客户: {customers} 个"
 
 
-def _thousands(c):
-    """Whole number with thousands separators, ties to even ('1,234')."""
-    return F.format_number(c.cast("double"), 0)
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fill(template: str, **parts):
-    """Build ``template`` from literal text and Column parts (NULL if any part is NULL)."""
+def _thousands(expr: str) -> str:
+    """SQL: whole number with thousands separators, ties to even ('1,234')."""
+    return f"format_number(CAST({expr} AS DOUBLE), 0)"
+
+
+def _fill(template: str, **parts: str) -> str:
+    """SQL ``concat`` of ``template``'s text and the given SQL parts (NULL if a part is NULL)."""
     out, rest = [], template
     while "{" in rest:
         head, tail = rest.split("{", 1)
         key, rest = tail.split("}", 1)
         if head:
-            out.append(F.lit(head))
-        out.append(parts[key].cast("string"))
+            out.append(_lit(head))
+        out.append(f"CAST({parts[key]} AS STRING)")
     if rest:
-        out.append(F.lit(rest))
-    return F.concat(*out)
+        out.append(_lit(rest))
+    return "concat(" + ", ".join(out) + ")"
 
 
 def report_headline(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """One row: total sales, order lines, catalogue rows, active customers and the text line."""
-    c = F.col
     return orders.agg(
-        round0(money_sum(c("amount"))).alias("total_sales"),
+        round0(money_sum(F.col("amount"))).alias("total_sales"),
         F.count(F.lit(1)).alias("order_lines"),
     ).select(
         "total_sales", "order_lines",
         products.agg(F.count(F.lit(1))).scalar().alias("products"),
         customers.agg(F.count(F.lit(1))).scalar().alias("customers"),
-    ).withColumn("line", _fill(LINE_HEADLINE, sales=_thousands(c("total_sales")),
-                               lines=_thousands(c("order_lines")), products=c("products"),
-                               customers=c("customers")))
+    ).withColumn("line", F.expr(_fill(LINE_HEADLINE, sales=_thousands("total_sales"),
+                                      lines=_thousands("order_lines"), products="products",
+                                      customers="customers")))
 
 
 def load_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -88,50 +91,37 @@ def digest(monthly: DataFrame, top_products: DataFrame, totals: DataFrame,
     when positive; ``debtor`` 1..3 (outstanding). ``line`` is the digest's
     text line for the row.
     """
-    def row(section, rank, label, line, v1, v2=None, v3=None):
-        none = F.lit(None).cast("double")
-        return [F.lit(section).alias("section"), rank.cast("bigint").alias("rank"),
-                label.cast("string").alias("label"),
-                (none if v1 is None else v1.cast("double")).alias("value1"),
-                (none if v2 is None else v2.cast("double")).alias("value2"),
-                (none if v3 is None else v3.cast("double")).alias("value3"),
-                line.alias("line")]
-
-    c, one = F.col, F.lit(1)
-    latest = (monthly.orderBy(c("order_month").desc()).limit(1)
-              .select(*row("latest_month", one, c("order_month"),
-                           _fill(LINE_LATEST, lines=c("order_lines"), sales=_thousands(c("sales"))),
-                           c("order_lines"), c("sales"))))
-    best = (monthly.orderBy(c("sales").desc(), c("order_month").asc()).limit(1)
-            .select(*row("best_month", one, c("order_month"),
-                         _fill(LINE_BEST, month=c("order_month"), sales=_thousands(c("sales"))),
-                         c("order_lines"), c("sales"))))
-    w_prod = Window.orderBy(c("quantity").desc(), c("product_name").asc())
-    rank = F.row_number().over(w_prod)
-    prods = (top_products.orderBy(c("quantity").desc(), c("product_name").asc())
-             .limit(DIGEST_TOP_PRODUCTS)
-             .select(*row("top_product", rank, c("product_name"),
-                          _fill(LINE_PRODUCT, rank=rank, name=c("product_name"),
-                                qty=c("quantity").cast("bigint"), sales=_thousands(c("sales"))),
-                          c("quantity"), c("sales"))))
-    uncollected = c("receivable") - c("collected")
-    recovery = (totals.filter(c("receivable") > 0)
-                .select(*row("recovery", one, F.lit(None),
-                             _fill(LINE_RECOVERY, rate=F.format_string("%.1f", c("recovery_pct")),
-                                   collected=_thousands(c("collected")), uncollected=_thousands(uncollected)),
-                             c("recovery_pct"), c("collected"), uncollected)))
-    w_debt = Window.orderBy(c("outstanding").desc(), c("customer_name").asc())
-    debtors = (debt_top.orderBy(c("outstanding").desc(), c("customer_name").asc())
-               .limit(DIGEST_TOP_DEBTORS)
-               .select(*row("debtor", F.row_number().over(w_debt), c("customer_name"),
-                            _fill(LINE_DEBTOR, name=c("customer_name"),
-                                  outstanding=_thousands(c("outstanding"))),
-                            c("outstanding"))))
+    def rows(df: DataFrame, section: str, rank: str, label: str, line: str,
+             v1: str, v2: str = "NULL", v3: str = "NULL") -> DataFrame:
+        return df.selectExpr(
+            f"{_lit(section)} AS section", f"CAST({rank} AS BIGINT) AS rank",
+            f"CAST({label} AS STRING) AS label", f"CAST({v1} AS DOUBLE) AS value1",
+            f"CAST({v2} AS DOUBLE) AS value2", f"CAST({v3} AS DOUBLE) AS value3", f"{line} AS line")
+
+    c = F.col
+    latest = rows(monthly.orderBy(c("order_month").desc()).limit(1), "latest_month", "1", "order_month",
+                  _fill(LINE_LATEST, lines="order_lines", sales=_thousands("sales")), "order_lines", "sales")
+    best = rows(monthly.orderBy(c("sales").desc(), c("order_month").asc()).limit(1), "best_month", "1",
+                "order_month", _fill(LINE_BEST, month="order_month", sales=_thousands("sales")),
+                "order_lines", "sales")
+    rank = "row_number() OVER (ORDER BY quantity DESC, product_name ASC)"
+    prods = rows(top_products.orderBy(c("quantity").desc(), c("product_name").asc()).limit(DIGEST_TOP_PRODUCTS),
+                 "top_product", rank, "product_name",
+                 _fill(LINE_PRODUCT, rank=rank, name="product_name", qty="CAST(quantity AS BIGINT)",
+                       sales=_thousands("sales")),
+                 "quantity", "sales")
+    recovery = rows(totals.filter(c("receivable") > 0), "recovery", "1", "NULL",
+                    _fill(LINE_RECOVERY, rate="format_string('%.1f', recovery_pct)",
+                          collected=_thousands("collected"), uncollected=_thousands("receivable - collected")),
+                    "recovery_pct", "collected", "receivable - collected")
+    debt_rank = "row_number() OVER (ORDER BY outstanding DESC, customer_name ASC)"
+    debtors = rows(debt_top.orderBy(c("outstanding").desc(), c("customer_name").asc()).limit(DIGEST_TOP_DEBTORS),
+                   "debtor", debt_rank, "customer_name",
+                   _fill(LINE_DEBTOR, name="customer_name", outstanding=_thousands("outstanding")),
+                   "outstanding")
     parts = [latest, best, prods, recovery]
     if inv is not None and "expiry_status" in inv.columns:
-        alerts = (inv.agg(F.count_if(c("expiry_status") != EXPIRY_OK).alias("n"))
-                  .filter(c("n") > 0)
-                  .select(*row("inventory_alert", one, F.lit(None), _fill(LINE_ALERT, n=c("n")), c("n"))))
-        parts.append(alerts)
+        alerts = (inv.agg(F.count_if(c("expiry_status") != EXPIRY_OK).alias("n")).filter(c("n") > 0))
+        parts.append(rows(alerts, "inventory_alert", "1", "NULL", _fill(LINE_ALERT, n="n"), "n"))
     parts.append(debtors)
     return reduce(DataFrame.unionByName, parts)
