@@ -6,8 +6,6 @@ whole-stage codegen; there are no Python UDFs.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,11 +136,6 @@ def month_of(ts: Column) -> Column:
 # Money and ratios
 # ---------------------------------------------------------------------------
 
-def money(c: Column) -> Column:
-    """Cast to the source money type; out-of-range gives NULL."""
-    return c.try_cast(MONEY)
-
-
 def money_sum(c: Column) -> Column:
     """Exact sum of money, as double; an empty or all-null group sums to 0."""
     return F.coalesce(F.sum(c.cast(MONEY_ROW)).cast("double"), F.lit(0.0))
@@ -157,6 +150,3 @@ def percent1(num: Column, den: Column) -> Column:
     """num / den * 100, rounded to 1 decimal (half-even); NULL on /0."""
     return round1(ratio(num, den) * F.lit(100.0))
 
-
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)

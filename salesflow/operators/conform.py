@@ -38,11 +38,6 @@ CHANNEL_DEALER = "经销商"  # dealer orders from the hand-kept sheet
 CHANNELS = (CHANNEL_ALL, CHANNEL_ERP, CHANNEL_SHOP, CHANNEL_DEALER)
 DEALER_PRICE_QUANTILE = 0.99
 
-ORDER_COLUMNS = ["order_item_id", "order_id", "order_date", "customer_name", "product_name",
-                 "quantity", "unit_price", "amount", "status", "order_month"]
-DEALER_COLUMNS = ["order_id", "order_date", "order_month", "customer_name", "product_name",
-                  "quantity", "unit_price", "amount", "channel", "status"]
-ALL_ORDER_COLUMNS = ORDER_COLUMNS + ["channel"]
 
 
 def money_out(c):
@@ -134,7 +129,7 @@ def orders_fact(src) -> DataFrame:
 # Inventory
 # ---------------------------------------------------------------------------
 
-def inventory(src, keep_decimal: bool = False) -> DataFrame:
+def inventory(src) -> DataFrame:
     """Stock batches of catalogue products; negative stock is read as 0."""
     i = src.table("inventory").select("inventory_id", "product_id", "quantity", "purchase_price",
                                       "supplier_info", "created_at")
@@ -146,7 +141,7 @@ def inventory(src, keep_decimal: bool = False) -> DataFrame:
         # not greatest(q, 0): a missing stock figure must stay missing
         F.when(q < 0, F.lit(0)).otherwise(q).alias("current_stock"),
         F.lit(SAFETY_STOCK).alias("safety_stock"),
-        (price if keep_decimal else money_out(price)).alias("purchase_price"),
+        money_out(price).alias("purchase_price"),
         "supplier_info",
         F.col("created_at").cast("timestamp_ntz").alias("check_date"),
     )

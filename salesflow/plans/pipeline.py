@@ -61,6 +61,8 @@ class AnalysisParams:
 
 
 class Analysis:
+    """The monthly run over one source catalog (see the module docstring)."""
+
     def __init__(self, catalog, params: AnalysisParams | None = None):
         self.catalog = catalog
         self.params = params or AnalysisParams()

@@ -74,13 +74,6 @@ def load_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def inventory_alert_count(inv: DataFrame):
-    """Scalar column: batches near or past expiry; 0 when expiry is not tracked."""
-    if "expiry_status" not in inv.columns:
-        return F.lit(0).cast("bigint")
-    return inv.agg(F.count_if(F.col("expiry_status") != EXPIRY_OK)).scalar()
-
-
 def digest(monthly: DataFrame, top_products: DataFrame, totals: DataFrame,
            debt_top: DataFrame, inv: DataFrame | None = None) -> DataFrame:
     """The text digest as rows: (section, rank, label, value1, value2, value3, line).

@@ -11,15 +11,12 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the conformed plans rely on. Applied to local sessions only;
-# ``check_session`` reports drift on a cluster session instead of changing it.
-REQUIRED_CONF = {
+# Settings of local (test / bench) sessions. The plans do not depend on them:
+# dates are timestamp_ntz and every lossy cast is a try_ form, so a cluster
+# session's own time zone and ANSI setting give the same results.
+LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-}
-
-LOCAL_CONF = {
-    **REQUIRED_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -68,13 +65,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     explicit = spark.conf.get("salesflow.warehouse.dir", None)
     base = explicit or ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
-
-
-def check_session(spark: SparkSession) -> dict[str, tuple[str | None, str]]:
-    """Settings that differ from what the plans assume: {key: (actual, wanted)}."""
-    drift = {}
-    for k, want in REQUIRED_CONF.items():
-        got = spark.conf.get(k, None)
-        if got is None or got.lower() != want.lower():
-            drift[k] = (got, want)
-    return drift

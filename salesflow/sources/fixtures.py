@@ -24,10 +24,6 @@ from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA,
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
 LANDING_VERSION = "v3"
 
-TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
-               "lineitem", "events")
-
-
 def _cat(*parts: Column) -> Column:
     # `||` semantics: NULL if any part is NULL.
     return F.concat(*parts)

@@ -90,3 +90,20 @@ def test_full_run_matches_single_queries(fx):
     }
     for name, df in single.items():
         assert sorted(run[name].collect()) == sorted(df.collect()), name
+
+
+def test_results_independent_of_session_zone_and_ansi(spark, fx):
+    """Dates are timestamp_ntz and lossy casts are try_ forms: zone / ANSI settings do not matter."""
+    def run():
+        a = Analysis(fx, AnalysisParams())
+        return (sorted(a.monthly_trend.collect()), sorted(a.dealer_orders.collect()),
+                sorted(a.receivable_totals.collect()))
+    base = run()
+    old_tz, old_ansi = spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        assert run() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+        spark.conf.set("spark.sql.ansi.enabled", old_ansi)
