@@ -42,8 +42,6 @@ MISSING_MONTH = "NaT"
 
 # Money precision of the source systems.
 MONEY = "decimal(10,2)"
-# Per-row money type inside sums: exact; Spark widens the sum by 10 digits.
-MONEY_ROW = "decimal(18,2)"
 
 
 # ---------------------------------------------------------------------------
@@ -136,9 +134,28 @@ def month_of(ts: Column) -> Column:
 # Money and ratios
 # ---------------------------------------------------------------------------
 
+def cents(c: Column) -> Column:
+    """Money (2 decimals) as whole cents in a long; exact for |amount| < 2**52 / 100."""
+    return F.rint(c.cast("double") * F.lit(100.0)).cast("bigint")
+
+
+def cents_sum(c: Column) -> Column:
+    """Exact sum of money in cents (long arithmetic, no decimal objects per row).
+
+    NULL when there is nothing to sum, and NULL instead of a wrapped value if
+    the total ever leaves the long range.
+    """
+    return F.try_sum(cents(c))
+
+
+def from_cents(total: Column) -> Column:
+    """Cents total → double money; equal to the decimal sum converted to double."""
+    return total / F.lit(100.0)
+
+
 def money_sum(c: Column) -> Column:
     """Exact sum of money, as double; an empty or all-null group sums to 0."""
-    return F.coalesce(F.sum(c.cast(MONEY_ROW)).cast("double"), F.lit(0.0))
+    return F.when(F.count(c) == 0, F.lit(0.0)).otherwise(from_cents(cents_sum(c)))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -3,7 +3,7 @@
 Conventions (those of a pandas group-by, which the reports were built on):
 NULL group keys are dropped; ``count`` counts non-null values (order
 *lines*, not orders); a sum over no values is 0; a mean over no values is
-NULL; rounding is half-to-even. Money is summed exactly in decimal and
+NULL; rounding is half-to-even. Money is summed exactly, in whole cents, and
 rounded after the sort, so the ranking uses unrounded values. Ties in a
 ranking are broken by the group key, ascending.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.functions.columns import MONEY_ROW, money_sum, percent1, ratio, round0, round1
+from salesflow.functions.columns import cents_sum, from_cents, money_sum, percent1, ratio, round0, round1
 TOP_PRODUCTS = 10
 TOP_CUSTOMERS = 15
 LABELLED_CUSTOMERS = 8
@@ -28,16 +28,12 @@ TOP_STOCK = 10
 TOP_DEBTORS = 10
 
 
-def _money_dec(c):
-    return c.cast(MONEY_ROW)
-
-
 def _sales_aggs():
     """Per-group sums every sales metric is finished from (one partial/final aggregate)."""
     return [
         F.count("order_id").alias("order_lines"),
         F.count(F.lit(1)).alias("_rows"),
-        F.sum(_money_dec(F.col("amount"))).cast("double").alias("_sum"),
+        from_cents(cents_sum(F.col("amount"))).alias("_sum"),
         F.count("amount").alias("_n"),
         F.sum("quantity").alias("_qty"),
     ]
@@ -162,7 +158,7 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     """
     per_name = orders.groupBy("product_name").agg(
         F.count("order_id").alias("_lines"),
-        F.sum(_money_dec(F.col("amount"))).alias("_sales"),
+        cents_sum(F.col("amount")).alias("_cents"),
     )
     per_cat = (products.select(F.col("product_name").alias("_name"), "category")
                .groupBy("_name", "category").agg(F.count(F.lit(1)).alias("_k")))
@@ -170,7 +166,7 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     g = (j.filter(F.col("category").isNotNull())
          .groupBy("category")
          .agg(F.coalesce(F.sum(F.col("_lines") * F.col("_k")), F.lit(0)).cast("bigint").alias("order_lines"),
-              F.coalesce(F.sum(F.col("_sales") * F.col("_k")), F.lit(0)).cast("double").alias("_s")))
+              F.coalesce(from_cents(F.try_sum(F.try_multiply(F.col("_cents"), F.col("_k")))), F.lit(0.0)).alias("_s")))
     return (g.orderBy(F.col("_s").desc(), F.col("category").asc())
             .select("category", "order_lines", round0(F.col("_s")).alias("sales")))
 
