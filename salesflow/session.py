@@ -46,20 +46,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; it is only invented here
     when the session has none (local tests), never on top of a cluster value.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context, use the configuration only
+        return _configured_dir(spark)
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir (or salesflow.warehouse.dir) to a folder "
-                               "shared by the cluster; a machine-local folder cannot be used")
-        conf_dir = tempfile.mkdtemp(prefix="salesflow-ckpt-")
-    sc.setCheckpointDir(conf_dir)
+    sc.setCheckpointDir(_configured_dir(spark))
     return sc.getCheckpointDir()
 
 
+def _configured_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a local temporary folder for a local session only."""
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        app = spark.conf.get("spark.app.id", None)
+        return conf_dir.rstrip("/") + (f"/{app}" if app else "")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir (or salesflow.warehouse.dir) to a folder "
+                           "shared by the cluster; a machine-local folder cannot be used")
+    return tempfile.mkdtemp(prefix="salesflow-ckpt-")
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the session (default parallelism)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return int(spark.conf.get("spark.default.parallelism", str(os.cpu_count() or 8)))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder next to the session's checkpoint data, for written tables."""
     explicit = spark.conf.get("salesflow.warehouse.dir", None)

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.session import shared_dir
+from salesflow.session import parallelism, shared_dir
 from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA, SOURCE_TABLES
 
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
@@ -69,7 +69,7 @@ class FixtureCatalog:
         except AnalysisException:
             # One file per core, like a table in a lake (the test files hold a
             # single row group each, which would leave scans with one task).
-            files = max(1, self.spark.sparkContext.defaultParallelism)
+            files = max(1, parallelism(self.spark))
             self.derive(name).repartition(files).write.mode("overwrite").parquet(path)
             return reader.parquet(path)
 
