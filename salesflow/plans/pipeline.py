@@ -157,12 +157,15 @@ class Analysis:
         return report.report_headline(self.orders, self.products, self.customers)
 
     def load_counts(self) -> DataFrame:
-        return report.load_counts({
-            "products": self.products, "customers": self.customers,
-            "shop_orders": self.shop_orders, "dealer_orders": self.dealer_orders,
-            "all_orders": self.orders, "inventory": self.inventory,
-            "collections": self.collections,
-        })
+        tables = {"products": self.products, "customers": self.customers,
+                  "inventory": self.inventory, "collections": self.collections}
+        if self.params.channel == conform.CHANNEL_ALL:
+            # shop, dealer and all order lines from one pass over the union
+            return report.load_counts(tables, (self.orders, {
+                "shop_orders": conform.CHANNEL_SHOP, "dealer_orders": conform.CHANNEL_DEALER,
+                "all_orders": "*"}))
+        return report.load_counts({**tables, "shop_orders": self.shop_orders,
+                                   "dealer_orders": self.dealer_orders, "all_orders": self.orders})
 
     # -- one-pass rollups (used by the full run and the digest) -------------
     @cached_property

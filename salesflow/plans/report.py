@@ -66,11 +66,24 @@ def report_headline(orders: DataFrame, products: DataFrame, customers: DataFrame
                                       customers="customers")))
 
 
-def load_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_count) for each named table, one global count each."""
+def load_counts(tables: dict[str, DataFrame], by_channel: tuple[DataFrame, dict[str, str]] | None = None
+                ) -> DataFrame:
+    """(table_name, row_count) for each named table, one global count each.
+
+    ``by_channel = (orders, {table_name: channel or "*"})`` counts several
+    order tables from one pass over the union, grouped by channel.
+    """
     parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
                .select(F.lit(name).alias("table_name"), "row_count")
              for name, df in tables.items()]
+    if by_channel is not None:
+        orders, names = by_channel
+        g = orders.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+        counts = g.agg(*[F.coalesce(F.sum(F.col("n") if ch == "*" else
+                                          F.when(F.col("channel") == ch, F.col("n"))), F.lit(0))
+                         .cast("bigint").alias(name) for name, ch in names.items()])
+        stack = ", ".join(f"{_lit(name)}, `{name}`" for name in names)
+        parts.append(counts.selectExpr(f"stack({len(names)}, {stack}) AS (table_name, row_count)"))
     return reduce(DataFrame.unionByName, parts)
 
 

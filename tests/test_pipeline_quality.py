@@ -107,3 +107,13 @@ def test_results_independent_of_session_zone_and_ansi(spark, fx):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old_tz)
         spark.conf.set("spark.sql.ansi.enabled", old_ansi)
+
+
+@pytest.mark.parametrize("channel", [conform.CHANNEL_ALL, conform.CHANNEL_DEALER])
+def test_load_counts_match_direct_counts(fx, channel):
+    a = Analysis(fx, AnalysisParams(channel=channel))
+    got = {r.table_name: r.row_count for r in a.load_counts().collect()}
+    assert got == {"products": a.products.count(), "customers": a.customers.count(),
+                   "inventory": a.inventory.count(), "collections": a.collections.count(),
+                   "shop_orders": a.shop_orders.count(), "dealer_orders": a.dealer_orders.count(),
+                   "all_orders": a.orders.count()}
