@@ -117,3 +117,17 @@ def test_load_counts_match_direct_counts(fx, channel):
                    "inventory": a.inventory.count(), "collections": a.collections.count(),
                    "shop_orders": a.shop_orders.count(), "dealer_orders": a.dealer_orders.count(),
                    "all_orders": a.orders.count()}
+
+
+def test_relabel_and_digest_text(fx):
+    from salesflow.plans.labels import digest_text, relabel
+    a = Analysis(fx, AnalysisParams())
+    assert relabel(a.top_products, "top_products").columns == ["产品", "销量", "销售额"]
+    with pytest.raises(KeyError):
+        relabel(a.top_products, "nope")
+    lines = [r.line for r in a.digest().collect()]
+    out = digest_text(a.digest(), "月度销售摘要").first()
+    assert out.text.startswith("月度销售摘要\n" + "=" * 40 + "\n本月订单: ")
+    assert "\n热销产品 TOP5:\n  1. " in out.text and "\n需催收客户:\n  " in out.text
+    assert all(line in out.text for line in lines)
+    assert out.preview == out.text[:500]
