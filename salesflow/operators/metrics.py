@@ -292,7 +292,8 @@ def receivables_by_customer(coll: DataFrame) -> DataFrame:
     Empty unless the total receivable (all payments) is positive; the total is
     a scalar subquery, evaluated once.
     """
-    total = coll.agg(money_sum(F.col("receivable"))).scalar()
+    # same plan as receivable_totals, so a query holding both computes it once
+    total = receivable_totals(coll).select("receivable").scalar()
     g = (coll.filter(F.col("customer_name").isNotNull())
          .groupBy("customer_name")
          .agg(money_sum(F.col("outstanding")).alias("outstanding"),
