@@ -14,6 +14,8 @@ check every query independently.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA,
 
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
 LANDING_VERSION = "v3"
+_LANDING_LOCK = threading.Lock()   # one writer per process while a table lands
 
 def _cat(*parts: Column) -> Column:
     # `||` semantics: NULL if any part is NULL.
@@ -63,15 +66,16 @@ class FixtureCatalog:
         reader = self.spark.read
         if name == "dealer_sheet":
             reader = reader.schema(DEALER_SHEET_SCHEMA)
-        try:
-            self.spark.read.text(f"{path}/_SUCCESS")   # only a committed landing is reused
-            return reader.parquet(path)
-        except AnalysisException:
-            # One file per core, like a table in a lake (the test files hold a
-            # single row group each, which would leave scans with one task).
-            files = max(1, parallelism(self.spark))
-            self.derive(name).repartition(files).write.mode("overwrite").parquet(path)
-            return reader.parquet(path)
+        with _LANDING_LOCK:
+            try:
+                self.spark.read.text(f"{path}/_SUCCESS")   # only a committed landing is reused
+                return reader.parquet(path)
+            except AnalysisException:
+                # One file per core, like a table in a lake (the test files hold a
+                # single row group each, which would leave scans with one task).
+                files = max(1, parallelism(self.spark))
+                self.derive(name).repartition(files).write.mode("overwrite").parquet(path)
+                return reader.parquet(path)
 
     # -- raw test tables ---------------------------------------------------
     def land_all(self) -> None:
