@@ -5,7 +5,9 @@
 
 1. counts each distinct value (partial aggregation, so a value that holds a
    third of all rows collapses to one row map-side);
-2. range-partitions the distinct values into ``buckets`` ordered slices;
+2. range-partitions the distinct values into ``buckets`` ordered slices
+   (the slice table is then distributed by slice, so the per-slice totals
+   and the running counts below need no further shuffle);
 3. sums counts per slice (a ``buckets``-row table) and turns them into slice
    offsets with a window over that tiny table;
 4. adds a running count inside each slice (window partitioned by slice);
@@ -34,8 +36,10 @@ WITH counts AS (
   WHERE v IS NOT NULL
   GROUP BY v),
 sliced AS (
-  SELECT v, c, spark_partition_id() AS slice
-  FROM (SELECT /*+ REPARTITION_BY_RANGE({buckets}, v) */ v, c FROM counts)),
+  SELECT v, c, slice
+  FROM (SELECT v, c, spark_partition_id() AS slice
+        FROM (SELECT /*+ REPARTITION_BY_RANGE({buckets}, v) */ v, c FROM counts))
+  DISTRIBUTE BY slice),
 slices AS (
   SELECT slice,
          coalesce(sum(slice_n) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
