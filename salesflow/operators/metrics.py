@@ -9,8 +9,8 @@ ranking are broken by the group key, ascending.
 
 Every aggregation is a two-phase hash aggregate (partial per task, final
 after the shuffle), so a key holding a third of the rows is combined
-map-side. Windows only run over already-aggregated results (months,
-statuses, a top-k list). Top-k uses ``orderBy().limit()``, which Spark
+map-side. Windows only run over already-aggregated, bounded results
+(months, a top-k list); shares of a total use a scalar subquery. Top-k uses ``orderBy().limit()``, which Spark
 plans as a per-partition top-k merge (``TakeOrderedAndProject``).
 """
 
@@ -86,10 +86,12 @@ def _finish_customers(g: DataFrame) -> DataFrame:
 
 
 def _finish_status(g: DataFrame) -> DataFrame:
-    total = F.sum("_rows").over(Window.partitionBy())
-    return (g.filter(F.col("status").isNotNull())
-            .select("status", F.col("_rows").alias("order_lines"),
-                    round1(F.lit(100.0) * ratio(F.col("_rows"), total)).alias("share_pct")))
+    # The total is a scalar subquery over the same grouped rows (its exchange is
+    # reused), so no single task has to hold every status group.
+    g = g.filter(F.col("status").isNotNull())
+    total = g.agg(F.sum("_rows")).scalar()
+    return g.select("status", F.col("_rows").alias("order_lines"),
+                    round1(F.lit(100.0) * ratio(F.col("_rows"), total)).alias("share_pct"))
 
 
 # ---------------------------------------------------------------------------
