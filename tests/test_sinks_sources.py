@@ -73,3 +73,11 @@ def test_jdbc_options():
     assert isinstance(spec, SourceSpec) and spec.options["numPartitions"] == "8"
     with pytest.raises(ValueError):
         jdbc_table({}, "t", partition_column="id")
+
+
+def test_sql_text_source(spark):
+    """A source given as SQL text over the session's views."""
+    FixtureCatalog(spark, SF_SMALL, land=False).derive("users").createOrReplaceTempView("users_src")
+    cat = SourceCatalog(spark, {"users": SourceSpec("sql", "SELECT * FROM users_src WHERE user_id > 0")})
+    got = conform.customers(cat)
+    assert got.count() == conform.customers(FixtureCatalog(spark, SF_SMALL)).count() > 0
