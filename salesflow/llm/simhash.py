@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     folder = folder or scratch(docs.sparkSession, "simhash")
     rows = materialize(fingerprints(docs, k), folder + "/rows")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), folder + "/firsts")
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(firsts, max_bits, folder), folder + "/components")
     # Members and roots of the components: as many rows as linked fingerprints.
     members = roots.select(F.col("u").alias("fp"), "root").unionByName(
