@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesflow.llm import exact_dedup, line_dedup, simhash
+from salesflow.llm import (
+    chat_format, decontaminate, domain_score, exact_dedup, language_id, line_dedup, mixing, private_spans, simhash,
+    token_files,
+)
+
+END_ID = 2
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans.private_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_domain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that ``labels`` calls of good quality and not toxic."""
+    good = _table(spark, sf_dir, "labels").filter("quality = 1 and coalesce(toxic, 0) = 0")
+    return domain_score.score_rows(_table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+                                    "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_chats(rows.unionByName(control)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -24,9 +72,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_files": op4_token_files,
+    "op5_mixing": op5_mixing,
+    "op6_private_spans": op6_private_spans,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_domain_score": op9_domain_score,
+    "op10_chat_format": op10_chat_format,
 }
 
 # The contracts' white space and A-Z lower-casing, as DuckDB text.
@@ -34,7 +89,45 @@ _WHITE = r"[\x20\x09-\x0D]"
 _STRIP = f"regexp_replace({{}}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The chat template, and what its escapes do to a text.
+_ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l')"
+
 ORACLES = {
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, 2.0 * sum(size)::DOUBLE AS cap,
+             (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+-- pour the pool: sources fill up in order of cap by weight; the level is that of the first which does not
+p AS (SELECT *, 1.5 * sum(source_size) OVER () AS pool, sum(weight) OVER () AS weights,
+             coalesce(sum(cap) OVER before, 0) AS cap_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+      FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (pool - cap_before) / (weights - weight_before) AS level FROM p),
+o AS (SELECT arg_min(level, weight_before) AS level FROM l WHERE level * weight < cap),
+t AS (SELECT l.source, source_size, least(cap, coalesce(o.level * weight, cap)) AS target,
+             ('0x' || substr(md5('42:' || CASE WHEN source IS NULL THEN '1' ELSE '0' || source END), 1, 8))::BIGINT
+               / 4294967296.0::DOUBLE AS u
+      FROM l LEFT JOIN o ON true),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, ((coalesce(doc_id, 0) % 4096) + 4096) % 4096,
+                                   doc_id NULLS LAST)::DOUBLE AS nth FROM d),
+c AS (SELECT doc_id, size, source_size, target,
+             CASE WHEN source_size > 0 THEN least(floor(u + target / source_size * nth) - floor(u + target / source_size * (nth - 1)),
+                                                  ceil(target / source_size)) ELSE 0 END AS copies
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (copies * size)::BIGINT AS taken FROM c""",
+    "op10_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, n, role, chr(92) || '### Assistant: </turn> ok'
+           FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, role)),
+e AS (SELECT *, {_ESCAPED.format('text')} AS body,
+             replace(replace({_ESCAPED.format('role')}, '>', chr(92) || 'g'), chr(10), chr(92) || 'n') AS head FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(length('<turn ') + length(head) + 2 + length(body) + 9) AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars FROM a""",
     "op3_exact_dedup": f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') AS norm FROM documents),
