@@ -33,6 +33,15 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a narrow table that one task writes at most, where few rows are spread over many partitions.
+ROWS_A_FILE = 200_000
+
+
+def materialize_few(df: DataFrame, rows: int, path: str) -> DataFrame:
+    """``materialize`` for a narrow table of at most ``rows`` rows, in files of a useful size."""
+    return materialize(df.coalesce(1 + rows // ROWS_A_FILE), path)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and path of a folder's URI (file:, hdfs:, s3: ...) or absolute path."""
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))

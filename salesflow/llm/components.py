@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import materialize
+from salesflow.llm._common import materialize_few
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-# Rows of an edge table that one task writes at most, when it can be written by fewer tasks.
-ROWS_A_FILE = 200_000
-
-
-def _written(edges: DataFrame, rows: int, path: str) -> DataFrame:
-    """Write a round in files of a useful size; ``rows`` bounds its number of rows."""
-    return materialize(edges.coalesce(1 + rows // ROWS_A_FILE), path)
-
-
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -47,12 +38,12 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     Each round is written to ``folder``, so the lineage stays short and a lost
     executor costs one round at most; the driver sees a count and a checksum.
     """
-    now = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = materialize_few(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                    .distinct(), edges.count(), f"{folder}/round-0")
     state, step = _state(now), 0
     while state[0]:
         step += 1
-        now = _written(_small_star(_large_star(now)), 2 * state[0], f"{folder}/round-{step}")
+        now = materialize_few(_small_star(_large_star(now)), 2 * state[0], f"{folder}/round-{step}")
         after = _state(now)
         if after == state:
             break

@@ -35,7 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import NULL_ID, as_bytes, ids_of, materialize, mix64, scratch, slices, word_blocks
+from salesflow.llm._common import (
+    NULL_ID, as_bytes, ids_of, materialize, materialize_few, mix64, scratch, slices, word_blocks,
+)
 from salesflow.llm.components import components
 
 BUCKET_SCHEMA = "key long, open long, fp long"
@@ -242,6 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str
     folder = folder or scratch(docs.sparkSession, "simhash")
     rows = materialize(fingerprints(docs, k), folder + "/rows")
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = firsts.count()
     roots = components(links(firsts, max_bits, folder), folder + "/components")
     # Members and roots of the components: as many rows as linked fingerprints.
     members = roots.select(F.col("u").alias("fp"), "root").unionByName(
@@ -249,8 +252,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str
     members = members.join(firsts, "fp")
     least = members.groupBy("root").agg(F.min("first_id").alias("component"))
     linked = members.join(least, "root").select("fp", "component")
-    own = firsts.join(linked, "fp", "left").select(
-        F.col("fp").alias("own_fp"), F.coalesce("component", "first_id").alias("component"))
+    # Written, so that the last join has a shuffle on either side and Spark can split a hot fingerprint.
+    own = materialize_few(firsts.join(linked, "fp", "left").select(
+        F.col("fp").alias("own_fp"), F.coalesce("component", "first_id").alias("component")), distinct, folder + "/own")
     out = rows.join(own, F.col("fp") == F.col("own_fp"))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(shown("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
