@@ -10,13 +10,15 @@
    range as one shard file of blocks. In a block, ranks take one to four bytes,
    little end first; two bits per rank in separate control bytes say how many.
    Frequent ids thus take one byte.
-4. Decoding looks up the four lengths of each control byte in a table, finds
-   every rank's place by a prefix sum and gathers its bytes, all in numpy.
+4. Decoding looks up the four lengths of each control byte in a table and lays
+   the data bytes into the places that they say, all in numpy.
 
 A text is cut at blanks and line ends before encoding and each distinct piece
-is encoded once per cache filling; this gives the ids of the whole text for
+is encoded once per filling of a worker's bounded cache; this gives the ids of the whole text for
 tokenizers whose tokens don't reach across white space, and ``whole=True``
-encodes whole texts for any other.
+encodes whole texts for any other. Where the tokenizer marks word ends, and
+probes of all Latin-1 letters show that it folds case and splits off a closing
+stop or comma, such words are encoded once by their lower-cased letters.
 
 Shard files are written under an attempt's own name and renamed, so a repeated
 task is harmless. Defined cases: a null text is empty (it holds the end id
@@ -34,16 +36,18 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import as_text, filesystem, ids_of, ids_out, indexed, ragged, scratch, slices
+from salesflow.llm._common import as_text, filesystem, ids_of, ids_out, ragged, scratch, slices
 
 PIECE_CHARS = 4 << 20
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 BLOCK_IDS = 1 << 20
 MAGIC = b"RANKVB01"
 HEAD = "<qqqq"  # documents, ids, control bytes, data bytes of a block
@@ -59,21 +63,23 @@ DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of each control byte
 
 
+def _used(lengths: np.ndarray) -> np.ndarray:
+    """Which bytes of each value, as wide as the longest one, are written."""
+    width = int(lengths.max(initial=1))
+    used = np.ones((len(lengths), width), bool)
+    for k in range(1, width):
+        used[:, k] = lengths > k
+    return used
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    values = values.astype(np.uint32, copy=False)
+    values = values.astype("<u4", copy=False)
     lengths = np.ones(len(values), np.uint8)
     for bound in (1 << 8, 1 << 16, 1 << 24):
         lengths += values >= bound
-    ends = np.cumsum(lengths, dtype=np.int64)
-    starts = ends - lengths
-    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    data[starts] = values & 0xFF
-    for k in (1, 2, 3):
-        more = np.flatnonzero(lengths > k)
-        if not len(more):
-            break
-        data[starts[more] + k] = (values[more] >> (8 * k)) & 0xFF
+    used = _used(lengths)
+    data = values.view(np.uint8).reshape(-1, 4)[:, :used.shape[1]][used]
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[:len(values)] = lengths - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
@@ -82,24 +88,29 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of ``pack``'s bytes."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    raw = np.frombuffer(data, np.uint8)
-    starts = np.cumsum(lengths, dtype=np.int64) - lengths
-    values = raw[starts].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(lengths > k)
-        if not len(more):
-            break
-        values[more] |= raw[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return values
+    used = _used(_LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n])
+    values = np.zeros((n, 4), np.uint8)
+    values[:, :used.shape[1]][used] = np.frombuffer(data, np.uint8)
+    return values.view("<u4").ravel()
 
 
 # ---------------------------------------------------------------------------
 # Encoding
 # ---------------------------------------------------------------------------
 
+_MARKS = ".,"
+
+
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of texts, by pieces between blanks and line ends; keeps the pieces seen last in a bounded cache."""
+    """Ids of texts, by pieces between blanks and line ends; keeps pieces it has seen in a bounded cache."""
 
     def __init__(self, tokenizer_path: str, end_id: int, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,34 +120,89 @@ class Encoder:
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.end_id, self.whole = end_id, whole
+        self.word_ends = None if whole else self._word_ends()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, self.dtype)
+        self.known = _Numbered()
+        self.flat = np.empty(1 << 16, self.dtype)  # ids of the known pieces, on end
         self.used = 0
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES and self.known:
-            self.forget()
+    def _word_ends(self) -> np.ndarray | None:
+        """Ids that end a word, if words of Latin-1 letters may be encoded apart from case and closing marks."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith(suffix)
+        marks = [plain(m) for m in _MARKS]
+        if any(len(m) != 1 for m in marks):
+            return None
+        for c in filter(str.isalpha, map(chr, range(256))):
+            word = plain("a" + c)
+            if word != plain("A" + c.lower()) or ends[word].sum() != 1 or not ends[word[-1]] or \
+                    any(plain("a" + c + m) != word + i for m, i in zip(_MARKS, marks)):
+                return None
+        self.mark_ids = np.array([0] + [m[0] for m in marks], self.dtype)
+        return ends
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids on end and their number for words of letters; None if the word ends don't come out."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        last = np.flatnonzero(self.word_ends[ids])
+        if len(last) != len(words) or len(ids) and last[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(np.r_[-1, last])
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, self.dtype)
-        lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces)) if len(ids) else \
-            np.zeros(len(pieces), np.int64)
-        n = len(self.known)
-        for name, need in (("flat", self.used + len(ids)), ("starts", n + len(pieces)), ("lengths", n + len(pieces))):
+        return np.array(got.ids, np.int64), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
+
+    def _learn(self, before: int) -> None:
+        """Encode the pieces known as number ``before`` and after."""
+        pieces = list(islice(self.known, before, None))
+        plain = None
+        if self.word_ends is not None:
+            bases: dict[str, int] = {}
+            base_of, mark_of = np.full(len(pieces), -1), np.zeros(len(pieces), np.int64)
+            for n, piece in enumerate(pieces):
+                mark = _MARKS.find(piece[-1]) + 1 if piece else 0
+                word = piece[:-1] if mark else piece
+                if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                    base_of[n] = bases.setdefault(word.lower(), len(bases))
+                    mark_of[n] = mark
+            plain = self._encode_words(list(bases)) if bases else None
+        if plain is None:
+            ids, lengths = self._encode_pieces(pieces)
+        else:
+            other = np.flatnonzero(base_of < 0)
+            odd_ids, odd = self._encode_pieces([pieces[n] for n in other.tolist()]) if len(other) else \
+                (np.empty(0, np.int64), np.empty(0, np.int64))
+            source = np.r_[plain[0], odd_ids]
+            all_lengths = np.r_[plain[1], odd]
+            all_starts = np.cumsum(all_lengths) - all_lengths
+            base_of[other] = len(plain[1]) + np.arange(len(other))
+            own = all_lengths[base_of]
+            lengths = own + (mark_of > 0)
+            ends = np.cumsum(lengths)
+            ids = np.empty(int(lengths.sum()), np.int64)
+            ids[ragged(ends - lengths, own)] = source[ragged(all_starts[base_of], own)]
+            marked = mark_of > 0
+            ids[ends[marked] - 1] = self.mark_ids[mark_of[marked]]
+        for name, need in (("flat", self.used + len(ids)), ("starts", len(self.known)), ("lengths", len(self.known))):
             old = getattr(self, name)
             if need > len(old):
                 new = np.empty(max(need, 2 * len(old)), old.dtype)
                 new[:len(old)] = old
                 setattr(self, name, new)
         self.flat[self.used:self.used + len(ids)] = ids
-        self.starts[n:n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n:n + len(pieces)] = lengths
+        self.starts[before:len(self.known)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[before:len(self.known)] = lengths
         self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each followed by the end id, and each text's number of ids."""
@@ -149,14 +215,12 @@ class Encoder:
             before = len(words)
             words += text.replace("\n", " ").split(" ")
             counts.append(len(words) - before)
-        distinct, at = indexed(words)
-        missing = [w for w in distinct if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHE_PIECES and self.known:
-                self.forget()
-                missing = distinct
-            self._learn(missing)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[at]
+        if len(self.known) > CACHE_PIECES:
+            self.forget()
+        before = len(self.known)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > before:
+            self._learn(before)
         lengths = self.lengths[place]
         ids = self.flat[ragged(self.starts[place], lengths)]
         per_text = np.add.reduceat(lengths, np.cumsum([0] + counts[:-1]))
@@ -167,6 +231,12 @@ class Encoder:
         return out, per_text + 1
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_path: str, end_id: int, whole: bool) -> Encoder:
+    """A worker's encoder: tasks that follow one another in a worker share its cache."""
+    return Encoder(tokenizer_path, end_id, whole)
+
+
 def _pieces(text: str) -> Iterator[str]:
     """A long text in parts cut behind a blank or line end."""
     gap = re.compile(r"[ \n]")
@@ -180,7 +250,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 def _encode(tokenizer_path: str, end_id: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id, whole)
+        encoder = encoder_of(tokenizer_path, end_id, whole)
         counts = np.zeros(encoder.size, np.int64)
 
         def rows(kind: int, doc_ids, ids: list[bytes], n) -> pa.RecordBatch:
