@@ -129,6 +129,33 @@ class Encoder:
         self.used = 0
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the pieces used most often since the last time, half a cache at most."""
+        uses = self.uses[:len(self.known)]
+        kept = np.flatnonzero(uses > 2)
+        if len(kept) > CACHE_PIECES // 2:
+            kept = np.sort(np.argsort(-uses, kind="stable")[:CACHE_PIECES // 2])
+        pieces = list(self.known)
+        ids, lengths = self.flat[ragged(self.starts[kept], self.lengths[kept])], self.lengths[kept]
+        self.forget()
+        self.known.update(zip(map(pieces.__getitem__, kept.tolist()), range(len(kept))))
+        self._store(0, ids, lengths)
+
+    def _store(self, before: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Enter the ids of the pieces from number ``before`` on."""
+        n = len(self.known)
+        for name, need in (("flat", self.used + len(ids)), ("starts", n), ("lengths", n), ("uses", n)):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[:len(old)] = old
+                setattr(self, name, new)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.starts[before:n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[before:n] = lengths
+        self.used += len(ids)
 
     def _word_ends(self) -> np.ndarray | None:
         """Ids that end a word, if words of Latin-1 letters may be encoded apart from case and closing marks."""
@@ -165,44 +192,52 @@ class Encoder:
     def _learn(self, before: int) -> None:
         """Encode the pieces known as number ``before`` and after."""
         pieces = list(islice(self.known, before, None))
-        plain = None
-        if self.word_ends is not None:
-            bases: dict[str, int] = {}
-            base_of, mark_of = np.full(len(pieces), -1), np.zeros(len(pieces), np.int64)
-            for n, piece in enumerate(pieces):
-                mark = _MARKS.find(piece[-1]) + 1 if piece else 0
-                word = piece[:-1] if mark else piece
-                if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                    base_of[n] = bases.setdefault(word.lower(), len(bases))
-                    mark_of[n] = mark
-            plain = self._encode_words(list(bases)) if bases else None
-        if plain is None:
-            ids, lengths = self._encode_pieces(pieces)
-        else:
-            other = np.flatnonzero(base_of < 0)
-            odd_ids, odd = self._encode_pieces([pieces[n] for n in other.tolist()]) if len(other) else \
-                (np.empty(0, np.int64), np.empty(0, np.int64))
-            source = np.r_[plain[0], odd_ids]
-            all_lengths = np.r_[plain[1], odd]
-            all_starts = np.cumsum(all_lengths) - all_lengths
-            base_of[other] = len(plain[1]) + np.arange(len(other))
-            own = all_lengths[base_of]
-            lengths = own + (mark_of > 0)
-            ends = np.cumsum(lengths)
-            ids = np.empty(int(lengths.sum()), np.int64)
-            ids[ragged(ends - lengths, own)] = source[ragged(all_starts[base_of], own)]
-            marked = mark_of > 0
-            ids[ends[marked] - 1] = self.mark_ids[mark_of[marked]]
-        for name, need in (("flat", self.used + len(ids)), ("starts", len(self.known)), ("lengths", len(self.known))):
-            old = getattr(self, name)
-            if need > len(old):
-                new = np.empty(max(need, 2 * len(old)), old.dtype)
-                new[:len(old)] = old
-                setattr(self, name, new)
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.starts[before:len(self.known)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[before:len(self.known)] = lengths
-        self.used += len(ids)
+        if self.word_ends is None or not self._learn_words(before, pieces):
+            self._store(before, *self._encode_pieces(pieces))
+
+    def _learn_words(self, before: int, pieces: list[str]) -> bool:
+        """The same for pieces that are mostly words of Latin-1 letters: by lower-cased word, known or new."""
+        new: dict[str, int] = {}
+        # Of each piece: number of its word among the known (below ``before``), then the new ones; -1: no such word.
+        base_of, mark_of = [], []
+        known, seen = self.known.get, new.setdefault
+        for piece in pieces:
+            mark = 0
+            word = piece
+            if not piece.isalpha():
+                mark = _MARKS.find(piece[-1:]) + 1 if piece else 0
+                word = piece[:-1] if mark else ""
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                word = word.lower()
+                n = known(word, before)
+                base_of.append(n if n < before else before + seen(word, len(new)))
+            else:
+                mark = 0
+                base_of.append(-1)
+            mark_of.append(mark)
+        ids, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        if new:
+            found = self._encode_words(list(new))
+            if found is None:
+                return False
+            ids, counts = found
+        base, mark = np.array(base_of, np.int64), np.array(mark_of, np.int64)
+        other = np.flatnonzero(base < 0)
+        if len(other):
+            odd_ids, odd = self._encode_pieces([pieces[n] for n in other.tolist()])
+            base[other] = before + len(counts) + np.arange(len(other))
+            ids, counts = np.r_[ids, odd_ids], np.r_[counts, odd]
+        source = np.concatenate([self.flat[:self.used], ids.astype(self.dtype)])
+        source_lengths = np.r_[self.lengths[:before], counts]
+        source_starts = np.r_[self.starts[:before], self.used + np.cumsum(counts) - counts]
+        own = source_lengths[base]
+        lengths = own + (mark > 0)
+        ends = np.cumsum(lengths)
+        out = np.empty(int(lengths.sum()), self.dtype)
+        out[ragged(ends - lengths, own)] = source[ragged(source_starts[base], own)]
+        out[ends[mark > 0] - 1] = self.mark_ids[mark[mark > 0]]
+        self._store(before, out, lengths)
+        return True
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each followed by the end id, and each text's number of ids."""
@@ -216,11 +251,12 @@ class Encoder:
             words += text.replace("\n", " ").split(" ")
             counts.append(len(words) - before)
         if len(self.known) > CACHE_PIECES:
-            self.forget()
+            self.forget_rare()
         before = len(self.known)
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > before:
             self._learn(before)
+        self.uses[:len(self.known)] += np.bincount(place, minlength=len(self.known))
         lengths = self.lengths[place]
         ids = self.flat[ragged(self.starts[place], lengths)]
         per_text = np.add.reduceat(lengths, np.cumsum([0] + counts[:-1]))
@@ -402,7 +438,8 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     fs, root = filesystem(folder)
     with fs.open_input_stream(f"{root}/ids.json", compression=None) as file:
         id_of = np.array(json.loads(file.read())["ids"], np.uint32)
-    shards = manifest.select("shard", "start").repartition("shard")
+    # A number of its own, or Spark would merge the few rows into one task.
+    shards = manifest.select("shard", "start").repartition(max(1, manifest.count()), "start")
     return shards.mapInArrow(_read(folder, spark.sparkContext.broadcast(id_of)), DOC_SCHEMA)
 
 
