@@ -108,8 +108,11 @@ def indexed(words: list) -> tuple[list, np.ndarray]:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every run, runs one after another."""
     total = int(lengths.sum())
-    before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+    shift = starts - (np.cumsum(lengths) - lengths)
+    kind = np.int32 if max(total, int(starts.max(initial=0)) + total) < 1 << 31 else np.int64
+    out = np.repeat(shift.astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

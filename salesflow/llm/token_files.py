@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from salesflow.llm._common import as_text, filesystem, ids_of, ids_out, ragged, scratch, slices
 
 PIECE_CHARS = 4 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 BLOCK_IDS = 1 << 20
 MAGIC = b"RANKVB01"
 HEAD = "<qqqq"  # documents, ids, control bytes, data bytes of a block
@@ -63,23 +63,28 @@ DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1  # of each control byte
 
 
-def _used(lengths: np.ndarray) -> np.ndarray:
-    """Which bytes of each value, as wide as the longest one, are written."""
-    width = int(lengths.max(initial=1))
+def _used(lengths: np.ndarray, width: int) -> np.ndarray:
+    """Which of ``width`` bytes of each value are written."""
     used = np.ones((len(lengths), width), bool)
     for k in range(1, width):
         used[:, k] = lengths > k
     return used
 
 
+def _width(longest: int) -> int:
+    """Bytes of the narrowest integer type for values of so many bytes."""
+    return 1 << (longest - 1).bit_length()
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4", copy=False)
     lengths = np.ones(len(values), np.uint8)
+    top = int(values.max(initial=0))
     for bound in (1 << 8, 1 << 16, 1 << 24):
-        lengths += values >= bound
-    used = _used(lengths)
-    data = values.view(np.uint8).reshape(-1, 4)[:, :used.shape[1]][used]
+        if top >= bound:
+            lengths += values >= bound
+    width = _width(int(lengths.max(initial=1)))
+    data = values.astype(f"<u{width}", copy=False).view(np.uint8).reshape(-1, width)[_used(lengths, width)]
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[:len(values)] = lengths - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
@@ -88,10 +93,11 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of ``pack``'s bytes."""
-    used = _used(_LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n])
-    values = np.zeros((n, 4), np.uint8)
-    values[:, :used.shape[1]][used] = np.frombuffer(data, np.uint8)
-    return values.view("<u4").ravel()
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    width = _width(int(lengths.max(initial=1)))
+    values = np.zeros((n, width), np.uint8)
+    values[_used(lengths, width)] = np.frombuffer(data, np.uint8)
+    return values.view(f"<u{width}").ravel()
 
 
 # ---------------------------------------------------------------------------
@@ -99,6 +105,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---------------------------------------------------------------------------
 
 _MARKS = ".,"
+_TEXT_END = "\n"  # stands for the end id; texts are cut at line ends, so no piece is one
 
 
 class _Numbered(dict):
@@ -130,18 +137,20 @@ class Encoder:
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
         self.uses = np.zeros(1 << 14, np.int64)
+        self.known[_TEXT_END]
+        self._store(0, np.array([self.end_id], self.dtype), np.ones(1, np.int64))
 
     def forget_rare(self) -> None:
         """Keep the pieces used most often since the last time, half a cache at most."""
-        uses = self.uses[:len(self.known)]
-        kept = np.flatnonzero(uses > 2)
+        uses = self.uses[1:len(self.known)]  # the text end is always kept
+        kept = np.flatnonzero(uses > 2) + 1
         if len(kept) > CACHE_PIECES // 2:
-            kept = np.sort(np.argsort(-uses, kind="stable")[:CACHE_PIECES // 2])
+            kept = np.sort(np.argsort(-uses, kind="stable")[:CACHE_PIECES // 2]) + 1
         pieces = list(self.known)
         ids, lengths = self.flat[ragged(self.starts[kept], self.lengths[kept])], self.lengths[kept]
         self.forget()
-        self.known.update(zip(map(pieces.__getitem__, kept.tolist()), range(len(kept))))
-        self._store(0, ids, lengths)
+        self.known.update(zip(map(pieces.__getitem__, kept.tolist()), range(1, len(kept) + 1)))
+        self._store(1, ids, lengths)
 
     def _store(self, before: int, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Enter the ids of the pieces from number ``before`` on."""
@@ -249,22 +258,18 @@ class Encoder:
         for text in texts:
             before = len(words)
             words += text.replace("\n", " ").split(" ")
+            words.append(_TEXT_END)
             counts.append(len(words) - before)
         if len(self.known) > CACHE_PIECES:
             self.forget_rare()
         before = len(self.known)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         if len(self.known) > before:
             self._learn(before)
         self.uses[:len(self.known)] += np.bincount(place, minlength=len(self.known))
         lengths = self.lengths[place]
         ids = self.flat[ragged(self.starts[place], lengths)]
-        per_text = np.add.reduceat(lengths, np.cumsum([0] + counts[:-1]))
-        out = np.full(len(ids) + len(texts), self.end_id, self.dtype)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(per_text + 1) - 1] = False
-        out[keep] = ids
-        return out, per_text + 1
+        return ids, np.add.reduceat(lengths, np.cumsum([0] + counts[:-1]))
 
 
 @lru_cache(maxsize=1)
@@ -418,8 +423,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     for row in totals.collect():
         counts[row["id"]] = row["n"]
     id_of = np.argsort(-counts, kind="stable").astype(np.uint32)
-    rank_of = np.empty(size.size, np.uint32)
-    rank_of[id_of] = np.arange(size.size, dtype=np.uint32)
+    rank_of = np.empty(size.size, size.dtype)
+    rank_of[id_of] = np.arange(size.size, dtype=size.dtype)
     fs, root = filesystem(folder)
     with fs.open_output_stream(f"{root}/ids.json", compression=None) as out:
         out.write(json.dumps({"end_id": end_id, "ids": id_of.tolist()}).encode())
