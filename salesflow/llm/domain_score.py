@@ -10,8 +10,9 @@ mean over its tokens of target loss minus background loss in nats; lower means
 closer to the target.
 
 Counts are gathered over all rows: each task reduces its own rows to distinct
-n-grams, which meet by n-gram. Probabilities are computed in one join per
-order, of contexts and shorter n-grams, and no table is collected. Scores
+longest n-grams, which meet by n-gram; shorter ones are sums over those that
+end in them. Probabilities are computed in joins, order by order, of contexts
+and shorter n-grams. Scores
 need the longest n-grams only, since every n-gram of the corpus is in the
 background: their loss pairs are taken in blocks of ``block_rows`` rows by
 hash, each broadcast by itself, so what is broadcast is bounded whatever the
@@ -26,6 +27,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,30 +37,36 @@ from pyspark.sql import functions as F
 
 from salesflow.llm._common import as_text, code_points, indexed, materialize, mix64, scratch, slices, word_blocks
 
-COUNT_SCHEMA = "n int, gram long, context long, shorter long, target long, background long"
 _START = 0x110000  # mark before a word: no character has this code; the blank behind a word marks its end
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(words: list[str], order: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Tokens per word, and per order 1..``order`` the hashes (n-gram, its context, the n-gram without its
-    first character) at every token of all words on end. Contexts are cut at the word's start mark."""
+def grams(words: list[str], order: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Tokens per word (its characters and the end mark), and for n = 1 .. ``order`` the hashes of the n
+    characters that end at every token of all words on end, with start marks before a word."""
     codes, starts = code_points(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the end mark
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     codes = codes.astype(np.uint64)
-    place = np.arange(len(codes)) - np.repeat(starts, lengths)  # of each token in its word
 
-    def run(back: int, last: int) -> np.ndarray:
-        """Hash of the characters from ``back`` to ``last`` tokens before each token (marks before the word)."""
-        h = np.full(len(codes), back - last + 1, np.uint64)
-        for k in range(back, last - 1, -1):
-            c = np.full(len(codes), _START, np.uint64)
-            inside = place >= k
-            c[inside] = codes[np.flatnonzero(inside) - k]
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
-        return h
+    def run() -> Iterator[np.ndarray]:
+        total, factor = np.zeros(len(codes), np.uint64), np.uint64(1)
+        back = codes
+        for n in range(1, order + 1):
+            total += back * factor
+            factor *= _STEP
+            yield mix64(total + np.uint64(n))
+            back = np.r_[np.uint64(_START), back[:-1]]
+            back[starts] = _START
+    return lengths, run()
 
-    return lengths, {n: (run(n - 1, 0), run(n - 1, 1) if n > 1 else np.zeros(len(codes), np.uint64),
-                         run(n - 2, 0) if n > 1 else np.zeros(len(codes), np.uint64)) for n in range(1, order + 1)}
+
+def start_hash(n: int) -> int:
+    """The hash of ``n`` start marks, the context of a word's first character."""
+    factor, total = 1, 0
+    for _ in range(n):
+        total += _START * factor
+        factor = factor * int(_STEP) % (1 << 64)
+    return int(mix64(np.array([(total + n) % (1 << 64)], np.uint64))[0])
 
 
 def _word_blocks(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -80,25 +88,27 @@ def _decoded(words: list[bytes]) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in words]
 
 
+def _columns(order: int) -> list[str]:
+    return [f"{kind}{n}" for n in range(1, order + 1) for kind in ("gram", "context")]
+
+
 def _count(order: int, merge_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {n: [] for n in range(1, order + 1)}
+    names = [*_columns(order), "target", "background"]
+
+    def merged(parts: list) -> list[np.ndarray]:
+        """Rows of (gram and context of each order, target count, count), one for each longest n-gram."""
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        _, first, at = np.unique(columns[2 * order - 2], return_index=True, return_inverse=True)
+        sums = [np.bincount(at, c, minlength=len(first)).astype(np.int64) for c in columns[-2:]]
+        return [c[first] for c in columns[:-2]] + sums
 
-        def merged(parts: list):
-            gram, context, shorter, target, background = map(np.concatenate, zip(*parts))
-            keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
-            sums = [np.bincount(at, c, minlength=len(keys)).astype(np.int64) for c in (target, background)]
-            return keys, context[first], shorter[first], *sums
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for n in held:
-                if held[n]:
-                    keys, context, shorter, target, background = merged(held[n])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), n, np.int32)),
-                         *(pa.array(c.view(np.int64)) for c in (keys, context, shorter)), pa.array(target), pa.array(background)],
-                        ["n", "gram", "context", "shorter", "target", "background"])
-                held[n] = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in merged(held)], names)
+                held.clear()
 
         for part in slices(batches, "text"):
             chosen = np.array([bool(x) for x in part.column("is_target").to_pylist()], bool)
@@ -107,20 +117,29 @@ def _count(order: int, merge_at: int):
                 wanted = np.repeat(chosen[at], sizes)
                 every = np.bincount(ids, minlength=len(distinct))
                 target = np.bincount(ids[wanted], minlength=len(distinct))
-                lengths, grams = gram_hashes(_decoded(distinct), order)
-                weights = np.repeat(target, lengths), np.repeat(every, lengths)
-                for n, hashes in grams.items():
-                    held[n].append(merged([(*hashes, *weights)]))
-            if sum(len(rows[0]) for parts in held.values() for rows in parts) > merge_at:
+                lengths, hashes = grams(_decoded(distinct), order)
+                starts = np.cumsum(lengths) - lengths
+                columns, last = [], None
+                for n, gram in enumerate(hashes, 1):
+                    if n == 1:
+                        context = np.zeros(len(gram), np.uint64)
+                    else:  # the shorter n-gram that ends one token before
+                        context = np.r_[np.uint64(0), last[:-1]]
+                        context[starts] = start_hash(n - 1)
+                    columns += [gram, context]
+                    last = gram
+                held.append(merged([columns + [np.repeat(target, lengths), np.repeat(every, lengths)]]))
+            if sum(len(rows[0]) for rows in held) > merge_at:
                 yield from flush()
         yield from flush()
     return run
 
 
-def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 21) -> DataFrame:
-    """n, gram, context, shorter, target, background: counts over all of ``rows`` (text, is_target)."""
-    return (rows.select("text", "is_target").mapInArrow(_count(order, merge_at), COUNT_SCHEMA)
-            .groupBy("n", "gram", "context", "shorter")
+def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 20) -> DataFrame:
+    """Counts over all of ``rows`` (text, is_target) by longest n-gram, with the hashes of its shorter ones."""
+    names = _columns(order)
+    schema = ", ".join(f"{c} long" for c in [*names, "target", "background"])
+    return (rows.select("text", "is_target").mapInArrow(_count(order, merge_at), schema).groupBy(*names)
             .agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
 
@@ -131,17 +150,20 @@ def losses(counts: DataFrame, order: int) -> DataFrame:
     kinds(h) the different characters seen after h; an unseen context falls
     through to the shorter one; below order 1 all characters are alike.
     """
-    contexts = counts.groupBy("n", "context").agg(
-        *[F.sum(m).alias(f"{m}_all") for m in ("target", "background")],
-        *[F.sum((F.col(m) > 0).cast("long")).alias(f"{m}_kinds") for m in ("target", "background")])
-    floor = F.lit(1.0 / max(1, counts.filter("n = 1").count()))  # over the shared vocabulary
     below = None
     for n in range(1, order + 1):
-        own = counts.filter(F.col("n") == n).join(contexts.filter(F.col("n") == n).drop("n"), "context")
+        keys = [F.col(f"gram{n}").alias("gram"), F.col(f"context{n}").alias("context"),
+                (F.col(f"gram{n - 1}") if n > 1 else F.lit(0)).alias("shorter")]
+        own = counts.groupBy(*keys).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        contexts = own.groupBy("context").agg(
+            *[F.sum(m).alias(f"{m}_all") for m in ("target", "background")],
+            *[F.sum((F.col(m) > 0).cast("long")).alias(f"{m}_kinds") for m in ("target", "background")])
         if below is None:
+            floor = F.lit(1.0 / max(1, own.count()))  # over the shared vocabulary
             own = own.withColumn("target_low", floor).withColumn("background_low", floor)
         else:
             own = own.join(below, "shorter")
+        own = own.join(contexts, "context")
 
         def p(m: str):
             whole = F.col(f"{m}_all") + F.col(f"{m}_kinds")
@@ -158,8 +180,8 @@ def text_sums(texts: list[str], order: int, keys: np.ndarray, pairs: np.ndarray)
     sums = np.zeros((len(texts), 3))
     for at, sizes, words in _word_blocks(texts):
         distinct, ids = indexed(words)
-        lengths, grams = gram_hashes(_decoded(distinct), order)
-        gram = grams[order][0].view(np.int64)
+        lengths, hashes = grams(_decoded(distinct), order)
+        gram = deque(hashes, maxlen=1).pop().view(np.int64)
         values = np.zeros((len(gram), 3))
         values[:, 0] = 1
         if len(keys):
@@ -181,7 +203,8 @@ def score_rows(docs: DataFrame, target_ids: DataFrame, order: int = 4, block_row
     folder = folder or scratch(spark, "domain")
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("__chosen")).filter("__chosen is not null").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = own.join(chosen, F.col("doc_id") == F.col("__chosen"), "left").select(
+    # One plan at every size: a sort-merge join, never a broadcast while the ids happen to be few.
+    marked = own.join(chosen.hint("merge"), F.col("doc_id") == F.col("__chosen"), "left").select(
         "text", F.col("__chosen").isNotNull().alias("is_target"))
     counts = materialize(ngram_counts(marked, order), folder + "/counts")
     table = materialize(losses(counts, order), folder + "/losses")
