@@ -3,8 +3,8 @@
 Tokens are white-space separated words, lower-cased, letters and digits only.
 A seed is a fixed mask over token positions; a window's seed hash covers the
 positions that the mask keeps and ignores the others. Seed hashes of test
-items and of training documents are joined, and around every hit the item is
-laid over the document on the hit's diagonal and compared token by token. A
+items and of training documents are joined, and around every hit the two are
+compared token by token (places of one text with equal surroundings once). A
 document overlaps an item when some stretch of ``window`` tokens (the whole
 item, if that is shorter) agrees in ``similarity`` or more of its positions.
 The masks below find every such stretch of 20 tokens with up to four
@@ -40,7 +40,7 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8), (0,
 MIN_TOKENS = 5
 PAIR_SCHEMA = "doc_id long, item_id long, similarity double, start int, matched int, item_tokens int"
 _FILTER_BITS = 22
-_PAIRS_AT_ONCE = 1 << 20
+_PLACES_AT_ONCE = 1 << 16
 
 
 def token(word: str) -> str:
@@ -91,100 +91,127 @@ def hash_start(mask: tuple[int, ...]) -> int:
     return sum(1 << p for p in mask)
 
 
+def surroundings(tokens: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
+    """Tokens from ``reach`` before to ``reach`` after each place; 0 outside [lo, hi)."""
+    place = at[:, None] + np.arange(-reach, reach + 1)
+    inside = (place >= lo[:, None]) & (place < hi[:, None])
+    out = np.zeros(place.shape, np.uint64)
+    out[inside] = tokens[place[inside]]
+    return out
+
+
+def first_alike(tokens: np.ndarray, at: np.ndarray, seed: np.ndarray, owner: np.ndarray, lo: np.ndarray,
+                hi: np.ndarray, reach: int) -> np.ndarray:
+    """Which places to keep: of places of one owner with equal seed and surroundings, the first.
+
+    They would give the same comparisons, and in a text that repeats itself there may be very many.
+    """
+    look = np.empty(len(at), np.uint64)
+    for k in range(0, len(at), _PLACES_AT_ONCE):
+        part = slice(k, k + _PLACES_AT_ONCE)
+        h = mix64(seed[part] + mix64(owner[part].astype(np.uint64)))
+        for column in surroundings(tokens, at[part], lo[part], hi[part], reach).T:
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + column)
+        look[part] = h
+    return np.sort(np.unique(look, return_index=True)[1])
+
+
 class SeedTable:
     """Seed hashes of a block of items, sorted, with item and position of each; item tokens on end."""
 
-    def __init__(self, item_ids: list, texts: list[str]):
-        self.item_ids = item_ids
+    def __init__(self, item_ids: list, texts: list[str], window: int = 20):
+        self.item_ids, self.window = item_ids, window
         self.tokens, self.counts = token_hashes(texts)
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.ends = np.cumsum(self.counts)
+        self.starts = self.ends - self.counts
         item_of = np.repeat(np.arange(len(texts)), self.counts)
         keys, items, places = [], [], []
         for mask in MASKS:
             h = seed_hashes(self.tokens, mask)
-            at = np.arange(len(h))
-            inside = (item_of[:len(h)] == item_of[mask[-1]:]) & (self.counts[item_of[:len(h)]] >= MIN_TOKENS)
-            keys.append(h[inside])
-            items.append(item_of[:len(h)][inside])
-            places.append((at - self.starts[item_of[:len(h)]])[inside])
+            at = np.flatnonzero((item_of[:len(h)] == item_of[mask[-1]:]) & (self.counts[item_of[:len(h)]] >= MIN_TOKENS))
+            item = item_of[at]
+            kept = first_alike(self.tokens, at, h[at], item, self.starts[item], self.ends[item], window - 1)
+            keys.append(h[at[kept]])
+            items.append(item[kept])
+            places.append(at[kept])
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         self.keys = key[order]
         self.items = np.concatenate(items)[order].astype(np.int32)
-        self.places = np.concatenate(places)[order].astype(np.int32)
+        self.places = np.concatenate(places)[order]
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def hits(self, tokens: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, position in item) of equal seed hashes inside one document, in bounded pieces."""
+    def hits(self, tokens: np.ndarray, doc_of: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        """(token, item, item token, seed's span) of equal seed hashes inside one document, in bounded pieces."""
         for mask in MASKS:
             h = seed_hashes(tokens, mask)
             at = np.flatnonzero(self.seen[h >> np.uint64(64 - _FILTER_BITS)])
             at = at[doc_of[at] == doc_of[at + mask[-1]]]
-            lo = np.searchsorted(self.keys, h[at], "left")
-            n = np.searchsorted(self.keys, h[at], "right") - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            first = np.searchsorted(self.keys, h[at], "left")
+            n = np.searchsorted(self.keys, h[at], "right") - first
+            at, first, n = at[n > 0], first[n > 0], n[n > 0]
+            kept = first_alike(tokens, at, h[at], doc_of[at], lo[doc_of[at]], hi[doc_of[at]], self.window - 1)
+            at, first, n = at[kept], first[kept], n[kept]
             ends = np.cumsum(n)
             start = 0
             while start < len(at):
                 before = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + _PAIRS_AT_ONCE, "right")))
-                entry = ragged(lo[start:stop], n[start:stop])
-                yield np.repeat(at[start:stop], n[start:stop]), self.items[entry], self.places[entry]
+                stop = max(start + 1, int(np.searchsorted(ends, before + _PLACES_AT_ONCE, "right")))
+                entry = ragged(first[start:stop], n[start:stop])
+                yield np.repeat(at[start:stop], n[start:stop]), self.items[entry], self.places[entry], mask[-1] + 1
                 start = stop
 
 
-def best_stretch(same: np.ndarray, window: int) -> tuple[int, int]:
-    """Most agreements in a stretch of ``window`` positions, and where it starts."""
-    total = np.r_[0, np.cumsum(same)]
-    sums = total[window:] - total[:-window]
-    at = int(np.argmax(sums))
-    return int(sums[at]), at
-
-
-def overlaps(table: SeedTable, texts: list[str], window: int, similarity: float) -> Iterator[tuple]:
+def overlaps(table: SeedTable, texts: list[str], similarity: float) -> Iterator[tuple]:
     """(text index, item index, similarity, start token, matched, item tokens): best stretch of each pair."""
     tokens, counts = token_hashes(texts)
     if not len(tokens) or not len(table.keys):
         return
-    first = np.cumsum(counts) - counts
+    hi = np.cumsum(counts)
+    lo = hi - counts
     doc_of = np.repeat(np.arange(len(texts)), counts)
-    diagonals: set[tuple[int, int]] = set()  # (item, place of the item's first token)
+    reach = table.window - 1
     best: dict[tuple[int, int], tuple] = {}
-    for at, item, place in table.hits(tokens, doc_of):
-        for pair in np.unique(np.stack([item.astype(np.int64), at - place, doc_of[at]], axis=1), axis=0).tolist():
-            if tuple(pair) in diagonals:
-                continue
-            diagonals.add(tuple(pair))
-            i, lay, doc = pair
-            n = int(table.counts[i])
-            lo, hi = max(lay, int(first[doc])), min(lay + n, int(first[doc] + counts[doc]))
-            same = np.zeros(n, bool)
-            own = table.tokens[table.starts[i]:table.starts[i] + n]
-            same[lo - lay:hi - lay] = tokens[lo:hi] == own[lo - lay:hi - lay]
-            size = min(n, window)
-            agreed, begin = best_stretch(same, size)
-            if agreed >= similarity * size - 1e-9:
-                row = (agreed / size, int(same.sum()), -(lay + begin - int(first[doc])))
-                if (doc, i) not in best or row > best[doc, i]:
-                    best[doc, i] = row
-    for (doc, i), (share, matched, start) in sorted(best.items()):
-        yield doc, i, share, -start, matched, int(table.counts[i])
-
-
-def _blocks(items: DataFrame, block_tokens: int) -> Iterator[SeedTable]:
+    for at, item, place, span in table.hits(tokens, doc_of, lo, hi):
+        doc = doc_of[at]
+        theirs = surroundings(table.tokens, place, table.starts[item], table.ends[item], reach)
+        ours = surroundings(tokens, at, lo[doc], hi[doc], reach)
+        agree = np.pad(np.cumsum((ours == theirs) & (theirs != 0), axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+        size = np.minimum(table.counts[item], table.window)
+        # Stretches [reach + s, reach + s + size) that hold the seed and lie inside both.
+        best_sum, best_at = np.full(len(at), -1), np.zeros(len(at), np.int64)
+        for s in range(span - table.window, 1):
+            fits = ((s + size >= span) & (place + s >= table.starts[item]) & (place + s + size <= table.ends[item])
+                    & (at + s >= lo[doc]) & (at + s + size <= hi[doc]))
+            rows = np.flatnonzero(fits)
+            sums = agree[rows, reach + s + size[rows]] - agree[rows, reach + s]
+            better = sums > best_sum[rows]
+            best_sum[rows[better]], best_at[rows[better]] = sums[better], s
+        good = np.flatnonzero(best_sum >= similarity * size - 1e-9)
+        start = at[good] + best_at[good] - lo[doc[good]]
+        for d, i, agreed, n, begin in zip(doc[good].tolist(), item[good].tolist(), best_sum[good].tolist(),
+                                          size[good].tolist(), start.tolist()):
+            row = (agreed / n, agreed, -begin)
+            if (d, i) not in best or row > best[d, i]:
+                best[d, i] = row
+    for (d, i), (share, matched, start) in sorted(best.items()):
+        yield d, i, share, -start, matched, int(table.counts[i])
+
+
+def _blocks(items: DataFrame, block_tokens: int, window: int) -> Iterator[SeedTable]:
     ids, texts, size = [], [], 0
     for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         text = row["text"] or ""
         n = sum(map(len, word_blocks(text)))
         if texts and size + n > block_tokens:
-            yield SeedTable(ids, texts)
+            yield SeedTable(ids, texts, window)
             ids, texts, size = [], [], 0
         ids.append(row["item_id"])
         texts.append(text)
         size += n
     if texts:
-        yield SeedTable(ids, texts)
+        yield SeedTable(ids, texts, window)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, window: int = 20, similarity: float = 0.8,
@@ -192,7 +219,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, window: int = 20, simi
     """One row for each document row and overlapping item, with the best stretch.
 
     doc_id, item_id, similarity (of that stretch), start (its first token in
-    the document), matched (agreeing tokens over the whole item), item_tokens.
+    the document), matched (its agreeing tokens), item_tokens.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "decontaminate")
@@ -204,7 +231,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, window: int = 20, simi
             for part in slices(batches, "text"):
                 doc_ids = part.column("doc_id").to_pylist()
                 rows = [(doc_ids[d], table.item_ids[i], *rest)
-                        for d, i, *rest in overlaps(table, as_text(part.column("text")), window, similarity)]
+                        for d, i, *rest in overlaps(table, as_text(part.column("text")), similarity)]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
@@ -212,7 +239,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, window: int = 20, simi
         return run
 
     out = None
-    for k, table in enumerate(_blocks(items, block_tokens)):
+    for k, table in enumerate(_blocks(items, block_tokens, window)):
         found = materialize(narrow.mapInArrow(against(spark.sparkContext.broadcast(table)), PAIR_SCHEMA),
                             f"{folder}/block-{k}")
         out = found if out is None else out.unionByName(found)
@@ -225,15 +252,15 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
     A row is known by doc_id and text, so rows that share only a doc_id are
     judged each by its own text.
     """
-    def overlapping(shared, window, similarity):
+    def overlapping(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for part in slices(batches, "text"):
-                gone = {d for d, *_ in overlaps(table, as_text(part.column("text")), window, similarity)}
+                gone = {d for d, *_ in overlaps(table, as_text(part.column("text")), similarity)}
                 yield part.filter(pa.array([i not in gone for i in range(part.num_rows)], pa.bool_()))
         return run
 
     window, similarity = options.get("window", 20), options.get("similarity", 0.8)
-    for table in _blocks(items, options.get("block_tokens", 200_000)):
-        docs = docs.mapInArrow(overlapping(docs.sparkSession.sparkContext.broadcast(table), window, similarity), docs.schema)
+    for table in _blocks(items, options.get("block_tokens", 200_000), window):
+        docs = docs.mapInArrow(overlapping(docs.sparkSession.sparkContext.broadcast(table)), docs.schema)
     return docs
