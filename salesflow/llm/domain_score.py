@@ -135,7 +135,7 @@ def _count(order: int, merge_at: int):
     return run
 
 
-def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 20) -> DataFrame:
+def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 19) -> DataFrame:
     """Counts over all of ``rows`` (text, is_target) by longest n-gram, with the hashes of its shorter ones."""
     names = _columns(order)
     schema = ", ".join(f"{c} long" for c in [*names, "target", "background"])

@@ -98,6 +98,16 @@ def word_features(words: list[str], options: Options) -> tuple[np.ndarray, np.nd
     return np.concatenate(pieces)[order], np.sum(counts, axis=0)
 
 
+# Distinct words whose features are held at once.
+WORDS_AT_ONCE = 1 << 15
+
+
+def _in_parts(words: list[str], options: Options) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First word, feature columns and number of them per word, for parts of ``words``."""
+    for start in range(0, len(words), WORDS_AT_ONCE):
+        yield start, *word_features(words[start:start + WORDS_AT_ONCE], options)
+
+
 def _text_words(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
     """Blocks of (text index, number of words, words) that together hold all texts."""
     at, sizes, words = [], [], []
@@ -141,7 +151,8 @@ def _frequencies(options: Options):
             last = -1
             for at, sizes, words in _text_words(as_text(part.column("text"))):
                 distinct, ids = indexed(words)
-                columns, counts = word_features(distinct, options)
+                parts = [(c.astype(np.int32), n) for _, c, n in _in_parts(distinct, options)]
+                columns, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
                 starts = np.cumsum(counts) - counts
                 ends = np.cumsum(sizes)
                 for i, a, e in zip(at, (ends - sizes).tolist(), ends.tolist()):
@@ -272,15 +283,13 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     sums = np.zeros((len(texts), k + 1))
     for at, sizes, words in _text_words(texts):
         distinct, ids = indexed(words)
-        columns, counts = word_features(distinct, model.options)
         each = np.zeros((len(distinct), k + 1))
-        some = np.flatnonzero(counts)
-        if len(some):
-            each[some, :k] = np.add.reduceat(model.weights[columns], (np.cumsum(counts) - counts)[some], axis=0)
-        each[:, k] = counts
-        sums[at] += np.add.reduceat(each[ids], np.cumsum(sizes) - sizes, axis=0) if len(set(at)) == len(at) else 0
-        if len(set(at)) != len(at):
-            np.add.at(sums, at, np.add.reduceat(each[ids], np.cumsum(sizes) - sizes, axis=0))
+        for start, columns, counts in _in_parts(distinct, model.options):
+            some = np.flatnonzero(counts)
+            if len(some):
+                each[start + some, :k] = np.add.reduceat(model.weights[columns], (np.cumsum(counts) - counts)[some], axis=0)
+            each[start:start + len(counts), k] = counts
+        np.add.at(sums, at, np.add.reduceat(each[ids], np.cumsum(sizes) - sizes, axis=0))
     known = np.flatnonzero(sums[:, k])
     p = _softmax((sums[known, :k] / sums[known, k:] + model.bias) / model.temperature)
     best = p.argmax(axis=1)
