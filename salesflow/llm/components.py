@@ -12,18 +12,21 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int, path: str) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself)."""
     near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # The smallest neighbours are written, so that their join has a shuffle on either side and Spark can
+    # split a node that most edges meet in.
+    least = materialize_few(near.groupBy("u").agg(F.min("v").alias("m"))
+                            .select("u", F.least("u", "m").alias("m")), 2 * rows, path)
     return (near.filter(F.col("v") > F.col("u")).join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int, path: str) -> DataFrame:
     """Every node's smaller neighbours, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize_few(down.groupBy("u").agg(F.min("v").alias("m")), rows, path)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -43,7 +46,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     state, step = _state(now), 0
     while state[0]:
         step += 1
-        now = materialize_few(_small_star(_large_star(now)), 2 * state[0], f"{folder}/round-{step}")
+        rows = state[0]
+        wide = _large_star(now, rows, f"{folder}/large-{step}")
+        now = materialize_few(_small_star(wide, rows, f"{folder}/small-{step}"), 2 * rows, f"{folder}/round-{step}")
         after = _state(now)
         if after == state:
             break

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesflow.llm._common import (
@@ -217,7 +217,7 @@ def _link(max_bits: int, bucket_rows: int):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int, folder: str, bucket_rows: int = 1 << 14) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int, folder: str, bucket_rows: int = 1 << 16) -> DataFrame:
     """u, v: edges that connect exactly the fingerprints (column fp, distinct) linked at ``max_bits``."""
     rows = distinct.select("fp").mapInArrow(_enter(max_bits), BUCKET_SCHEMA)
     edges = None
@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str
     members = roots.select(F.col("u").alias("fp"), "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct())
     members = members.join(firsts, "fp")
-    least = members.groupBy("root").agg(F.min("first_id").alias("component"))
+    least = materialize_few(members.groupBy("root").agg(F.min("first_id").alias("component")), distinct,
+                            folder + "/least")
     linked = members.join(least, "root").select("fp", "component")
     # Written, so that the last join has a shuffle on either side and Spark can split a hot fingerprint.
     own = materialize_few(firsts.join(linked, "fp", "left").select(
@@ -269,8 +270,6 @@ def keep_one(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str | None
     heads = (near_duplicates(docs, k, max_bits, folder)
              .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__head")).distinct())
-    from pyspark.sql import Window
-
     named = docs.withColumn("__head", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     order = Window.partitionBy("__head").orderBy(F.xxhash64("text"), F.col("text"))
     return (named.join(heads, "__head", "left_semi").withColumn("__nth", F.row_number().over(order))
