@@ -6,6 +6,8 @@ whole-stage codegen; there are no Python UDFs.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,25 +25,31 @@ NA_TOKENS = [
 # Chinese date marks: year and month become '-', day is removed.
 CN_YEAR, CN_MONTH, CN_DAY = "年", "月", "日"
 
-# Formats a free-text date may take after the marks are replaced, tried in order.
+# Formats a free-text date may take after the marks and slashes are replaced, tried in order.
 DATE_FORMATS = [
     "yyyy-M-d",
     "yyyy-M-d H:m:s",
+    "yyyy-M-d H:m:s.SSSSSSSSS",
     "yyyy-M-d H:m",
     "yyyy-M",
     "yyyyMMdd",
-    "M/d/yyyy",
+    "M-d-yyyy",
+    "M-d-yyyy H:m:s",
+    "M-d-yyyy H:m",
     "yyyy.M.d",
 ]
 
+# White space at the ends of a text, as Python's ``strip`` sees it.
+EDGE_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
 # A plain decimal number, optionally signed, with optional exponent.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Month label of a missing date (what a missing monthly period prints as).
 MISSING_MONTH = "NaT"
 
-# Money precision of the source systems.
-MONEY = "decimal(10,2)"
+# Money of one line: two decimals, as in the source systems, and wide enough for any amount.
+MONEY = "decimal(28,2)"
 
 
 # ---------------------------------------------------------------------------
@@ -82,8 +90,9 @@ def try_number_sql(expr: str) -> str:
     The pattern guard rejects forms Spark's cast would accept but a numeric
     coercion would not (``12d``, ``12f``, ``nan``, ``Infinity``).
     """
+    number = f"TRY_CAST(TRIM(CAST({expr} AS STRING)) AS DOUBLE)"
     return (f"CASE WHEN CAST({expr} AS STRING) RLIKE {_q(NUMBER_PATTERN)} "
-            f"THEN TRY_CAST(TRIM(CAST({expr} AS STRING)) AS DOUBLE) END")
+            f"AND abs({number}) < double('Infinity') THEN {number} END")
 
 
 def cn_date_sql(expr: str) -> str:
@@ -93,8 +102,10 @@ def cn_date_sql(expr: str) -> str:
     month 13) give NULL because every format is tried with
     ``try_to_timestamp``.
     """
-    s = (f"replace(replace(replace(trim(CAST({expr} AS STRING)), {_q(CN_YEAR)}, '-'), "
-         f"{_q(CN_MONTH)}, '-'), {_q(CN_DAY)}, '')")
+    marks = (f"replace(replace(replace(CAST({expr} AS STRING), {_q(CN_YEAR)}, '-'), "
+             f"{_q(CN_MONTH)}, '-'), {_q(CN_DAY)}, '')")
+    s = (f"regexp_replace(replace(regexp_replace({marks}, {_q('(?U)' + EDGE_SPACE)}, ''), '/', '-'), "
+         f"'([0-9])T([0-9])', '$1 $2')")
     tries = ", ".join(f"try_to_timestamp({s}, {_q(f)})" for f in DATE_FORMATS)
     return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
 
@@ -107,21 +118,23 @@ def na_to_null(c: Column | str) -> Column:
 
 
 def try_number(c: Column | str) -> Column:
-    """Text to double; anything that is not a plain number gives NULL."""
+    """Text to double; anything that is not a plain finite number gives NULL."""
     if isinstance(c, str):
         return F.expr(try_number_sql(_ident(c)))
     s = c.cast("string")
-    return F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
+    number = F.trim(s).try_cast("double")
+    return F.when(s.rlike(NUMBER_PATTERN) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def cn_date(c: Column | str) -> Column:
     """Parse a free-text date such as '2024年3月15日' into timestamp_ntz."""
     if isinstance(c, str):
         return F.expr(cn_date_sql(_ident(c)))
-    s = F.trim(c.cast("string"))
-    s = F.replace(F.replace(F.replace(s, F.lit(CN_YEAR), F.lit("-")),
-                            F.lit(CN_MONTH), F.lit("-")),
-                  F.lit(CN_DAY), F.lit(""))
+    s = c.cast("string")
+    for mark, to in ((CN_YEAR, "-"), (CN_MONTH, "-"), (CN_DAY, "")):
+        s = F.replace(s, F.lit(mark), F.lit(to))
+    s = F.replace(F.regexp_replace(s, "(?U)" + EDGE_SPACE, ""), F.lit("/"), F.lit("-"))
+    s = F.regexp_replace(s, "([0-9])T([0-9])", "$1 $2")
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
 
 
@@ -134,28 +147,44 @@ def month_of(ts: Column) -> Column:
 # Money and ratios
 # ---------------------------------------------------------------------------
 
-def cents(c: Column) -> Column:
-    """Money (2 decimals) as whole cents in a long; exact for |amount| < 2**52 / 100."""
-    return F.rint(c.cast("double") * F.lit(100.0)).cast("bigint")
+# Whole cents up to this amount are summed as longs; ninety million lines of it fit one total.
+_CENTS_BELOW = 1e9
+# Other amounts below this are summed as decimals with ten places; anything larger as doubles.
+_EXACT_BELOW = 1e20
 
 
-def cents_sum(c: Column) -> Column:
-    """Exact sum of money in cents (long arithmetic, no decimal objects per row).
+def exact_money(c: Column) -> Column:
+    """Exact sum (decimal) of all amounts below 1e20: whole cents as longs, others with ten decimals.
 
-    NULL when there is nothing to sum, and NULL instead of a wrapped value if
-    the total ever leaves the long range.
+    0 when there is nothing to sum. A total beyond the long or decimal range raises.
     """
-    return F.try_sum(cents(c))
+    v = c.cast("double")
+    whole = F.rint(v * F.lit(100.0))
+    plain = (F.abs(v) < _CENTS_BELOW) & (whole / F.lit(100.0) == v)
+    some = F.count(F.when(plain, F.lit(1))) > 0
+    cents = F.when(some, F.coalesce(F.try_sum(F.when(plain, whole.cast("bigint"))),
+                                    F.raise_error(F.lit("money total out of range")).cast("bigint"))).otherwise(F.lit(0))
+    odd = F.when(~plain & (F.abs(v) < _EXACT_BELOW), v.cast("decimal(38,10)"))
+    odd_total = F.when(F.count(odd) > 0, F.coalesce(
+        F.try_sum(odd), F.raise_error(F.lit("money total out of range")).cast("decimal(38,10)")))
+    return ((cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,10)")
+            + F.coalesce(odd_total, F.lit(Decimal(0)).cast("decimal(38,10)")))
+
+
+def huge_money(c: Column) -> Column:
+    """Sum (double) of the amounts that ``exact_money`` leaves out; NULL when there is none."""
+    v = c.cast("double")
+    return F.sum(F.when(F.abs(v) >= _EXACT_BELOW, v))
 
 
-def from_cents(total: Column) -> Column:
-    """Cents total → double money; equal to the decimal sum converted to double."""
-    return total / F.lit(100.0)
+def whole_money(exact: Column, huge: Column) -> Column:
+    """Double total of the two parts."""
+    return exact.cast("double") + F.coalesce(huge, F.lit(0.0))
 
 
 def money_sum(c: Column) -> Column:
-    """Exact sum of money, as double; an empty or all-null group sums to 0."""
-    return F.when(F.count(c) == 0, F.lit(0.0)).otherwise(from_cents(cents_sum(c)))
+    """Sum of money, as double; an empty or all-null group sums to 0."""
+    return whole_money(exact_money(c), huge_money(c))
 
 
 def ratio(num: Column, den: Column) -> Column:

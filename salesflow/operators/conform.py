@@ -2,7 +2,7 @@
 
 ``products``, ``customers``, ``orders_fact``, ``inventory``, ``dealer_orders``
 and ``collections`` each read from a catalog (anything with ``.table(name)``)
-and return a lazy DataFrame. Money stays ``decimal(10,2)`` through the
+and return a lazy DataFrame. Money stays decimal with two places through the
 arithmetic and is exposed as double, the way the business reports read it.
 ``all_orders`` unions the shop and dealer channels by column name.
 
@@ -209,7 +209,8 @@ def collections(src) -> DataFrame:
     pay = src.table("payments").select("payment_id", "order_id", "amount", "status", "payment_time")
     o = src.table("orders").select("order_id", "user_id")
     u = src.table("users").select("user_id", F.col("username").alias("customer_name"))
-    j = pay.join(o, "order_id", "left").join(u, "user_id", "left")
+    # Buyers are found per order first, so payments without an order are never gathered under a null user.
+    j = pay.join(o.join(u, "user_id").select("order_id", "customer_name"), "order_id", "left")
 
     done = F.col("status") == COMPLETED
     receivable = F.col("amount").try_cast(MONEY)

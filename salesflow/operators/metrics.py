@@ -3,7 +3,7 @@
 Conventions (those of a pandas group-by, which the reports were built on):
 NULL group keys are dropped; ``count`` counts non-null values (order
 *lines*, not orders); a sum over no values is 0; a mean over no values is
-NULL; rounding is half-to-even. Money is summed exactly, in whole cents, and
+NULL; rounding is half-to-even. Money is summed exactly and
 rounded after the sort, so the ranking uses unrounded values. Ties in a
 ranking are broken by the group key, ascending.
 
@@ -19,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.functions.columns import cents_sum, from_cents, money_sum, percent1, ratio, round0, round1
+from salesflow.functions.columns import (
+    MONEY, exact_money, huge_money, money_sum, percent1, ratio, round0, round1, whole_money,
+)
+
 TOP_PRODUCTS = 10
 TOP_CUSTOMERS = 15
 LABELLED_CUSTOMERS = 8
@@ -33,7 +36,7 @@ def _sales_aggs():
     return [
         F.count("order_id").alias("order_lines"),
         F.count(F.lit(1)).alias("_rows"),
-        from_cents(cents_sum(F.col("amount"))).alias("_sum"),
+        money_sum(F.col("amount")).alias("_sum"),
         F.count("amount").alias("_n"),
         F.sum("quantity").alias("_qty"),
     ]
@@ -142,11 +145,16 @@ def product_sales(orders: DataFrame) -> DataFrame:
 
 def top_products(orders: DataFrame, n: int = TOP_PRODUCTS, per_product: DataFrame | None = None) -> DataFrame:
     """Top products by quantity sold (``per_product``: precomputed ``product_sales``)."""
+    return ranked_products(orders, n, per_product).drop("rank")
+
+
+def ranked_products(orders: DataFrame, n: int = TOP_PRODUCTS, per_product: DataFrame | None = None) -> DataFrame:
+    """``top_products`` with its rank, which goes by the unrounded quantity."""
+    order = [F.col("_qty").desc(), F.col("product_name").asc()]
     return ((product_sales(orders) if per_product is None else per_product)
-            .orderBy(F.col("_qty").desc(), F.col("product_name").asc())
-            .limit(n)
-            .select("product_name", round0(F.col("_qty")).alias("quantity"),
-                    round0(F.col("_sales")).alias("sales")))
+            .orderBy(*order).limit(n)
+            .select("product_name", round0(F.col("_qty")).alias("quantity"), round0(F.col("_sales")).alias("sales"),
+                    F.row_number().over(Window.orderBy(*order)).alias("rank")))
 
 
 def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
@@ -160,7 +168,8 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     """
     per_name = orders.groupBy("product_name").agg(
         F.count("order_id").alias("_lines"),
-        cents_sum(F.col("amount")).alias("_cents"),
+        exact_money(F.col("amount")).alias("_exact"),
+        huge_money(F.col("amount")).alias("_huge"),
     )
     per_cat = (products.select(F.col("product_name").alias("_name"), "category")
                .groupBy("_name", "category").agg(F.count(F.lit(1)).alias("_k")))
@@ -168,7 +177,7 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     g = (j.filter(F.col("category").isNotNull())
          .groupBy("category")
          .agg(F.coalesce(F.sum(F.col("_lines") * F.col("_k")), F.lit(0)).cast("bigint").alias("order_lines"),
-              F.coalesce(from_cents(F.try_sum(F.try_multiply(F.col("_cents"), F.col("_k")))), F.lit(0.0)).alias("_s")))
+              whole_money(F.sum(F.col("_exact") * F.col("_k")), F.sum(F.col("_huge") * F.col("_k"))).alias("_s")))
     return (g.orderBy(F.col("_s").desc(), F.col("category").asc())
             .select("category", "order_lines", round0(F.col("_s")).alias("sales")))
 
@@ -224,15 +233,19 @@ def inventory_value(inv: DataFrame) -> DataFrame:
     shared by many batches (e.g. zero stock) still splits across tasks; the
     extra keys make the order total even when batch ids repeat.
     """
-    value = (F.col("current_stock") * F.col("purchase_price").cast("decimal(10,2)")).cast("double")
     return (inv.select("inventory_id", "product_name", "current_stock",
                        F.col("purchase_price").cast("double").alias("purchase_price"),
-                       value.alias("stock_value"))
+                       stock_value().alias("stock_value"))
             .orderBy(F.col("stock_value").desc_nulls_last(), F.col("inventory_id").asc(),
                      F.col("product_name").asc(), F.col("current_stock").asc(),
                      F.col("purchase_price").asc()))
 
 
+def stock_value():
+    """Value of a batch: stock times purchase price."""
+    return (F.col("current_stock") * F.col("purchase_price").cast(MONEY)).cast("double")
+
+
 def inventory_top(inv: DataFrame, n: int = TOP_STOCK) -> DataFrame:
     return inventory_value(inv).limit(n)
 

@@ -5,12 +5,13 @@
 
 1. counts each distinct value (partial aggregation, so a value that holds a
    third of all rows collapses to one row map-side);
-2. range-partitions the distinct values into ``buckets`` ordered slices
-   (the slice table is then distributed by slice, so the per-slice totals
-   and the running counts below need no further shuffle);
+2. cuts the range of the values, on a logarithmic scale, into ``buckets``
+   slices. A value's slice depends on the value and the exact extremes alone,
+   never on partition ids, sampling or the reuse of an exchange;
 3. sums counts per slice (a ``buckets``-row table) and turns them into slice
    offsets with a window over that tiny table;
-4. adds a running count inside each slice (window partitioned by slice);
+4. adds a running count inside the one or two slices that hold the wanted
+   ranks (window partitioned by slice);
 5. picks the two order statistics around the target position with a global
    ``min`` aggregate and interpolates between them.
 
@@ -35,20 +36,22 @@ WITH counts AS (
   FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {df})
   WHERE v IS NOT NULL
   GROUP BY v),
+scaled AS (
+  SELECT v, c, sign(v) * ln(1 + abs(v)) AS t FROM counts),
 sliced AS (
-  SELECT v, c, slice
-  FROM (SELECT v, c, spark_partition_id() AS slice
-        FROM (SELECT /*+ REPARTITION_BY_RANGE({buckets}, v) */ v, c FROM counts))
-  DISTRIBUTE BY slice),
+  SELECT v, c, CAST(least({buckets} - 1, coalesce(floor({buckets} * try_divide(
+    t - (SELECT min(t) FROM scaled), (SELECT max(t) - min(t) FROM scaled))), 0)) AS INT) AS slice
+  FROM scaled),
 slices AS (
-  SELECT slice,
+  SELECT slice, slice_n,
          coalesce(sum(slice_n) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            AS offset,
          sum(slice_n) OVER () AS n
   FROM (SELECT slice, sum(c) AS slice_n FROM sliced GROUP BY slice)),
 targets AS (
   SELECT slice, offset, n, pos, floor(pos) AS lo_rank, least(floor(pos) + 1, n - 1) AS hi_rank
-  FROM (SELECT *, CAST(n - 1 AS DOUBLE) * {q}D AS pos FROM slices)),
+  FROM (SELECT *, CAST(n - 1 AS DOUBLE) * {q}D AS pos FROM slices)
+  WHERE offset <= least(floor(pos) + 1, n - 1) AND offset + slice_n > floor(pos)),
 ranked AS (
   SELECT /*+ BROADCAST(t) */ s.v, t.n, t.pos, t.lo_rank, t.hi_rank,
          t.offset + sum(s.c) OVER (PARTITION BY s.slice ORDER BY s.v
@@ -76,7 +79,7 @@ def exact_quantile(df: DataFrame, column: str, q: float, buckets: int | None = N
         raise ValueError("q must be within [0, 1]")
     spark = df.sparkSession
     if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = 4096
     buckets = max(1, int(buckets))
     col = "`" + column.replace("`", "``") + "`"
     text = _QUANTILE_SQL.replace("{column}", col).replace("{buckets}", str(buckets)) \

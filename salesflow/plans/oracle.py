@@ -7,17 +7,20 @@ written the direct way (no pre-aggregation), so a Spark plan that
 re-arranges the work is checked against the straightforward definition.
 
 Rounding half-to-even is ``round_even``; money sums run over
-``decimal(18,2)``; divisions use ``nullif`` so a zero divisor gives NULL.
+wide decimals; divisions use ``nullif`` so a zero divisor gives NULL.
 """
 
 from __future__ import annotations
 
-from salesflow.functions.columns import NA_TOKENS
-
+# The cell texts that pandas reads as missing by default.
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 _NA_LIST = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 _NUMBER_RE = r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*"
-_DATE_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m", "%Y%m%d",
-                 "%m/%d/%Y", "%Y.%m.%d"]
+_DATE_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M", "%Y-%m", "%Y%m%d",
+                 "%m-%d-%Y", "%m-%d-%Y %H:%M:%S", "%m-%d-%Y %H:%M", "%Y.%m.%d"]
 
 
 def _name(table_alias: str, mode: str) -> str:
@@ -35,7 +38,8 @@ def _num(c: str) -> str:
 
 
 def _date(c: str) -> str:
-    s = f"replace(replace(replace(trim({c}), '年', '-'), '月', '-'), '日', '')"
+    s = (f"regexp_replace(replace(regexp_replace(replace(replace(replace({c}, '年', '-'), '月', '-'), '日', ''), "
+         f"'^[\\s\u3000\u00a0]+|[\\s\u3000\u00a0]+$', '', 'g'), '/', '-'), '([0-9])T([0-9])', '\\1 \\2')")
     tries = ", ".join(f"try_strptime({s}, '{f}')" for f in _DATE_FORMATS)
     return f"case when {s} <> '' then cast(coalesce({tries}) as timestamp) end"
 
@@ -49,7 +53,7 @@ def _r1(x: str) -> str:
 
 
 def _msum(x: str) -> str:
-    return f"coalesce(cast(sum(cast({x} as decimal(18,2))) as double), 0)"
+    return f"coalesce(cast(sum(cast({x} as decimal(38,6))) as double), 0)"
 
 
 def _k(x: str) -> str:
@@ -77,11 +81,10 @@ src_pcr AS (
   union all select p_partkey, p_brand from part where p_partkey % 7 = 0),
 src_inventory AS (
   select l_orderkey*10 + l_linenumber inventory_id, l_partkey product_id, cast(l_quantity as int) - 10 quantity,
-         case when l_suppkey % 20 = 0 then null
+         case when l_suppkey % 20 = 0 or l_partkey % 11 = 0 then null
               else cast(cast(p_retailprice as decimal(10,2)) * cast(0.3 + l_discount as decimal(3,2)) as decimal(14,4)) end purchase_price,
          s_name supplier_info, l_shipdate created_at
-  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
-  where l_partkey % 11 <> 0),
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey),
 src_users AS (
   select c_custkey user_id, c_name username,
          case when c_mktsegment = 'MACHINERY' then 'inactive' else 'active' end status
@@ -112,35 +115,34 @@ src_dealer AS (
          case when e.event_id % 17 = 0 then '待确认'
               else cast(round((1 + e.event_id % 9) * e.value, 2) as varchar) end amount
   from events e join part p on p.p_partkey = e.user_id),
+named AS (
+  select distinct r.product_id, k.name category from src_pcr r left join src_product_categories k using (category_id)),
+lowest AS (
+  select product_id, min(purchase_price) paid from src_inventory group by product_id),
 c_products AS (
   select product_id, product_name, category, unit_price, cost_price, status, stock,
          {_pct('unit_price - cost_price', 'unit_price')} gross_margin_pct
   from (
-    select p.product_id, p.name product_name, coalesce(pc.name, '未分类') category,
-           cast(try_cast(p.price as decimal(10,2)) as double) unit_price,
-           cast(try_cast(coalesce(min(i.purchase_price), p.price * 0.4) as decimal(10,2)) as double) cost_price,
-           p.status, p.quantity stock
-    from src_products p
-    left join src_pcr pcr on p.product_id = pcr.product_id
-    left join src_product_categories pc on pcr.category_id = pc.category_id
-    left join src_inventory i on p.product_id = i.product_id
-    group by p.product_id, p.name, pc.name, p.price, p.status, p.quantity) t),
+    select s.product_id, s.name product_name, ifnull(named.category, '未分类') category,
+           cast(cast(s.price as decimal(28,2)) as double) unit_price,
+           cast(cast(case when lowest.paid is null then s.price * 0.4 else lowest.paid end as decimal(28,2)) as double)
+             cost_price,
+           s.status, s.quantity stock
+    from src_products s left join named using (product_id) left join lowest using (product_id)) margins),
 c_customers AS (
   select user_id customer_id, username customer_name from src_users where status = 'active'),
+headers AS (
+  select order_id, created_at, h.status, username from src_shop_orders h join src_users using (user_id)),
 c_orders AS (
-  select oi.order_item_id, o.order_id, cast(o.created_at as timestamp) order_date, u.username customer_name,
-         p.name product_name, oi.quantity,
-         cast(try_cast(p.price as decimal(10,2)) as double) unit_price,
-         cast(try_cast(oi.quantity * p.price as decimal(10,2)) as double) amount,
-         o.status, coalesce(strftime(o.created_at, '%Y-%m'), 'NaT') order_month
-  from src_order_items oi
-  join src_shop_orders o on oi.order_id = o.order_id
-  join src_users u on o.user_id = u.user_id
-  join src_products p on oi.product_id = p.product_id),
+  select lines.order_item_id, order_id, cast(created_at as timestamp) order_date, username customer_name,
+         goods.name product_name, lines.quantity, cast(cast(goods.price as decimal(28,2)) as double) unit_price,
+         cast(cast(lines.quantity * goods.price as decimal(28,2)) as double) amount, headers.status,
+         ifnull(strftime(created_at, '%Y-%m'), 'NaT') order_month
+  from src_order_items lines join headers using (order_id) join src_products goods using (product_id)),
 c_inventory AS (
   select i.inventory_id, i.product_id, p.name product_name,
          case when i.quantity < 0 then 0 else i.quantity end current_stock, 50 safety_stock,
-         cast(try_cast(i.purchase_price as decimal(10,2)) as double) purchase_price,
+         cast(cast(i.purchase_price as decimal(28,2)) as double) purchase_price,
          i.supplier_info, cast(i.created_at as timestamp) check_date
   from src_inventory i join src_products p on i.product_id = p.product_id),
 dealer_cells AS (
@@ -170,18 +172,16 @@ c_dealer AS (
   select order_id, order_date, coalesce(strftime(order_date, '%Y-%m'), 'NaT') order_month, customer_name,
          product_name, quantity, unit_price, amount, '经销商' channel, 'completed' status
   from dealer_clean where unit_price <= (select cap from dealer_cap)),
+buyers AS (
+  select order_id, username from src_shop_orders left join src_users using (user_id)),
+amounts AS (
+  select *, cast(amount as decimal(28,2)) due,
+         case when status = 'completed' and amount is not null then cast(amount as decimal(28,2)) else 0 end paid
+  from src_payments),
 c_collections AS (
-  select payment_id, order_id, customer_name, cast(receivable as double) receivable,
-         cast(collected as double) collected, cast(receivable - collected as double) outstanding,
-         status, last_payment_date
-  from (
-    select p.payment_id, p.order_id, u.username customer_name,
-           try_cast(p.amount as decimal(10,2)) receivable,
-           coalesce(try_cast(case when p.status = 'completed' then p.amount else 0 end as decimal(10,2)), 0) collected,
-           p.status, cast(p.payment_time as timestamp) last_payment_date
-    from src_payments p
-    left join src_shop_orders o on p.order_id = o.order_id
-    left join src_users u on o.user_id = u.user_id) t),
+  select payment_id, amounts.order_id, username customer_name, cast(due as double) receivable, cast(paid as double) collected,
+         cast(due - paid as double) outstanding, status, cast(payment_time as timestamp) last_payment_date
+  from amounts left join buyers using (order_id)),
 c_all_orders AS (
   select order_item_id, cast(order_id as varchar) order_id, order_date, customer_name, product_name,
          cast(quantity as double) quantity, unit_price, amount, status, order_month, '电商' channel
@@ -193,12 +193,16 @@ c_all_orders AS (
 m_monthly AS (
   select order_month, count(order_id) order_lines,
          {_r0(_msum('amount'))} sales,
-         {_r0('cast(sum(cast(amount as decimal(18,2))) as double) / nullif(count(amount), 0)')} avg_amount
+         {_r0('cast(sum(cast(amount as decimal(38,6))) as double) / nullif(count(amount), 0)')} avg_amount
   from c_all_orders where order_month is not null group by order_month),
 m_top_products AS (
   select product_name, {_r0('coalesce(sum(quantity), 0)')} quantity, {_r0(_msum('amount'))} sales
   from c_all_orders where product_name is not null group by product_name
   order by coalesce(sum(quantity), 0) desc, product_name limit 10),
+m_ranked_products AS (
+  select product_name, {_r0('coalesce(sum(quantity), 0)')} quantity, {_r0(_msum('amount'))} sales,
+         row_number() over (order by coalesce(sum(quantity), 0) desc, product_name) rk
+  from c_all_orders where product_name is not null group by product_name),
 m_customer_value AS (
   select customer_name, count(order_id) order_lines, {_r0(_msum('amount'))} spend
   from c_all_orders where customer_name is not null group by customer_name
@@ -225,7 +229,7 @@ def _q(body: str, names: str = "unique") -> str:
 
 INVENTORY_VALUE = """
 select inventory_id, product_name, current_stock, purchase_price,
-       cast(current_stock * cast(purchase_price as decimal(10,2)) as double) stock_value
+       cast(current_stock * cast(purchase_price as decimal(28,2)) as double) stock_value
 from c_inventory"""
 
 CATEGORY_SALES = f"""
@@ -271,7 +275,10 @@ def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
         "dq_report": "WITH " + ctes().strip() + DQ_REPORT,
         "snapshot_products": snap("c_products"),
         "snapshot_orders": snap("c_all_orders"),
-        "snapshot_inventory": snap("c_inventory"),
+        "snapshot_inventory": _q(f"select *, cast(current_stock * cast(purchase_price as decimal(28,2)) as double) "
+                                 f"stock_value, '{snapshot_month}' report_month from c_inventory"),
+        "snapshot_append_twice": _q(f"select *, '{snapshot_month}' report_month from c_collections "
+                                    f"union all select *, '{snapshot_month}' from c_collections"),
         "snapshot_collections": snap("c_collections"),
         "products": _q("select * from c_products"),
         "customers": _q("select * from c_customers"),
@@ -341,8 +348,7 @@ union all
 select 'top_product', rk, product_name, quantity, sales, null,
        '  ' || cast(rk as varchar) || '. ' || product_name || ' — ' || cast(cast(quantity as bigint) as varchar)
        || ' 件 / ' || {_k('sales')} || ' 元'
-from (select *, row_number() over (order by quantity desc, product_name) rk
-      from (select * from m_top_products order by quantity desc, product_name limit 5) c0) c
+from m_ranked_products where rk <= 5
 union all
 select 'recovery', 1, null, recovery_pct, collected, receivable - collected,
        '回款率: ' || format('{{:.1f}}', recovery_pct) || '% | 已回: ' || {_k('collected')} || ' | 未回: '

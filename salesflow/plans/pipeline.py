@@ -181,9 +181,9 @@ class Analysis:
     def digest(self) -> DataFrame:
         if self.params.one_pass:
             s, r = self.sales, self.receivables
-            return report.digest(s["monthly"], metrics.top_products(None, per_product=s["product"]),
+            return report.digest(s["monthly"], metrics.ranked_products(None, per_product=s["product"]),
                                  r["totals"], metrics.debt_top_of(r["by_customer"]), self.inventory)
-        return report.digest(self.monthly_trend, self.top_products, self.receivable_totals,
+        return report.digest(self.monthly_trend, metrics.ranked_products(self.orders), self.receivable_totals,
                              self.debt_top, self.inventory)
 
     def dq_report(self) -> DataFrame:
@@ -225,14 +225,19 @@ class Analysis:
             out.update(receivables_by_customer=r["by_customer"],
                        debt_top=metrics.debt_top_of(r["by_customer"]),
                        receivable_totals=r["totals"])
-        out["report_headline"] = self.report_headline()
-        out["digest"] = self.digest()
+        if "sales" in sections:
+            out["report_headline"] = self.report_headline()
+        if self.params.report == "full":
+            out["digest"] = self.digest()
+            out["load_counts"] = self.load_counts()
+            out["dq_report"] = self.dq_report()
         return out
 
     # -- snapshots ---------------------------------------------------------
     def snapshot_sources(self) -> dict[str, DataFrame]:
         return {"products": self.products, "orders": self.orders,
-                "inventory": self.inventory, "collections": self.collections}
+                "inventory": self.inventory.withColumn("stock_value", metrics.stock_value()),
+                "collections": self.collections}
 
     def snapshot_path(self, table: str, base: str | None = None) -> str:
         spark = self.products.sparkSession

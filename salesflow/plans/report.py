@@ -95,7 +95,7 @@ def digest(monthly: DataFrame, top_products: DataFrame, totals: DataFrame,
     ``top_product`` 1..5 (quantity, sales); ``recovery`` (rate, collected,
     uncollected) when anything is receivable; ``inventory_alert`` (count)
     when positive; ``debtor`` 1..3 (outstanding). ``line`` is the digest's
-    text line for the row.
+    text line for the row. ``top_products`` carries its ``rank``.
     """
     def rows(df: DataFrame, section: str, rank: str, label: str, line: str,
              v1: str, v2: str = "NULL", v3: str = "NULL") -> DataFrame:
@@ -110,10 +110,9 @@ def digest(monthly: DataFrame, top_products: DataFrame, totals: DataFrame,
     best = rows(monthly.orderBy(c("sales").desc(), c("order_month").asc()).limit(1), "best_month", "1",
                 "order_month", _fill(LINE_BEST, month="order_month", sales=_thousands("sales")),
                 "order_lines", "sales")
-    rank = "row_number() OVER (ORDER BY quantity DESC, product_name ASC)"
-    prods = rows(top_products.orderBy(c("quantity").desc(), c("product_name").asc()).limit(DIGEST_TOP_PRODUCTS),
-                 "top_product", rank, "product_name",
-                 _fill(LINE_PRODUCT, rank=rank, name="product_name", qty="CAST(quantity AS BIGINT)",
+    prods = rows(top_products.filter(c("rank") <= DIGEST_TOP_PRODUCTS),
+                 "top_product", "rank", "product_name",
+                 _fill(LINE_PRODUCT, rank="rank", name="product_name", qty="CAST(quantity AS BIGINT)",
                        sales=_thousands("sales")),
                  "quantity", "sales")
     recovery = rows(totals.filter(c("receivable") > 0), "recovery", "1", "NULL",

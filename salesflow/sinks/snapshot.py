@@ -1,9 +1,9 @@
 """Monthly snapshot tables: cleaned tables appended under a ``report_month`` tag.
 
 The history is never overwritten by default: appending a month twice keeps
-both copies, as a plain append does. ``replace_month=True`` rewrites only
-the partitions of the months being written (dynamic partition overwrite),
-leaving every other month as it was; use it to make re-runs idempotent.
+both copies, as a plain append does. ``replace_month=True`` removes
+that month's folder first, also when the new month is empty, and leaves every
+other month as it was; use it to make re-runs idempotent.
 
 Snapshots are Parquet folders partitioned by ``report_month`` so a reader
 asking for one month touches only that folder. The month is written and read
@@ -27,18 +27,24 @@ def snapshot_schema(data_schema: T.StructType) -> T.StructType:
 def write_snapshot(df: DataFrame, path: str, report_month: str, replace_month: bool = False,
                    skip_empty: bool = False) -> bool:
     """Write ``df`` tagged with ``report_month``; returns False if skipped as empty."""
-    if skip_empty and df.isEmpty():
+    if skip_empty and not replace_month and df.isEmpty():
         return False
+    if replace_month:  # also when there is nothing to write in its place
+        _remove_month(df.sparkSession, path, str(report_month))
     out = df.withColumn(MONTH_COLUMN, F.lit(str(report_month)))
-    writer = out.write.format("parquet").partitionBy(MONTH_COLUMN)
-    if replace_month:
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.mode("append")
-    writer.save(path)
+    out.write.format("parquet").partitionBy(MONTH_COLUMN).mode("append").save(path)
     return True
 
 
+def _remove_month(spark: SparkSession, path: str, report_month: str) -> None:
+    """Delete the folder of one month of one snapshot table, if it is there."""
+    jvm = spark._jvm
+    month = jvm.org.apache.hadoop.fs.Path(path, f"{MONTH_COLUMN}={report_month}")
+    files = month.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(month):
+        files.delete(month, True)
+
+
 def read_snapshot(spark: SparkSession, path: str, data_schema: T.StructType,
                   report_month: str | None = None) -> DataFrame:
     """Read a snapshot with an explicit schema; a month filter prunes folders."""

@@ -44,19 +44,19 @@ SOURCE_TABLES = (
 _JDBC = {
     "mysql": ("jdbc:mysql://{host}:{port}/{db}?characterEncoding=utf8&useUnicode=true",
               "com.mysql.cj.jdbc.Driver"),
-    "mssql": ("jdbc:sqlserver://{host}:{port};databaseName={db};encrypt=false",
+    "mssql": ("jdbc:sqlserver://{host}:{port};databaseName={db};encrypt={encrypt}",
               "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
     "sqlite": ("jdbc:sqlite:{db}", "org.sqlite.JDBC"),
 }
 
 
 def jdbc_options(db_type: str = "mysql", host: str = "127.0.0.1", port: str | int = 3306,
-                 user: str = "", password: str = "", database: str = "") -> dict[str, str]:
-    """JDBC reader options for one connection; unknown types raise ValueError."""
+                 user: str = "", password: str = "", database: str = "", encrypt: bool = True) -> dict[str, str]:
+    """JDBC reader options for one connection; unknown types raise ValueError. ``encrypt`` is for mssql."""
     if db_type not in _JDBC:
         raise ValueError(f"unsupported database type: {db_type}")
     url, driver = _JDBC[db_type]
-    opts = {"url": url.format(host=host, port=port, db=database), "driver": driver}
+    opts = {"url": url.format(host=host, port=port, db=database, encrypt=str(encrypt).lower()), "driver": driver}
     if db_type != "sqlite":
         opts.update(user=user, password=password)
     return opts
@@ -92,14 +92,25 @@ class SourceSpec:
             return spark.table(self.path)
         if self.format == "sql":
             return spark.sql(self.path)
+        if self.format == "csv":
+            return self._read_csv(spark)
         reader = spark.read.format(self.format)
         if self.schema is not None:
             reader = reader.schema(self.schema)
-        if self.format == "csv":
-            reader = reader.option("header", "true")
         reader = reader.options(**dict(self.options))
         return reader.load(self.path) if self.path else reader.load()
 
+    def _read_csv(self, spark: SparkSession) -> DataFrame:
+        """Columns are bound by header, whatever their order in the file; a missing one raises."""
+        raw = spark.read.option("header", "true").options(**dict(self.options)).csv(self.path)
+        if self.schema is None:
+            return raw
+        schema = T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
+        missing = [f.name for f in schema.fields if f.name not in raw.columns]
+        if missing:
+            raise ValueError(f"{self.path} lacks the columns {missing}")
+        return raw.select(*[raw[f"`{f.name}`"].cast(f.dataType) for f in schema.fields])
+
 
 def jdbc_table(connection: Mapping[str, str], table: str, *, partition_column: str | None = None,
                lower: int | None = None, upper: int | None = None,

@@ -24,7 +24,7 @@ from salesflow.session import parallelism, shared_dir
 from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA, SOURCE_TABLES
 
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
-LANDING_VERSION = "v3"
+LANDING_VERSION = "v4"
 _LANDING_LOCK = threading.Lock()   # one writer per process while a table lands
 
 def _cat(*parts: Column) -> Column:
@@ -129,9 +129,9 @@ class FixtureCatalog:
         return by_type.unionByName(by_brand)
 
     def _t_inventory(self) -> DataFrame:
-        # Every order line is a stock batch; parts whose key is a multiple of 11
-        # have none (their cost falls back to 40 % of the price).
-        li = self.raw("lineitem").filter(F.col("l_partkey") % 11 != 0)
+        # Every order line is a stock batch; batches of parts whose key is a multiple of 11
+        # have no purchase price (their cost falls back to 40 % of the price).
+        li = self.raw("lineitem")
         part = self.raw("part").select("p_partkey", "p_retailprice")
         supp = self.raw("supplier").select("s_suppkey", "s_name")
         j = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
@@ -141,7 +141,7 @@ class FixtureCatalog:
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("inventory_id"),
             F.col("l_partkey").alias("product_id"),
             (F.col("l_quantity").cast("int") - 10).alias("quantity"),
-            F.when(F.col("l_suppkey") % 20 == 0, F.lit(None)).otherwise(price).alias("purchase_price"),
+            F.when((F.col("l_suppkey") % 20 == 0) | (F.col("l_partkey") % 11 == 0), F.lit(None)).otherwise(price).alias("purchase_price"),
             F.col("s_name").alias("supplier_info"),
             F.col("l_shipdate").alias("created_at"),
         )
