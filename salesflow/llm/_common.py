@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from salesflow.session import shared_dir
 # Fixed value: the white space that the corpus contracts name, [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 # Text bytes that a Python worker looks at in one go.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # A null doc_id counts as the largest id inside the operators and comes out as null again.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -47,6 +48,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle worker would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the rows of each piece hold about ``size`` bytes of text (one row at least)."""
     for batch in batches:
@@ -58,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

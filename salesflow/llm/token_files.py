@@ -299,7 +299,7 @@ def _encode(tokenizer_path: str, end_id: int, whole: bool):
                 [pa.array(np.full(len(ids), kind, np.int32)), pa.array(doc_ids, pa.int64()), pa.array(n, pa.int32()),
                  pa.array(ids, pa.binary())], ["kind", "doc_id", "n", "ids"])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 8 << 20):
             texts = as_text(part.column("text"))
             if len(texts) == 1 and len(texts[0]) > PIECE_CHARS and not whole:
                 parts = [encoder([p])[0][:-1] for p in _pieces(texts[0])]
