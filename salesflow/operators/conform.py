@@ -130,9 +130,14 @@ def orders_fact(src) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def inventory(src) -> DataFrame:
-    """Stock batches of catalogue products; negative stock is read as 0."""
-    i = src.table("inventory").select("inventory_id", "product_id", "quantity", "purchase_price",
-                                      "supplier_info", "created_at")
+    """Stock batches of catalogue products; negative stock is read as 0.
+
+    ``expiry_status`` is passed on where the source has it (the digest counts it).
+    """
+    stock = src.table("inventory")
+    optional = [c for c in ("expiry_status",) if c in stock.columns]
+    i = stock.select("inventory_id", "product_id", "quantity", "purchase_price",
+                     "supplier_info", "created_at", *optional)
     p = src.table("products").select("product_id", F.col("name").alias("product_name"))
     q = F.col("quantity")
     price = F.col("purchase_price").try_cast(MONEY)
@@ -144,6 +149,7 @@ def inventory(src) -> DataFrame:
         money_out(price).alias("purchase_price"),
         "supplier_info",
         F.col("created_at").cast("timestamp_ntz").alias("check_date"),
+        *optional,
     )
 
 

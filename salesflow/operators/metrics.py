@@ -304,18 +304,25 @@ def receivable_totals(coll: DataFrame) -> DataFrame:
 def receivables_by_customer(coll: DataFrame) -> DataFrame:
     """Per customer: outstanding, receivable, collected and recovery rate.
 
-    Empty unless the total receivable (all payments) is positive; the total is
-    a scalar subquery, evaluated once.
+    Empty unless the total receivable (all payments) is positive. The total is
+    a scalar subquery over the same groups, the one without a customer
+    included, so the payments are joined and aggregated once.
     """
-    # same plan as receivable_totals, so a query holding both computes it once
-    total = receivable_totals(coll).select("receivable").scalar()
-    g = (coll.filter(F.col("customer_name").isNotNull())
-         .groupBy("customer_name")
-         .agg(money_sum(F.col("outstanding")).alias("outstanding"),
-              money_sum(F.col("receivable")).alias("receivable"),
-              money_sum(F.col("collected")).alias("collected")))
-    return (g.filter(total > 0)
-            .withColumn("recovery_pct", percent1(F.col("collected"), F.col("receivable"))))
+    g = coll.groupBy("customer_name").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        money_sum(F.col("outstanding")).alias("outstanding"),
+        exact_money(F.col("receivable")).alias("_exact"),
+        huge_money(F.col("receivable")).alias("_huge"),
+        money_sum(F.col("collected")).alias("collected"))
+    # Both sides read every column of the groups and neither filters below them: one exchange serves both.
+    total = g.agg(F.struct(
+        whole_money(F.sum("_exact"), F.sum("_huge")).alias("receivable"),
+        F.sum("_rows"), F.sum("outstanding"), F.sum("collected")).alias("_all")).scalar()
+    named = F.when(F.col("_rows") > 0, F.col("customer_name").isNotNull())
+    receivable = whole_money(F.col("_exact"), F.col("_huge"))
+    return (g.filter(named).filter(total.getField("receivable") > 0)
+            .select("customer_name", "outstanding", receivable.alias("receivable"), "collected",
+                    percent1(F.col("collected"), receivable).alias("recovery_pct")))
 
 
 def debt_top(coll: DataFrame, n: int = TOP_DEBTORS) -> DataFrame:

@@ -289,6 +289,8 @@ def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
         "collections": _q("select * from c_collections"),
         "all_orders": _q("select * from c_all_orders"),
         "channel_filter": _q("select * from c_all_orders where channel = '经销商'"),
+        "channel_shop": _q("select * from c_all_orders where channel = '电商'"),
+        "channel_unassigned": _q("select * from c_all_orders where channel = '金蝶'"),
         "monthly_trend": _q("select * from m_monthly"),
         "month_over_month": _q(f"""
 select order_month, sales, mom_pct,

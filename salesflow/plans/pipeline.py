@@ -187,8 +187,10 @@ class Analysis:
                              self.debt_top, self.inventory)
 
     def dq_report(self) -> DataFrame:
-        return quality.dq_report(self.products, self.customers, self.shop_orders, self.inventory,
-                                 self.dealer_orders, self.collections)
+        return quality.dq_report(self.catalog, {
+            "products": lambda: self.products, "customers": lambda: self.customers,
+            "orders": lambda: self.shop_orders, "inventory": lambda: self.inventory,
+            "dealer_orders": lambda: self.dealer_orders, "collections": lambda: self.collections})
 
     # -- run ---------------------------------------------------------------
     def run(self) -> dict[str, DataFrame]:
@@ -240,7 +242,10 @@ class Analysis:
                 "collections": self.collections}
 
     def snapshot_path(self, table: str, base: str | None = None) -> str:
+        """``base``, else the folder named by ``salesflow.warehouse.dir``: history must outlive a run."""
         spark = self.products.sparkSession
+        if base is None and not spark.conf.get("salesflow.warehouse.dir", None):
+            raise ValueError("name a lasting folder: pass base, or set salesflow.warehouse.dir")
         root = base or shared_dir(spark, "snapshots")
         return f"{root.rstrip('/')}/report_{table}"
 

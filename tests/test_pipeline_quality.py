@@ -63,8 +63,10 @@ def test_dq_report_counts_violations(spark):
                               "channel string, order_date timestamp_ntz, order_month string, customer_name string, "
                               "product_name string, order_id string, quantity double, amount double")
     k = spark.createDataFrame([(None, 1.0, 0.0)], "receivable double, collected double, outstanding double")
+    src = FixtureCatalog(spark, SF_SMALL)
+    tables = {"products": p, "customers": c, "orders": o, "inventory": i, "dealer_orders": d, "collections": k}
     got = {(r.table_name, r.rule): (r.violations, r.total, r.passed)
-           for r in quality.dq_report(p, c, o, i, d, k).collect()}
+           for r in quality.dq_report(src, {n: lambda df=df: df for n, df in tables.items()}).collect()}
     assert got[("products", "margin_nonneg")] == (2, 2, False)   # negative and missing margin
     assert got[("customers", "name_notnull")] == (1, 1, False)
     assert got[("orders", "nonempty")] == (1, 0, False)
@@ -75,6 +77,59 @@ def test_dq_report_counts_violations(spark):
     assert got[("all_orders", "contract")][0] == 0
 
 
+class Altered:
+    """A catalog with one table replaced."""
+
+    def __init__(self, base, **tables):
+        self.base, self.tables = base, tables
+
+    def table(self, name):
+        return self.tables.get(name) if name in self.tables else self.base.table(name)
+
+
+def test_dq_report_checks_the_sources(fx):
+    """A missing source column is reported, not raised; a textual order time fails its rule."""
+    src = Altered(fx, payments=fx.table("payments").drop("amount", "status"),
+                  orders=fx.table("orders").withColumn("created_at", F.col("created_at").cast("string")))
+    got = {(r.table_name, r.rule): (r.violations, r.passed) for r in Analysis(src).dq_report().collect()}
+    assert got[("collections", "columns")] == (2, False)
+    assert ("collections", "nonempty") not in got
+    assert got[("orders", "date_type")] == (1, False)
+    assert got[("products", "columns")] == (0, True)
+
+
+def test_expiry_reaches_the_digest(fx):
+    late = F.when(F.col("product_id") % 2 == 0, "临期").otherwise("正常")
+    a = Analysis(Altered(fx, inventory=fx.table("inventory").withColumn("expiry_status", late)))
+    alert = a.digest().filter("section = 'inventory_alert'").first()
+    assert alert.value1 == a.inventory.filter("expiry_status <> '正常'").count() > 0
+
+
+def test_receivables_read_payments_once(fx):
+    """The gate comes from the grouped payments: the groups are shuffled once and used twice."""
+    a = Analysis(fx)
+    df = a.receivables_by_customer()
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+def test_receivables_gate(spark, fx):
+    """Nothing is listed when the total of all payments, those without a customer included, is not positive."""
+    schema = "customer_name string, outstanding double, receivable double, collected double"
+    from salesflow.operators.metrics import receivables_by_customer
+    back = spark.createDataFrame([("a", 1.0, 5.0, 4.0), (None, -5.0, -5.0, 0.0)], schema)
+    assert receivables_by_customer(back).collect() == []
+    owed = spark.createDataFrame([("a", 1.0, 5.0, 4.0), (None, 2.0, 2.0, 0.0), ("b", None, None, None)], schema)
+    assert sorted(map(tuple, receivables_by_customer(owed).collect())) == [
+        ("a", 1.0, 5.0, 4.0, 80.0), ("b", 0.0, 0.0, 0.0, None)]
+
+
+def test_snapshots_need_a_lasting_folder(fx):
+    with pytest.raises(ValueError):
+        Analysis(fx).save_snapshots()
+
+
 def test_full_run_matches_single_queries(fx):
     """The one-pass rollups give exactly the per-key results."""
     a = Analysis(fx, AnalysisParams())
