@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.llm._common import (
@@ -78,14 +78,17 @@ def fingerprint(text: bytes, k: int) -> int:
     return int.from_bytes(np.packbits(2 * ones.ravel() > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id (``NULL_ID`` for null), fp (signed) of every row."""
+def fingerprints(docs: DataFrame, k: int = 3, *also: Column) -> DataFrame:
+    """doc_id (``NULL_ID`` for null), fp (signed) and the long columns ``also`` of every row."""
+    inputs = docs.select(F.col("doc_id").cast("long"), "text", *also)
+    more = inputs.columns[2:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = np.array([fingerprint(t, k) for t in as_bytes(part.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part.column("doc_id"))), pa.array(fps.view(np.int64))],
-                                             ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part.column("doc_id"))), pa.array(fps.view(np.int64)),
+                                              *[part.column(c) for c in more]], ["doc_id", "fp", *more])
+    return inputs.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 # ---------------------------------------------------------------------------
@@ -239,38 +242,48 @@ def links(distinct: DataFrame, max_bits: int, folder: str, bucket_rows: int = 1
 # Operator
 # ---------------------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
-    folder = folder or scratch(docs.sparkSession, "simhash")
-    rows = materialize(fingerprints(docs, k), folder + "/rows")
-    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def _components(rows: DataFrame, first: Column, max_bits: int, folder: str) -> DataFrame:
+    """own_fp, component: the smallest value of ``first`` in the component of each distinct fingerprint of ``rows``."""
+    firsts = rows.groupBy("fp").agg(F.min(first).alias("first"))
     distinct = firsts.count()
     roots = components(links(firsts, max_bits, folder), folder + "/components")
     # Members and roots of the components: as many rows as linked fingerprints.
     members = roots.select(F.col("u").alias("fp"), "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct())
     members = members.join(firsts, "fp")
-    least = materialize_few(members.groupBy("root").agg(F.min("first_id").alias("component")), distinct,
+    least = materialize_few(members.groupBy("root").agg(F.min("first").alias("component")), distinct,
                             folder + "/least")
     linked = members.join(least, "root").select("fp", "component")
     # Written, so that the last join has a shuffle on either side and Spark can split a hot fingerprint.
-    own = materialize_few(firsts.join(linked, "fp", "left").select(
-        F.col("fp").alias("own_fp"), F.coalesce("component", "first_id").alias("component")), distinct, folder + "/own")
-    out = rows.join(own, F.col("fp") == F.col("own_fp"))
+    return materialize_few(firsts.join(linked, "fp", "left").select(
+        F.col("fp").alias("own_fp"), F.coalesce("component", "first").alias("component")), distinct, folder + "/own")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
+    folder = folder or scratch(docs.sparkSession, "simhash")
+    rows = materialize(fingerprints(docs, k), folder + "/rows")
+    out = rows.join(_components(rows, F.col("doc_id"), max_bits, folder), F.col("fp") == F.col("own_fp"))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(shown("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       shown("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that head their group: one row for each component, all columns kept.
+    """One row of ``docs`` for each component of fingerprints, all columns kept, whatever the ids are.
 
-    Of rows that share the heading doc_id, the first by text hash stays.
+    The row with the smallest doc_id (null is the largest) stays, of those the first by text hash, of
+    rows that share both the first by the hash of the other columns. Copies are reduced inside each
+    task before rows meet by id and text, so neither null ids nor copies gather in one task.
     """
-    heads = (near_duplicates(docs, k, max_bits, folder)
-             .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__head")).distinct())
-    named = docs.withColumn("__head", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    order = Window.partitionBy("__head").orderBy(F.xxhash64("text"), F.col("text"))
-    return (named.join(heads, "__head", "left_semi").withColumn("__nth", F.row_number().over(order))
-            .filter("__nth = 1").drop("__head", "__nth"))
+    folder = folder or scratch(docs.sparkSession, "simhash")
+    # Two hashes of different seeds: 128 bits tell the texts of one id apart.
+    keys = {"__text": F.xxhash64("text"), "__text2": F.xxhash64(F.lit(1), "text")}
+    rows = materialize(fingerprints(docs, k, *[c.alias(n) for n, c in keys.items()]), folder + "/rows")
+    heads = (_components(rows, F.struct(F.col("doc_id").alias("__head"), *keys), max_bits, folder)
+             .select("component.*").distinct())
+    hashable = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    named = docs.withColumns({"__head": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), **keys})
+    single = named.groupBy("__head", *keys).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias("__row"))
+    return single.join(heads, ["__head", *keys], "left_semi").select("__row.*")

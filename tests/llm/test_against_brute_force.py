@@ -122,6 +122,23 @@ def test_dense_clusters_and_oversized_buckets(spark, tmp_path, bucket_rows):
     assert {f: roots.get(f, f) for f in signed} == want
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    """One row of each component stays, although many rows have no id or the id of an unrelated row."""
+    own = [f"text {i} " + " ".join(f"w{(i * 37 + j * j) % 1009}" for j in range(30)) for i in range(12)]
+    rows = [(None, t, "a") for t in own[:5]] + [(7, t, "b") for t in own[5:9]] + [(i, own[i], "c") for i in (9, 10)]
+    rows += [(None, own[9], "copy"), (3, own[5], "copy"), (None, own[0], "copy"), (None, own[0], "copy"), (None, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = plain_components({i: plain_fingerprint(t or "") for i, (_, t, _) in enumerate(rows)}, 3)
+    want = {}
+    for i, (n, t, _) in enumerate(rows):
+        head = (n is None, n or 0, t or "")
+        want[parts[i]] = min(want.get(parts[i], head), head)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()) == sorted(want.values())
+    assert len(want) == 12
+
+
 # -- decontamination --------------------------------------------------------
 
 def test_masks_cover_four_substitutions():
