@@ -1,6 +1,14 @@
 """Cross-entropy difference: matched target and background n-gram models over one shared vocabulary.
 
-Tokens are characters: each word ``[^\\x20\\x09-\\x0D]+``, lower-cased, is read
+``score_words`` (the registered query) takes words ``[^\\x20\\x09-\\x0D]+``,
+lower-cased, as tokens, with n-grams across words and start marks before a
+document's first. Rows meet by shuffles only: a document's distinct longest
+n-grams are joined with the loss table by n-gram and summed by text; hot
+n-grams and contexts are split by Spark, as either side of those joins has a
+shuffle. Texts and n-grams are known by 64-bit hashes. The models, smoothing
+and defined cases are those below; n_tokens counts words.
+
+``score_rows``, the smaller model, takes characters as tokens: each word ``[^\\x20\\x09-\\x0D]+``, lower-cased, is read
 with an end mark, in the context of its own earlier characters (a start mark
 before the first). All characters of the corpus are the vocabulary that both
 models share; both use the same orders 1 to ``order`` and the same smoothing
@@ -32,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +101,71 @@ def _columns(order: int) -> list[str]:
     return [f"{kind}{n}" for n in range(1, order + 1) for kind in ("gram", "context")]
 
 
-def _count(order: int, merge_at: int):
+def _merged(parts: list, order: int) -> list[np.ndarray]:
+    """Rows of (gram and context of each order, target count, count), one for each longest n-gram."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    _, first, at = np.unique(columns[2 * order - 2], return_index=True, return_inverse=True)
+    sums = [np.bincount(at, c, minlength=len(first)).astype(np.int64) for c in columns[-2:]]
+    return [c[first] for c in columns[:-2]] + sums
+
+
+def word_grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each word's text, and for n = 1 .. ``order`` the hashes of the n words that end at every word."""
+    owners, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for at, sizes, words in _word_blocks(texts):
+        distinct, ids = indexed(words)
+        tokens.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[ids])
+        owners.append(np.repeat(at, sizes))
+    owner, back = np.concatenate(owners), np.concatenate(tokens)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+    total, factor, out = np.zeros(len(back), np.uint64), np.uint64(1), []
+    for n in range(1, order + 1):
+        total += back * factor
+        factor *= _STEP
+        out.append(mix64(total + np.uint64(n)))
+        back = np.r_[back[:0], np.uint64(_START), back[:-1]][:len(back)]
+        back[starts] = _START
+    return owner, out
+
+
+def _count_words(order: int, merge_at: int):
     names = [*_columns(order), "target", "background"]
 
-    def merged(parts: list) -> list[np.ndarray]:
-        """Rows of (gram and context of each order, target count, count), one for each longest n-gram."""
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        _, first, at = np.unique(columns[2 * order - 2], return_index=True, return_inverse=True)
-        sums = [np.bincount(at, c, minlength=len(first)).astype(np.int64) for c in columns[-2:]]
-        return [c[first] for c in columns[:-2]] + sums
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in _merged(held, order)], names)
+                held.clear()
+
+        for part in slices(batches, "text"):
+            chosen = np.array([bool(x) for x in part.column("is_target").to_pylist()], np.int64)
+            owner, hashes = word_grams(as_text(part.column("text")), order)
+            if not len(owner):
+                continue
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            columns = [hashes[0], np.zeros(len(owner), np.uint64)]
+            for n, (shorter, gram) in enumerate(zip(hashes, hashes[1:]), 2):
+                context = np.r_[np.uint64(0), shorter[:-1]]
+                context[starts] = start_hash(n - 1)
+                columns += [gram, context]
+            held.append(_merged([columns + [chosen[owner], np.ones(len(owner), np.int64)]], order))
+            if sum(len(rows[0]) for rows in held) > merge_at:
+                yield from flush()
+        yield from flush()
+    return run
+
+
+def _count(order: int, merge_at: int):
+    names = [*_columns(order), "target", "background"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in merged(held)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in _merged(held, order)], names)
                 held.clear()
 
         for part in slices(batches, "text"):
@@ -128,27 +186,28 @@ def _count(order: int, merge_at: int):
                         context[starts] = start_hash(n - 1)
                     columns += [gram, context]
                     last = gram
-                held.append(merged([columns + [np.repeat(target, lengths), np.repeat(every, lengths)]]))
+                held.append(_merged([columns + [np.repeat(target, lengths), np.repeat(every, lengths)]], order))
             if sum(len(rows[0]) for rows in held) > merge_at:
                 yield from flush()
         yield from flush()
     return run
 
 
-def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 19) -> DataFrame:
+def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 19, count=_count) -> DataFrame:
     """Counts over all of ``rows`` (text, is_target) by longest n-gram, with the hashes of its shorter ones."""
     names = _columns(order)
     schema = ", ".join(f"{c} long" for c in [*names, "target", "background"])
-    return (rows.select("text", "is_target").mapInArrow(_count(order, merge_at), schema).groupBy(*names)
+    return (rows.select("text", "is_target").mapInArrow(count(order, merge_at), schema).groupBy(*names)
             .agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
 
-def losses(counts: DataFrame, order: int) -> DataFrame:
+def losses(counts: DataFrame, order: int, folder: str | None = None) -> DataFrame:
     """gram, target_loss, background_loss (nats) of the n-grams of the highest order.
 
     p_n(c|h) = (count(hc) + kinds(h) p_{n-1}(c|h')) / (count(h) + kinds(h)), with
     kinds(h) the different characters seen after h; an unseen context falls
-    through to the shorter one; below order 1 all characters are alike.
+    through to the shorter one; below order 1 all tokens are alike. With ``folder``
+    the contexts are written there, so that Spark can split a hot one in its join.
     """
     below = None
     for n in range(1, order + 1):
@@ -158,6 +217,8 @@ def losses(counts: DataFrame, order: int) -> DataFrame:
         contexts = own.groupBy("context").agg(
             *[F.sum(m).alias(f"{m}_all") for m in ("target", "background")],
             *[F.sum((F.col(m) > 0).cast("long")).alias(f"{m}_kinds") for m in ("target", "background")])
+        if folder:
+            contexts = materialize(contexts, f"{folder}/contexts-{n}")
         if below is None:
             floor = F.lit(1.0 / max(1, own.count()))  # over the shared vocabulary
             own = own.withColumn("target_low", floor).withColumn("background_low", floor)
@@ -193,6 +254,56 @@ def text_sums(texts: list[str], order: int, keys: np.ndarray, pairs: np.ndarray)
     return sums
 
 
+def _marked(own: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """text, is_target of every row."""
+    chosen = target_ids.select(F.col("doc_id").cast("long").alias("__chosen")).filter("__chosen is not null").distinct()
+    # One plan at every size: a sort-merge join, never a broadcast while the ids happen to be few.
+    return own.join(chosen.hint("merge"), F.col("doc_id") == F.col("__chosen"), "left").select(
+        "text", F.col("__chosen").isNotNull().alias("is_target"))
+
+
+def _emit(order: int):
+    """text_key, gram, n: the distinct longest n-grams of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            owner, hashes = word_grams(as_text(part.column("text")), order)
+            gram = hashes[-1]
+            if not len(gram):
+                continue
+            by = np.lexsort((gram, owner))
+            owner, gram = owner[by], gram[by]
+            first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])])
+            keys = part.column("text_key").to_numpy()[owner[first]]
+            for k in range(0, len(first), 1 << 17):
+                now = slice(k, k + (1 << 17))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[now]), pa.array(gram[first[now]].view(np.int64)),
+                     pa.array(np.diff(np.r_[first, len(gram)])[now])], ["text_key", "gram", "n"])
+    return run
+
+
+def score_words(docs: DataFrame, target_ids: DataFrame, order: int = 2, folder: str | None = None) -> DataFrame:
+    """The columns of ``score_rows`` by word models; nothing that grows with the corpus is collected or broadcast."""
+    folder = folder or scratch(docs.sparkSession, "domain")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = materialize(ngram_counts(_marked(own, target_ids), order, count=_count_words), folder + "/counts")
+    table = materialize(losses(counts, order, folder), folder + "/losses")
+    keyed = own.withColumn("text_key", F.xxhash64("text"))
+    each = keyed.select("text", "text_key").mapInArrow(_emit(order), "text_key long, gram long, n long")
+    # Copies of a text add up; their means are those of one, and their number gives the tokens of one.
+    sums = each.join(table.hint("merge"), "gram").groupBy("text_key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target_loss")).alias("target_loss"),
+        F.sum(F.col("n") * F.col("background_loss")).alias("background_loss"))
+    copies = keyed.groupBy("text_key").agg(F.count("*").alias("copies"))
+    mean = lambda c: F.col(c) / F.col("n")
+    scores = materialize(sums.join(copies.hint("merge"), "text_key").select(
+        F.col("text_key").alias("own_key"), (F.col("n") / F.col("copies")).cast("long").alias("tokens"),
+        mean("target_loss").alias("target_loss"), mean("background_loss").alias("background_loss")), folder + "/scores")
+    return (keyed.select("doc_id", "text_key").join(scores.hint("merge"), F.col("text_key") == F.col("own_key"), "left")
+            .select("doc_id", F.coalesce("tokens", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss",
+                    (F.col("target_loss") - F.col("background_loss")).alias("score")))
+
+
 def score_rows(docs: DataFrame, target_ids: DataFrame, order: int = 4, block_rows: int = 1_000_000,
                folder: str | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means), score of every row of ``docs``.
@@ -201,11 +312,8 @@ def score_rows(docs: DataFrame, target_ids: DataFrame, order: int = 4, block_row
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "domain")
-    chosen = target_ids.select(F.col("doc_id").cast("long").alias("__chosen")).filter("__chosen is not null").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # One plan at every size: a sort-merge join, never a broadcast while the ids happen to be few.
-    marked = own.join(chosen.hint("merge"), F.col("doc_id") == F.col("__chosen"), "left").select(
-        "text", F.col("__chosen").isNotNull().alias("is_target"))
+    marked = _marked(own, target_ids)
     counts = materialize(ngram_counts(marked, order), folder + "/counts")
     table = materialize(losses(counts, order), folder + "/losses")
     blocks = max(1, -(-table.count() // block_rows))

@@ -48,7 +48,7 @@ def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_domain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that ``labels`` calls of good quality and not toxic."""
     good = _table(spark, sf_dir, "labels").filter("quality = 1 and coalesce(toxic, 0) = 0")
-    return domain_score.score_rows(_table(spark, sf_dir, "documents"), good.select("doc_id"))
+    return domain_score.score_words(_table(spark, sf_dir, "documents"), good.select("doc_id"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,6 +357,41 @@ def test_domain_score(spark, texts, block_rows):
             assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id])
 
 
+def plain_word_losses(rows: dict, target: set, order: int) -> dict:
+    from collections import Counter
+    words = {i: ["^"] * (order - 1) + [w.decode() for w in (t or "").lower().encode().split()] for i, t in rows.items()}
+    grams = {i: [tuple(ws[at - order + 1:at + 1]) for at in range(order - 1, len(ws))] for i, ws in words.items()}
+    counts = [Counter(g[order - n:] for i, gs in grams.items() if m or i in target for g in gs for n in range(1, order + 1))
+              for m in (0, 1)]
+    size = sum(len(g) == 1 for g in counts[1])
+
+    def p(m, g):
+        low = p(m, g[1:]) if len(g) > 1 else 1 / size
+        seen = [c for h, c in counts[m].items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        return (counts[m][g] + len(seen) * low) / (sum(seen) + len(seen)) if seen else low
+    return {i: [len(gs), *(-np.mean([np.log(p(m, g)) for g in gs]) if gs else None for m in (0, 1))]
+            for i, gs in grams.items()}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_domain_score_of_words(spark, texts, order):
+    rows = {i: texts[i][:250] for i in sorted(texts)[:8]} | {
+        800: "", 801: None, 802: "the cat saw a dog", 803: "a dog saw the cat", 804: "The  cat saw a dog", 805: "the cat saw a dog"}
+    target = {*sorted(rows)[:3], 802}
+    frame = spark.createDataFrame([*rows.items(), (805, rows[805])], "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")
+    # The repeated row is counted twice by the models.
+    want = plain_word_losses(rows | {-805: rows[805]}, target, order)
+    got = domain_score.score_words(frame, ids, order=order).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*rows, 805])
+    for r in got:
+        n, near, far = want[r.doc_id]
+        assert r.n_tokens == n
+        assert (r.target_loss, r.background_loss) == ((None, None) if n == 0 else pytest.approx((near, far)))
+    scores = {r.doc_id: r.score for r in got}
+    assert abs(scores[802] - scores[803]) > 1e-3 and scores[802] == pytest.approx(scores[804])
+
+
 # -- lines and partitions ---------------------------------------------------
 
 def test_hot_line_over_many_partitions(spark):
