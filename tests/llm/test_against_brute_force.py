@@ -392,6 +392,18 @@ def test_domain_score_of_words(spark, texts, order):
     assert abs(scores[802] - scores[803]) > 1e-3 and scores[802] == pytest.approx(scores[804])
 
 
+def test_domain_query_keeps_its_tables_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("rows fetched to the driver or broadcast from it")
+    for name in ("toPandas", "toArrow", "toLocalIterator", "collect"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    out = QUERIES["op9_domain_score"](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 # -- lines and partitions ---------------------------------------------------
 
 def test_hot_line_over_many_partitions(spark):
