@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.llm import (
-    chat_format, decontaminate, domain_score, exact_dedup, language_id, line_dedup, mixing, private_spans, simhash,
-    token_files,
+    centroid_clusters, chat_format, decontaminate, domain_score, embedding_links, exact_dedup, language_id, line_dedup,
+    mixing, private_spans, simhash, spelling, token_files,
 )
 
 END_ID = 2
@@ -71,6 +71,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, max_bits=3)
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_embeddings(_table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), min_points=6, min_count=5, ratio=5, typo_every=199)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -82,6 +94,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_domain_score": op9_domain_score,
     "op10_chat_format": op10_chat_format,
+    "op11_embedding_links": op11_embedding_links,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_spelling": op13_spelling,
 }
 
 # The contracts' white space and A-Z lower-casing, as DuckDB text.
@@ -92,7 +107,73 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 # The chat template, and what its escapes do to a text.
 _ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l')"
 
+
+
+def _clusters_sql(rounds: int) -> str:
+    """The rounds unrolled: p holds (vec, d, v), c0 the first centroids, c1, c2, ... those after each round."""
+    def nearest(i: int) -> str:
+        return (f"a{i} AS (SELECT vec, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT vec, c, sum((p.v - m.v) * "
+                f"(p.v - m.v)) AS dist FROM p JOIN c{i} m USING (d) GROUP BY vec, c) GROUP BY vec)")
+
+    steps = [f"""{nearest(i)},
+s{i} AS (SELECT c, d, floor_div(sum(p.v), count(*)) AS v FROM a{i} JOIN p USING (vec) GROUP BY c, d),
+c{i + 1} AS (SELECT c, d, coalesce(s{i}.v, o.v) AS v FROM c{i} o LEFT JOIN s{i} USING (c, d))""" for i in range(rounds)]
+    steps.append(nearest(rounds))
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS vec, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+           AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS (SELECT vec, unnest(range(64)) AS d, floor(256 * unnest(embedding)::DOUBLE)::HUGEINT AS v FROM k),
+f AS (SELECT vec, row_number() OVER (ORDER BY sha256('2:' || vec_id), vec) - 1 AS c FROM k),
+c0 AS (SELECT c, d, v FROM f JOIN p USING (vec) WHERE c < 40),
+{(", " + chr(10)).join(steps)},
+g AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY c),
+t AS (SELECT c, sum(dist) AS own FROM a{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, dist::BIGINT AS distance, own::BIGINT AS cluster_inertia,
+       (SELECT sum(dist) FROM a{rounds})::BIGINT AS inertia, sha AS centroid_sha256
+FROM a{rounds} JOIN k USING (vec) JOIN t USING (c) JOIN g USING (c)""".replace(
+        "floor_div(sum(p.v), count(*))", "((sum(p.v) - ((sum(p.v) % count(*)) + count(*)) % count(*)) // count(*))")
+
+
 ORACLES = {
+    "op11_embedding_links": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+  coalesce(len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+           AND len(list_filter(e, lambda x: x <> 0)) > 0, false) AS able FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.able AND b.able AND a.vec_id <> b.vec_id
+      AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS m FROM v UNION SELECT l.w, r.m FROM r JOIN l ON l.u = r.vec_id),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.u = c.vec_id""",
+    "op12_centroid_clusters": _clusters_sql(5),
+    # crc32 is taken byte by byte over its table; near words share what is left when a code point goes.
+    "op13_spelling": f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384)
+                                   ELSE c // 2 END, n) ORDER BY n) AS crcs FROM range(256) AS b(n)),
+r AS (SELECT doc_id, {_LOWER.format(r"unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+'))")} AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(
+        flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda s:
+                CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [195::BIGINT, unicode(s)::BIGINT - 64] END)),
+        lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295)) AS crc FROM g, t),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2)
+                       ELSE run END AS word FROM h) GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+d AS (SELECT word, i, length(word) AS points, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.points = b.points
+        AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM d a JOIN w b ON a.rest = b.word
+      UNION SELECT b.word, a.word FROM d a JOIN w b ON a.rest = b.word),
+p AS (SELECT e.word, count(*) AS n_near, max(v.n) AS top, arg_min(near, (-v.n, near)) AS best
+      FROM e JOIN w v ON v.word = e.near GROUP BY e.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN best END AS form,
+             CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN p USING (word)),
+o AS (SELECT word, word AS root FROM f UNION ALL SELECT o.word, f.form FROM o JOIN f ON f.word = o.root
+      WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f
+JOIN (SELECT o.word, o.root FROM o JOIN f ON f.word = o.root WHERE f.form IS NULL) USING (word)""",
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, 2.0 * sum(size)::DOUBLE AS cap,
