@@ -25,22 +25,17 @@ NA_TOKENS = [
 # Chinese date marks: year and month become '-', day is removed.
 CN_YEAR, CN_MONTH, CN_DAY = "年", "月", "日"
 
-# Formats a free-text date may take after the marks and slashes are replaced, tried in order.
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m:s.SSSSSSSSS",
-    "yyyy-M-d H:m",
-    "yyyy-M",
-    "yyyyMMdd",
-    "M-d-yyyy",
-    "M-d-yyyy H:m:s",
-    "M-d-yyyy H:m",
-    "yyyy.M.d",
-]
-
 # White space at the ends of a text, as Python's ``strip`` sees it.
-EDGE_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+EDGE_SPACE = r"[\s\x1c-\x1f]*"
+
+# Shapes of a free-text date once its marks and slashes are '-' and its day mark is gone: the usual one, whose
+# text a cast reads as it is, and the rarer ones (20240315, 2024.3.15, 3-15-2024), rewritten to the usual one.
+_TIME = r"[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}%s)?"
+DATE_SHAPE = (r"(?U)^" + EDGE_SPACE + r"([0-9]{4}-[0-9]{1,2}(?:-[0-9]{1,2}(?:[ T]" + _TIME % r"(?:\.[0-9]{1,9})?"
+              + r")?)?)" + EDGE_SPACE + "$")
+RARE_DATE_SHAPE = (r"(?U)^" + EDGE_SPACE + r"(?:([0-9]{4})([0-9]{2})([0-9]{2})|([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})"
+                   r"|([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})((?:[ T]" + _TIME % "" + r")?))" + EDGE_SPACE + "$")
+RARE_DATE_PARTS = "$1$4$9-$2$5$7-$3$6$8$10"
 
 # A plain decimal number, optionally signed, with optional exponent.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -98,16 +93,15 @@ def try_number_sql(expr: str) -> str:
 def cn_date_sql(expr: str) -> str:
     """SQL text: a free-text date such as '2024年3月15日' as timestamp_ntz.
 
-    Blank or unparseable text gives NULL; invalid calendar dates (2024-2-30,
-    month 13) give NULL because every format is tried with
-    ``try_to_timestamp``.
+    One extraction recognises the shape of the usual cell and one cast reads
+    it; only a cell of another shape is looked at again. Blank or unparseable
+    text and invalid calendar dates (2024-2-30, month 13) give NULL.
     """
-    marks = (f"replace(replace(replace(CAST({expr} AS STRING), {_q(CN_YEAR)}, '-'), "
-             f"{_q(CN_MONTH)}, '-'), {_q(CN_DAY)}, '')")
-    s = (f"regexp_replace(replace(regexp_replace({marks}, {_q('(?U)' + EDGE_SPACE)}, ''), '/', '-'), "
-         f"'([0-9])T([0-9])', '$1 $2')")
-    tries = ", ".join(f"try_to_timestamp({s}, {_q(f)})" for f in DATE_FORMATS)
-    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
+    s = f"translate(CAST({expr} AS STRING), {_q(CN_YEAR + CN_MONTH + '/' + CN_DAY)}, '---')"
+    usual = f"regexp_extract({s}, {_q(DATE_SHAPE)}, 1)"
+    rare = (f"regexp_replace(regexp_extract({s}, {_q(RARE_DATE_SHAPE)}, 0), {_q(RARE_DATE_SHAPE)}, "
+            f"{_q(RARE_DATE_PARTS)})")
+    return f"coalesce(TRY_CAST({usual} AS TIMESTAMP_NTZ), TRY_CAST({rare} AS TIMESTAMP_NTZ))"
 
 
 def na_to_null(c: Column | str) -> Column:
@@ -130,12 +124,9 @@ def cn_date(c: Column | str) -> Column:
     """Parse a free-text date such as '2024年3月15日' into timestamp_ntz."""
     if isinstance(c, str):
         return F.expr(cn_date_sql(_ident(c)))
-    s = c.cast("string")
-    for mark, to in ((CN_YEAR, "-"), (CN_MONTH, "-"), (CN_DAY, "")):
-        s = F.replace(s, F.lit(mark), F.lit(to))
-    s = F.replace(F.regexp_replace(s, "(?U)" + EDGE_SPACE, ""), F.lit("/"), F.lit("-"))
-    s = F.regexp_replace(s, "([0-9])T([0-9])", "$1 $2")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
+    s = F.translate(c.cast("string"), CN_YEAR + CN_MONTH + "/" + CN_DAY, "---")
+    rare = F.regexp_replace(F.regexp_extract(s, RARE_DATE_SHAPE, 0), RARE_DATE_SHAPE, RARE_DATE_PARTS)
+    return F.coalesce(F.regexp_extract(s, DATE_SHAPE, 1).try_cast("timestamp_ntz"), rare.try_cast("timestamp_ntz"))
 
 
 def month_of(ts: Column) -> Column:

@@ -267,6 +267,11 @@ union all {_dq_rows('collections', 'dq_collections', ['columns'], ['receivable_n
 union all select 'all_orders', 'contract', cast(0 as bigint), total, true from dq_orders"""
 
 
+# Prices that differ in their last digits beside far outliers, from the events.
+CROWDED_PRICES = """select case when event_id % 5000 = 7 then 1e15 when event_id % 5000 = 11 then -1e300
+  else 1000 + event_id * 1e-9 end v from events"""
+
+
 def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
     def snap(cte: str) -> str:
         return _q(f"select *, '{snapshot_month}' report_month from {cte}")
@@ -285,6 +290,12 @@ def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
         "orders_fact": _q("select * from c_orders"),
         "inventory": _q("select * from c_inventory"),
         "dealer_price_cap": _q("select cap from dealer_cap"),
+        "price_cap_crowded": f"with crowded as ({CROWDED_PRICES})," + """
+ranked as (select v, row_number() over (order by v) - 1 rk from crowded),
+place as (select count(*) n, cast(count(*) - 1 as double) * cast(0.99 as double) pos from crowded)
+select n, lo lo_value, hi hi_value, case when t = 0 then lo when t >= 0.5 then hi - (hi - lo) * (1 - t) else lo + (hi - lo) * t end as value
+from (select n, pos - floor(pos) t, (select v from ranked where rk = floor(pos)) lo,
+             (select v from ranked where rk = least(floor(pos) + 1, n - 1)) hi from place) p""",
         "dealer_orders": _q("select * from c_dealer"),
         "collections": _q("select * from c_collections"),
         "all_orders": _q("select * from c_all_orders"),
