@@ -101,10 +101,11 @@ def customers(src) -> DataFrame:
 def orders_fact(src) -> DataFrame:
     """Order lines of the shop joined to order header, buyer and product.
 
-    Lines of unknown orders, buyers or products drop out (inner joins). The
-    product and user dimensions are joined to the narrow line table; Spark
-    broadcasts them when their size is under the broadcast threshold and
-    shuffles otherwise, and AQE splits a skewed order key.
+    Lines of unknown orders, buyers or products drop out (inner joins). Lines
+    meet their orders first: where both tables are bucketed by order id that
+    join, the largest, moves no rows (``sources.bucketed``). The product and
+    user dimensions follow; Spark broadcasts them when their size is under the
+    broadcast threshold and shuffles otherwise, and AQE splits a skewed key.
     """
     oi = src.table("order_items").select("order_item_id", "order_id", "product_id", "quantity")
     o = src.table("orders").select("order_id", "user_id", F.col("created_at").alias("order_date"),
@@ -112,7 +113,7 @@ def orders_fact(src) -> DataFrame:
     u = src.table("users").select("user_id", F.col("username").alias("customer_name"))
     p = src.table("products").select("product_id", F.col("name").alias("product_name"), "price")
 
-    j = oi.join(p, "product_id").join(o, "order_id").join(u, "user_id")
+    j = oi.join(o, "order_id").join(p, "product_id").join(u, "user_id")
     order_date = F.col("order_date").cast("timestamp_ntz")
     return j.select(
         "order_item_id", "order_id",
@@ -157,30 +158,59 @@ def inventory(src) -> DataFrame:
 # Dealer sheet
 # ---------------------------------------------------------------------------
 
+def _dealer_cells(src) -> DataFrame:
+    """Every row of the sheet with its cells as text, missing-value tokens as NULL."""
+    raw = src.table("dealer_sheet")
+    renamed = raw.withColumnsRenamed({k: v for k, v in DEALER_SHEET_RENAME.items() if k in raw.columns})
+    return renamed.selectExpr(*[f"{na_to_null_sql(f'CAST(`{c}` AS STRING)')} AS {c}"
+                                for c in DEALER_SHEET_RENAME.values()])
+
+
+_DEALER_TYPED = [
+    "order_id",
+    f"{cn_date_sql('date_str')} AS order_date",
+    "customer_name", "product_name",
+    f"{try_number_sql('quantity')} AS quantity",
+    f"{try_number_sql('unit_price')} AS unit_price",
+    f"{try_number_sql('amount')} AS amount",
+]
+# What a row needs, in the order in which it is looked for; the reason of a rejected row is the first it lacks.
+DEALER_NEEDS = ("order_date", "amount", "unit_price", "quantity", "customer_name")
+REJECT_PRICE = "price_above_cap"
+
+
 def dealer_typed(src) -> DataFrame:
     """Every dealer row with typed cells (NULL where a cell does not parse).
 
     Missing-value tokens are mapped in one projection and typed in the next,
     so each cell is cleaned once per row.
     """
-    raw = src.table("dealer_sheet")
-    renamed = raw.withColumnsRenamed({k: v for k, v in DEALER_SHEET_RENAME.items() if k in raw.columns})
-    cells = renamed.selectExpr(*[f"{na_to_null_sql(f'CAST(`{c}` AS STRING)')} AS {c}"
-                                 for c in DEALER_SHEET_RENAME.values()])
-    return cells.selectExpr(
-        "order_id",
-        f"{cn_date_sql('date_str')} AS order_date",
-        "customer_name", "product_name",
-        f"{try_number_sql('quantity')} AS quantity",
-        f"{try_number_sql('unit_price')} AS unit_price",
-        f"{try_number_sql('amount')} AS amount",
-    )
+    return _dealer_cells(src).selectExpr(*_DEALER_TYPED)
+
+
+def dealer_classified(src, q: float = DEALER_PRICE_QUANTILE) -> DataFrame:
+    """Every row of the sheet, typed, with its cells as ``cells`` and the ``reason`` it is rejected for.
+
+    ``reason`` is NULL for an accepted row, else ``no_<column>`` of the first
+    thing it lacks, or that its price is above the cap.
+    """
+    cap = exact_quantile(dealer_clean(src), "unit_price", q).select("value").scalar()
+    typed = _dealer_cells(src).selectExpr(
+        *_DEALER_TYPED, f"struct({', '.join(DEALER_SHEET_RENAME.values())}) AS cells")
+    reason = F.when(F.col("unit_price") > cap, F.lit(REJECT_PRICE))
+    for need in reversed(DEALER_NEEDS):
+        reason = F.when(F.col(need).isNull(), F.lit(f"no_{need}")).otherwise(reason)
+    return typed.withColumn("reason", reason)
+
+
+def dealer_rejects(src, q: float = DEALER_PRICE_QUANTILE) -> DataFrame:
+    """The rows of the sheet that ``dealer_orders`` leaves out: their cells as written, and the reason."""
+    return dealer_classified(src, q).filter(F.col("reason").isNotNull()).select("cells.*", "reason")
 
 
 def dealer_clean(src) -> DataFrame:
     """Dealer rows with a date and all of amount, price, quantity and customer."""
-    return (dealer_typed(src).filter(F.col("order_date").isNotNull())
-            .dropna(subset=["amount", "unit_price", "quantity", "customer_name"]))
+    return dealer_typed(src).dropna(subset=list(DEALER_NEEDS))
 
 
 def dealer_price_cap(src, q: float = DEALER_PRICE_QUANTILE) -> DataFrame:
@@ -215,8 +245,11 @@ def collections(src) -> DataFrame:
     pay = src.table("payments").select("payment_id", "order_id", "amount", "status", "payment_time")
     o = src.table("orders").select("order_id", "user_id")
     u = src.table("users").select("user_id", F.col("username").alias("customer_name"))
-    # Buyers are found per order first, so payments without an order are never gathered under a null user.
-    j = pay.join(o.join(u, "user_id").select("order_id", "customer_name"), "order_id", "left")
+    # Payments meet their orders first (no exchange where both are bucketed by order id). Those without an
+    # order, or without a buyer, would all share the key NULL in the next join; the second key spreads them.
+    spread = F.when(F.col("user_id").isNull(), F.xxhash64("payment_id", "order_id")).otherwise(F.lit(0))
+    j = (pay.join(o, "order_id", "left").withColumn("_spread", spread)
+         .join(u.withColumn("_spread", F.lit(0).cast("bigint")), ["user_id", "_spread"], "left"))
 
     done = F.col("status") == COMPLETED
     receivable = F.col("amount").try_cast(MONEY)

@@ -157,7 +157,7 @@ def ranked_products(orders: DataFrame, n: int = TOP_PRODUCTS, per_product: DataF
                     F.row_number().over(Window.orderBy(*order)).alias("rank")))
 
 
-def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
+def category_sales(orders: DataFrame | None, products: DataFrame, per_name: DataFrame | None = None) -> DataFrame:
     """Order lines and sales per category, joining lines to products by name.
 
     A product listed under several categories counts in each; a name the
@@ -165,12 +165,14 @@ def category_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     Lines are first reduced to one row per product name and catalogue rows
     to one row per (name, category) with their multiplicity, so the join
     never materialises the name fan-out: the totals are weighted instead.
+    ``per_name``: lines already reduced by name (see ``partials.per_name``).
     """
-    per_name = orders.groupBy("product_name").agg(
-        F.count("order_id").alias("_lines"),
-        exact_money(F.col("amount")).alias("_exact"),
-        huge_money(F.col("amount")).alias("_huge"),
-    )
+    if per_name is None:
+        per_name = orders.groupBy("product_name").agg(
+            F.count("order_id").alias("_lines"),
+            exact_money(F.col("amount")).alias("_exact"),
+            huge_money(F.col("amount")).alias("_huge"),
+        )
     per_cat = (products.select(F.col("product_name").alias("_name"), "category")
                .groupBy("_name", "category").agg(F.count(F.lit(1)).alias("_k")))
     j = per_name.join(per_cat, per_name.product_name.eqNullSafe(per_cat._name))

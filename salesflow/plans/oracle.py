@@ -285,6 +285,18 @@ def oracle_sql(snapshot_month: str = "202608") -> dict[str, str]:
         "snapshot_append_twice": _q(f"select *, '{snapshot_month}' report_month from c_collections "
                                     f"union all select *, '{snapshot_month}' from c_collections"),
         "snapshot_collections": snap("c_collections"),
+        "snapshot_replace_after_append": _q(f"select c_collections.*, m report_month from c_collections "
+                                            f"cross join (values ('202607'), ('{snapshot_month}')) v(m)"),
+        "snapshot_latest": _q(f"""
+select m report_month, status, count(*) payments, {_msum('receivable')} receivable from c_collections
+cross join (values ('202606'), ('202607'), ('{snapshot_month}')) v(m) group by m, status"""),
+        "snapshot_drifting_types": _q(f"""
+select payment_id, order_id, customer_name, receivable, collected, outstanding,
+       case when m <> '202607' then status end status, last_payment_date, m report_month
+from c_collections cross join (values ('202607'), ('{snapshot_month}')) v(m)"""),
+        "snapshot_date_range": _q(f"""
+select *, '{snapshot_month}' report_month from c_all_orders
+where order_date >= timestamp '1996-04-01' and order_date < timestamp '1996-07-01'"""),
         "products": _q("select * from c_products"),
         "customers": _q("select * from c_customers"),
         "orders_fact": _q("select * from c_orders"),
@@ -297,6 +309,22 @@ select n, lo lo_value, hi hi_value, case when t = 0 then lo when t >= 0.5 then h
 from (select n, pos - floor(pos) t, (select v from ranked where rk = floor(pos)) lo,
              (select v from ranked where rk = least(floor(pos) + 1, n - 1)) hi from place) p""",
         "dealer_orders": _q("select * from c_dealer"),
+        "dealer_rejects": _q(f"""
+select order_id, date_str, customer_name, product_name, quantity, unit_price, amount, reason from (
+  select *, case when order_date is null then 'no_order_date' when {_num('amount')} is null then 'no_amount'
+                 when {_num('unit_price')} is null then 'no_unit_price' when {_num('quantity')} is null then 'no_quantity'
+                 when customer_name is null then 'no_customer_name'
+                 when {_num('unit_price')} > (select cap from dealer_cap) then 'price_above_cap' end reason
+  from dealer_dated) r where reason is not null"""),
+        "orders_fact_bucketed": _q("select * from c_orders"),
+        "collections_bucketed": _q("select * from c_collections"),
+        "sales_incremental": _q("\nunion all ".join(f"""
+select '{level}' as level, {key} as key, count(order_id) order_lines, {_r0(_msum('amount'))} sales,
+       {_r0('coalesce(sum(quantity), 0)')} quantity from c_all_orders where {key} is not null group by {key}"""
+            for level, key in (("month", "order_month"), ("product", "product_name"), ("customer", "customer_name"),
+                               ("status", "status")))),
+        "category_sales_incremental": _q(CATEGORY_SALES),
+        "monthly_trend_incremental": _q("select * from m_monthly"),
         "collections": _q("select * from c_collections"),
         "all_orders": _q("select * from c_all_orders"),
         "channel_filter": _q("select * from c_all_orders where channel = '经销商'"),

@@ -14,15 +14,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from salesflow.operators import conform, metrics, quality
 from salesflow.plans import report
 from salesflow.session import shared_dir
-from salesflow.sinks.snapshot import read_snapshot, write_snapshot
+from salesflow.sinks.snapshot import read_snapshot, snapshot_counts, write_snapshot
 
 REPORTS = ("full", "sales", "inventory", "collection")
 
@@ -34,6 +35,8 @@ SECTIONS = {
 }
 
 SNAPSHOT_TABLES = ("products", "orders", "inventory", "collections")
+# Columns whose ranges the files of a snapshot hold; the second spreads a time that many rows share.
+SNAPSHOT_ORDER = {"orders": ("order_date", "order_id")}
 
 
 @dataclass(frozen=True)
@@ -250,15 +253,28 @@ class Analysis:
         return f"{root.rstrip('/')}/report_{table}"
 
     def save_snapshot(self, table: str, base: str | None = None, replace_month: bool = False) -> bool:
-        """Append one cleaned table under the report month; empty stock/payments are skipped."""
+        """Append one cleaned table under the report month; empty stock/payments are skipped.
+
+        Order lines lie in ranges of their time, so that a reader of some days skips the other row groups.
+        """
         return write_snapshot(self.snapshot_sources()[table], self.snapshot_path(table, base),
                               self.params.report_month, replace_month=replace_month,
-                              skip_empty=table in ("inventory", "collections"))
+                              skip_empty=table in ("inventory", "collections"),
+                              cluster_by=SNAPSHOT_ORDER.get(table, ()))
 
     def save_snapshots(self, base: str | None = None, replace_month: bool = False) -> dict[str, bool]:
         """Append every cleaned table under the report month (never overwriting by default)."""
         return {t: self.save_snapshot(t, base, replace_month) for t in SNAPSHOT_TABLES}
 
-    def read_snapshot(self, table: str, base: str | None = None, month: str | None = None) -> DataFrame:
+    def read_snapshot(self, table: str, base: str | None = None, month: str | None = None, latest: bool = False,
+                      drift: bool = False) -> DataFrame:
         df = self.snapshot_sources()[table]
-        return read_snapshot(df.sparkSession, self.snapshot_path(table, base), df.schema, month)
+        return read_snapshot(df.sparkSession, self.snapshot_path(table, base), df.schema, month, latest, drift)
+
+    def snapshot_counts(self, base: str | None = None) -> DataFrame:
+        """(table_name, row_count) of the report month, counted as the snapshots were written: no scan."""
+        spark = self.products.sparkSession
+        month = F.col("report_month") == self.params.report_month
+        parts = [snapshot_counts(spark, self.snapshot_path(t, base), latest=True).filter(month)
+                 .select(F.lit(t).alias("table_name"), "row_count") for t in SNAPSHOT_TABLES]
+        return reduce(DataFrame.unionByName, parts)
