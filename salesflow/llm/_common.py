@@ -70,6 +70,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         release()
 
 
+def plain_names(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """``df`` with all columns but ``keep`` renamed c0, c1, ..., and its own names (``toDF`` gives them back).
+
+    Columns that an operator adds then clash with none, and names with dots or quotes can be passed on.
+    """
+    return df.toDF(*[c if c in keep else f"c{i}" for i, c in enumerate(df.columns)]), df.columns
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

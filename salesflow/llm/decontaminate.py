@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.llm._common import (
-    as_text, indexed, materialize, mix64, ragged, scratch, slices, word_blocks,
+    as_text, indexed, materialize, mix64, plain_names, ragged, scratch, slices, word_blocks,
 )
 
 # Token positions that each seed keeps. The first serves items of five tokens.
@@ -261,6 +261,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
         return run
 
     window, similarity = options.get("window", 20), options.get("similarity", 0.8)
+    docs, names = plain_names(docs)
     for table in _blocks(items, options.get("block_tokens", 200_000), window):
         docs = docs.mapInArrow(overlapping(docs.sparkSession.sparkContext.broadcast(table)), docs.schema)
-    return docs
+    return docs.toDF(*names)

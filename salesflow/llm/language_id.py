@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import as_text, code_points, indexed, mix64, ragged, slices, word_blocks
+from salesflow.llm._common import as_text, code_points, indexed, mix64, plain_names, ragged, slices, word_blocks
 
 UNDETERMINED = "und"
 
@@ -331,6 +331,7 @@ def language_report(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, options: Options = Options()) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and a score of ``min_score`` or more."""
-    named = classify(docs, learned_from(docs, options), "__lang_pred", "__lang_score")
-    return named.filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= min_score)) \
-                .drop("__lang_pred", "__lang_score")
+    plain, names = plain_names(docs)
+    named = classify(plain, learned_from(docs, options), "lang_pred", "lang_score")
+    return (named.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score))
+            .drop("lang_pred", "lang_score").toDF(*names))

@@ -7,16 +7,19 @@ excess goes to the others by weight (water-filling: in order of limit by
 weight, the filled sources form a prefix, found with running sums).
 
 Every document of a source expects target / size-of-source copies. Documents
-are ranked within their source by (size, doc_id modulo 4096, doc_id); the
-prefix sum of expected copies is rank times that ratio, to which one offset
-per source (from a hash of the seed and the source) is added, and a document is
-taken once for each whole number its interval crosses. Ranking by size spreads
-each size class evenly, so the words taken come within about one large
-document of the target.
+are ranked within their source by (size, cell, doc_id, digest), where the digest
+is the md5 of ``doc_id:text`` and the cell its first three digits; the prefix
+sum of expected copies is rank times that ratio, to which one offset per source
+(from a hash of the seed and the source) is added, and a document is taken once
+for each whole number its interval crosses. Ranking by size spreads each size
+class evenly, so the words taken come within about one large document of the
+target.
 
 The rank is built without a task that sees a whole source: counts by (source,
-size, doc_id modulo 4096) give running totals, and only such a cell is ranked
-by a window, so equal sizes are spread too.
+size, cell) give running totals, and only such a cell is ranked by a window, so
+equal sizes are spread too, whatever the ids: many null ids, ids with a common
+divisor, or one id that many rows share. Rows that agree in id and text share a
+cell; they are interchangeable.
 
 Defined cases: null or empty text has size 0 and is taken like any document
 (its words add nothing); a source without words has target 0 and is not
@@ -30,7 +33,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
+from salesflow.llm._common import quoted
+
+CELL_DIGITS = 3  # hex digits of a row's digest: 4,096 cells
 WORD = r"[^\x20\x09-\x0D]+"
 # Internal columns start with this, so they can't clash with a document's own.
 _P = "__mix_"
@@ -73,9 +78,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """``docs`` (doc_id, text, source, ...) with columns ``__mix_size``, ``__mix_source_size``,
     ``__mix_target`` and ``__mix_copies``; rows not taken have 0 copies."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    own = docs.select(
-        "*", key.alias(_P + "key"), words(F.col("text")).alias(_P + "size"),
-        F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(CELLS)).alias(_P + "cell"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"),
+                            F.coalesce(F.col("text"), F.lit(""))))
+    own = docs.select("*", key.alias(_P + "key"), words(F.col("text")).alias(_P + "size"), digest.alias(_P + "digest")) \
+              .withColumn(_P + "cell", F.substring(_P + "digest", 1, CELL_DIGITS))
     cells = (own.groupBy(F.col(_P + "key").alias("key"), F.col(_P + "size").alias("size"),
                          F.col(_P + "cell").alias("cell")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
@@ -90,7 +96,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         (F.col("before_size") + F.col("before_cell")).alias(_P + "before"),
         F.col("source_size").alias(_P + "source_size"), F.col("target").alias(_P + "target"))
 
-    inside = Window.partitionBy(_P + "key", _P + "size", _P + "cell").orderBy(F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy(_P + "key", _P + "size", _P + "cell").orderBy(
+        F.col("doc_id").asc_nulls_last(), _P + "digest")
     ranked = own.withColumn(_P + "nth", F.row_number().over(inside))
     joined = ranked.join(places, (F.col(_P + "key") == F.col(_P + "k")) & (F.col(_P + "size") == F.col(_P + "s"))
                          & (F.col(_P + "cell") == F.col(_P + "c")))
@@ -100,14 +107,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
                - F.floor(offset(F.col(_P + "key"), seed) + ratio * (rank - 1.0)))
     copies = F.when(F.col(_P + "source_size") > 0, F.least(crossed, F.ceil(ratio))).otherwise(F.lit(0)).cast("long")
     return joined.withColumn(_P + "copies", copies).select(
-        *[F.col(f"`{c}`") for c in docs.columns], _P + "size", _P + "source_size", _P + "target", _P + "copies")
+        *[F.col(quoted(c)) for c in docs.columns], _P + "size", _P + "source_size", _P + "target", _P + "copies")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     taken = mix(docs, **options).filter(F.col(_P + "copies") > 0)
     return (taken.withColumn(_P + "nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col(_P + "copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[F.col(quoted(c)) for c in docs.columns]))
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:

@@ -175,7 +175,8 @@ o AS (SELECT word, word AS root FROM f UNION ALL SELECT o.word, f.form FROM o JO
 SELECT f.word, form, root, n, n_near, form_n FROM f
 JOIN (SELECT o.word, o.root FROM o JOIN f ON f.word = o.root WHERE f.form IS NULL) USING (word)""",
     "op5_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, 2.0 * sum(size)::DOUBLE AS cap,
              (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS place FROM d GROUP BY source),
 w AS (SELECT *, CASE place WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
@@ -189,8 +190,8 @@ t AS (SELECT l.source, source_size, least(cap, coalesce(o.level * weight, cap))
              ('0x' || substr(md5('42:' || CASE WHEN source IS NULL THEN '1' ELSE '0' || source END), 1, 8))::BIGINT
                / 4294967296.0::DOUBLE AS u
       FROM l LEFT JOIN o ON true),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, ((coalesce(doc_id, 0) % 4096) + 4096) % 4096,
-                                   doc_id NULLS LAST)::DOUBLE AS nth FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, substr(digest, 1, 3), doc_id NULLS LAST,
+                                   digest)::DOUBLE AS nth FROM d),
 c AS (SELECT doc_id, size, source_size, target,
              CASE WHEN source_size > 0 THEN least(floor(u + target / source_size * nth) - floor(u + target / source_size * (nth - 1)),
                                                   ceil(target / source_size)) ELSE 0 END AS copies

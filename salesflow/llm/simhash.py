@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.llm._common import (
-    NULL_ID, as_bytes, ids_of, materialize, materialize_few, mix64, scratch, slices, word_blocks,
+    NULL_ID, as_bytes, ids_of, materialize, materialize_few, mix64, quoted, scratch, slices, word_blocks,
 )
 from salesflow.llm.components import components
 
@@ -282,8 +282,12 @@ def keep_one(docs: DataFrame, k: int = 3, max_bits: int = 3, folder: str | None
     rows = materialize(fingerprints(docs, k, *[c.alias(n) for n, c in keys.items()]), folder + "/rows")
     heads = (_components(rows, F.struct(F.col("doc_id").alias("__head"), *keys), max_bits, folder)
              .select("component.*").distinct())
-    hashable = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    named = docs.withColumns({"__head": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), **keys})
+    hashable = [f"c{i}" for i, f in enumerate(docs.schema)
+                if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    # The row travels as one struct of positional names, so that no column of the table meets the keys.
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__head"),
+                        *[c.alias(n) for n, c in keys.items()],
+                        F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
     single = named.groupBy("__head", *keys).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias("__row"))
-    return single.join(heads, ["__head", *keys], "left_semi").select("__row.*")
+        F.min_by("row", F.xxhash64(*[F.col(f"row.{c}") for c in hashable])).alias("row"))
+    return single.join(heads, ["__head", *keys], "left_semi").select("row.*").toDF(*docs.columns)

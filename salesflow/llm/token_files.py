@@ -41,6 +41,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ BLOCK_IDS = 1 << 20
 MAGIC = b"RANKVB01"
 HEAD = "<qqqq"  # documents, ids, control bytes, data bytes of a block
 ROW_SCHEMA = "kind int, doc_id long, n int, ids binary"
-SHARD_SCHEMA = "shard string, first_id long, n_docs long, n_ids long"
+SHARD_SCHEMA = "shard string, part int, first_id long, n_docs long, n_ids long"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -366,8 +367,9 @@ def _write(folder: str, dtype, shared):
             out.close()
             fs.move(f"{path}/{attempt}.tmp", f"{path}/shard-{attempt}.bin")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"shard-{attempt}.bin"]), *(pa.array([x], pa.int64()) for x in (first_id, n_docs, n_ids))],
-                ["shard", "first_id", "n_docs", "n_ids"])
+                [pa.array([f"shard-{attempt}.bin"]), pa.array([TaskContext.get().partitionId()], pa.int32()),
+                 *(pa.array([x], pa.int64()) for x in (first_id, n_docs, n_ids))],
+                ["shard", "part", "first_id", "n_docs", "n_ids"])
     return run
 
 
@@ -407,8 +409,10 @@ def _read(folder: str, shared):
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, whole: bool = False) -> DataFrame:
     """Write shard files, ``manifest`` (Parquet) and ``ids.json`` (ids in rank order) to ``folder``.
 
-    Returns the manifest: shard, first_id, n_docs, n_ids, start (ids in the
-    shards before it).
+    Returns the manifest: shard, part (its range), first_id, n_docs, n_ids,
+    start (ids in the shards before it). Ranges go by (doc_id, hash of the ids,
+    input place), so rows that share an id, null ids above all, spread over
+    shards; those that agree in id and ids are interchangeable.
     """
     spark = docs.sparkSession
     size = Encoder(tokenizer_path, end_id, whole)
@@ -429,11 +433,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     with fs.open_output_stream(f"{root}/ids.json", compression=None) as out:
         out.write(json.dumps({"end_id": end_id, "ids": id_of.tolist()}).encode())
 
-    ordered = (encoded.filter("kind = 0").select("doc_id", "ids")
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids"))
+    order = ["doc_id", "hash", "place"]
+    ordered = (encoded.filter("kind = 0")
+               .select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("place"))
+               .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids"))
     shards = ordered.mapInArrow(_write(folder, size.dtype, spark.sparkContext.broadcast(rank_of)), SHARD_SCHEMA)
     shards.write.parquet(folder + "/manifest")
-    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return (spark.read.schema(SHARD_SCHEMA).parquet(folder + "/manifest")
             .withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
 
