@@ -1,30 +1,19 @@
 """Cross-entropy difference: matched target and background n-gram models over one shared vocabulary.
 
-``score_words`` (the registered query) takes words ``[^\\x20\\x09-\\x0D]+``,
-lower-cased, as tokens, with n-grams across words and start marks before a
-document's first. Rows meet by shuffles only: a document's distinct longest
-n-grams are joined with the loss table by n-gram and summed by text; hot
-n-grams and contexts are split by Spark, as either side of those joins has a
-shuffle. Texts and n-grams are known by 64-bit hashes. The models, smoothing
-and defined cases are those below; n_tokens counts words.
-
-``score_rows``, the smaller model, takes characters as tokens: each word ``[^\\x20\\x09-\\x0D]+``, lower-cased, is read
-with an end mark, in the context of its own earlier characters (a start mark
-before the first). All characters of the corpus are the vocabulary that both
-models share; both use the same orders 1 to ``order`` and the same smoothing
-(interpolated Witten-Bell over a uniform floor), the target model on the rows
-chosen as target, the background model on all rows. A document's score is the
-mean over its tokens of target loss minus background loss in nats; lower means
-closer to the target.
-
-Counts are gathered over all rows: each task reduces its own rows to distinct
-longest n-grams, which meet by n-gram; shorter ones are sums over those that
-end in them. Probabilities are computed in joins, order by order, of contexts
-and shorter n-grams. Scores
-need the longest n-grams only, since every n-gram of the corpus is in the
-background: their loss pairs are taken in blocks of ``block_rows`` rows by
-hash, each broadcast by itself, so what is broadcast is bounded whatever the
-corpus; documents' sums over the blocks are added by row.
+Tokens are words ``[^\\x20\\x09-\\x0D]+``, lower-cased, with n-grams across
+words and start marks before a document's first. All words of the corpus are
+the vocabulary that both models share; both use the same orders 1 to ``order``
+and the same smoothing (interpolated Witten-Bell over a uniform floor), the
+target model on the rows chosen as target, the background model on all rows. A
+document's score is the mean over its tokens of target loss minus background
+loss in nats; lower means closer to the target.
+
+Every n-gram of every row is counted, and nothing that grows with the corpus is
+collected or broadcast. Bigrams (the registered query) take the packed way of
+``bigram_packets``. Higher orders go by joins: each task reduces its own rows
+to distinct longest n-grams, which meet by n-gram; shorter ones are sums over
+those that end in them; a document's distinct longest n-grams are joined with
+the loss table and summed by text. Texts and n-grams are known by 64-bit hashes.
 
 Defined cases: a null text, or one without a word, has 0 tokens and null
 losses; without target rows the target model is the uniform floor; a null
@@ -35,68 +24,29 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import as_text, code_points, indexed, materialize, mix64, scratch, slices, word_blocks
+from salesflow.llm import bigram_packets
+from salesflow.llm._common import as_text, materialize, mix64, scratch, slices
+from salesflow.llm.domain_words import STEP, word_hashes
 
-_START = 0x110000  # mark before a word: no character has this code; the blank behind a word marks its end
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def grams(words: list[str], order: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
-    """Tokens per word (its characters and the end mark), and for n = 1 .. ``order`` the hashes of the n
-    characters that end at every token of all words on end, with start marks before a word."""
-    codes, starts = code_points(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    codes = codes.astype(np.uint64)
-
-    def run() -> Iterator[np.ndarray]:
-        total, factor = np.zeros(len(codes), np.uint64), np.uint64(1)
-        back = codes
-        for n in range(1, order + 1):
-            total += back * factor
-            factor *= _STEP
-            yield mix64(total + np.uint64(n))
-            back = np.r_[np.uint64(_START), back[:-1]]
-            back[starts] = _START
-    return lengths, run()
+_START = 0x110000  # mark before a text
 
 
 def start_hash(n: int) -> int:
-    """The hash of ``n`` start marks, the context of a word's first character."""
+    """The hash of ``n`` start marks, the context of a text's first word."""
     factor, total = 1, 0
     for _ in range(n):
         total += _START * factor
-        factor = factor * int(_STEP) % (1 << 64)
+        factor = factor * int(STEP) % (1 << 64)
     return int(mix64(np.array([(total + n) % (1 << 64)], np.uint64))[0])
 
 
-def _word_blocks(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    at, sizes, words = [], [], []
-    for i, text in enumerate(texts):
-        for block in word_blocks(text.lower().encode("utf-8", "surrogatepass")):
-            if block:
-                at.append(i)
-                sizes.append(len(block))
-                words += block
-            if len(words) > 1 << 20:
-                yield at, sizes, words
-                at, sizes, words = [], [], []
-    if words:
-        yield at, sizes, words
-
-
-def _decoded(words: list[bytes]) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in words]
-
-
 def _columns(order: int) -> list[str]:
     return [f"{kind}{n}" for n in range(1, order + 1) for kind in ("gram", "context")]
 
@@ -111,17 +61,12 @@ def _merged(parts: list, order: int) -> list[np.ndarray]:
 
 def word_grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Each word's text, and for n = 1 .. ``order`` the hashes of the n words that end at every word."""
-    owners, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for at, sizes, words in _word_blocks(texts):
-        distinct, ids = indexed(words)
-        tokens.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[ids])
-        owners.append(np.repeat(at, sizes))
-    owner, back = np.concatenate(owners), np.concatenate(tokens)
+    owner, back = word_hashes(texts)
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-    total, factor, out = np.zeros(len(back), np.uint64), np.uint64(1), []
+    total, factor, out = np.zeros(len(back), np.uint64), 1, []
     for n in range(1, order + 1):
-        total += back * factor
-        factor *= _STEP
+        total += back * np.uint64(factor)
+        factor = factor * int(STEP) % (1 << 64)
         out.append(mix64(total + np.uint64(n)))
         back = np.r_[back[:0], np.uint64(_START), back[:-1]][:len(back)]
         back[starts] = _START
@@ -157,47 +102,11 @@ def _count_words(order: int, merge_at: int):
     return run
 
 
-def _count(order: int, merge_at: int):
-    names = [*_columns(order), "target", "background"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in _merged(held, order)], names)
-                held.clear()
-
-        for part in slices(batches, "text"):
-            chosen = np.array([bool(x) for x in part.column("is_target").to_pylist()], bool)
-            for at, sizes, words in _word_blocks(as_text(part.column("text"))):
-                distinct, ids = indexed(words)
-                wanted = np.repeat(chosen[at], sizes)
-                every = np.bincount(ids, minlength=len(distinct))
-                target = np.bincount(ids[wanted], minlength=len(distinct))
-                lengths, hashes = grams(_decoded(distinct), order)
-                starts = np.cumsum(lengths) - lengths
-                columns, last = [], None
-                for n, gram in enumerate(hashes, 1):
-                    if n == 1:
-                        context = np.zeros(len(gram), np.uint64)
-                    else:  # the shorter n-gram that ends one token before
-                        context = np.r_[np.uint64(0), last[:-1]]
-                        context[starts] = start_hash(n - 1)
-                    columns += [gram, context]
-                    last = gram
-                held.append(_merged([columns + [np.repeat(target, lengths), np.repeat(every, lengths)]], order))
-            if sum(len(rows[0]) for rows in held) > merge_at:
-                yield from flush()
-        yield from flush()
-    return run
-
-
-def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 19, count=_count) -> DataFrame:
+def ngram_counts(rows: DataFrame, order: int, merge_at: int = 1 << 19) -> DataFrame:
     """Counts over all of ``rows`` (text, is_target) by longest n-gram, with the hashes of its shorter ones."""
     names = _columns(order)
     schema = ", ".join(f"{c} long" for c in [*names, "target", "background"])
-    return (rows.select("text", "is_target").mapInArrow(count(order, merge_at), schema).groupBy(*names)
+    return (rows.select("text", "is_target").mapInArrow(_count_words(order, merge_at), schema).groupBy(*names)
             .agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
 
@@ -205,7 +114,7 @@ def losses(counts: DataFrame, order: int, folder: str | None = None) -> DataFram
     """gram, target_loss, background_loss (nats) of the n-grams of the highest order.
 
     p_n(c|h) = (count(hc) + kinds(h) p_{n-1}(c|h')) / (count(h) + kinds(h)), with
-    kinds(h) the different characters seen after h; an unseen context falls
+    kinds(h) the different words seen after h; an unseen context falls
     through to the shorter one; below order 1 all tokens are alike. With ``folder``
     the contexts are written there, so that Spark can split a hot one in its join.
     """
@@ -236,30 +145,12 @@ def losses(counts: DataFrame, order: int, folder: str | None = None) -> DataFram
                         (-F.log("background_low")).alias("background_loss"))
 
 
-def text_sums(texts: list[str], order: int, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Per text: tokens, and target and background loss over the n-grams among the sorted ``keys``."""
-    sums = np.zeros((len(texts), 3))
-    for at, sizes, words in _word_blocks(texts):
-        distinct, ids = indexed(words)
-        lengths, hashes = grams(_decoded(distinct), order)
-        gram = deque(hashes, maxlen=1).pop().view(np.int64)
-        values = np.zeros((len(gram), 3))
-        values[:, 0] = 1
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-            hit = keys[place] == gram
-            values[hit, 1:] = pairs[place[hit]]
-        each = np.add.reduceat(values, np.cumsum(lengths) - lengths, axis=0)
-        np.add.at(sums, at, np.add.reduceat(each[ids], np.cumsum(sizes) - sizes, axis=0))
-    return sums
-
-
-def _marked(own: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """text, is_target of every row."""
+def _marked(own: DataFrame, target_ids: DataFrame, folder: str) -> DataFrame:
+    """doc_id, text, is_target of every row; texts move only if the ids' table is too large for Spark to broadcast."""
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("__chosen")).filter("__chosen is not null").distinct()
-    # One plan at every size: a sort-merge join, never a broadcast while the ids happen to be few.
-    return own.join(chosen.hint("merge"), F.col("doc_id") == F.col("__chosen"), "left").select(
-        "text", F.col("__chosen").isNotNull().alias("is_target"))
+    chosen = materialize(chosen, f"{folder}/chosen")  # a table whose size is known
+    return own.join(chosen, F.col("doc_id") == F.col("__chosen"), "left").select(
+        "doc_id", "text", F.col("__chosen").isNotNull().alias("is_target"))
 
 
 def _emit(order: int):
@@ -282,11 +173,22 @@ def _emit(order: int):
     return run
 
 
-def score_words(docs: DataFrame, target_ids: DataFrame, order: int = 2, folder: str | None = None) -> DataFrame:
-    """The columns of ``score_rows`` by word models; nothing that grows with the corpus is collected or broadcast."""
+def score_words(docs: DataFrame, target_ids: DataFrame, order: int = 2, folder: str | None = None, **options) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means), score of every row of ``docs``.
+
+    ``target_ids``: doc_id of the rows that the target model learns from.
+    ``options`` are those of ``bigram_packets.score``, the way of order 2.
+    """
     folder = folder or scratch(docs.sparkSession, "domain")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = materialize(ngram_counts(_marked(own, target_ids), order, count=_count_words), folder + "/counts")
+    marked = _marked(own, target_ids, folder)
+    rows = bigram_packets.score(marked, folder, **options) if order == 2 else _joined(own, marked, order, folder)
+    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _joined(own: DataFrame, marked: DataFrame, order: int, folder: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss by joins of n-grams with their losses."""
+    counts = materialize(ngram_counts(marked, order), folder + "/counts")
     table = materialize(losses(counts, order, folder), folder + "/losses")
     keyed = own.withColumn("text_key", F.xxhash64("text"))
     each = keyed.select("text", "text_key").mapInArrow(_emit(order), "text_key long, gram long, n long")
@@ -300,49 +202,4 @@ def score_words(docs: DataFrame, target_ids: DataFrame, order: int = 2, folder:
         F.col("text_key").alias("own_key"), (F.col("n") / F.col("copies")).cast("long").alias("tokens"),
         mean("target_loss").alias("target_loss"), mean("background_loss").alias("background_loss")), folder + "/scores")
     return (keyed.select("doc_id", "text_key").join(scores.hint("merge"), F.col("text_key") == F.col("own_key"), "left")
-            .select("doc_id", F.coalesce("tokens", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss",
-                    (F.col("target_loss") - F.col("background_loss")).alias("score")))
-
-
-def score_rows(docs: DataFrame, target_ids: DataFrame, order: int = 4, block_rows: int = 1_000_000,
-               folder: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means), score of every row of ``docs``.
-
-    ``target_ids``: doc_id of the rows that the target model learns from.
-    """
-    spark = docs.sparkSession
-    folder = folder or scratch(spark, "domain")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = _marked(own, target_ids)
-    counts = materialize(ngram_counts(marked, order), folder + "/counts")
-    table = materialize(losses(counts, order), folder + "/losses")
-    blocks = max(1, -(-table.count() // block_rows))
-    block_of = F.pmod(F.xxhash64("gram"), F.lit(blocks))
-    out = None
-    for k in range(blocks):
-        rows = table.filter(block_of == k).toPandas().sort_values("gram")  # about block_rows rows
-        shared = spark.sparkContext.broadcast(
-            (rows.gram.to_numpy(), rows[["target_loss", "background_loss"]].to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text"):
-                sums = text_sums(as_text(part.column("text")), order, *shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(sums[:, 0].astype(np.int64)),
-                     pa.array(sums[:, 1]), pa.array(sums[:, 2])],
-                    ["doc_id", "text_key", "n_tokens", "target_sum", "background_sum"])
-        keyed = own.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-        part = keyed.mapInArrow(run, "doc_id long, text_key long, n_tokens long, target_sum double, background_sum double")
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:  # rows that repeat doc_id and text have the same means, whichever number of them is added
-        out = (out.groupBy("doc_id", "text_key").agg(
-            F.sum("n_tokens").alias("n_tokens"), F.sum("target_sum").alias("target_sum"),
-            F.sum("background_sum").alias("background_sum"), (F.count("*") / blocks).cast("long").alias("copies"))
-            .withColumn("n_tokens", (F.col("n_tokens") / (blocks * F.col("copies"))).cast("long"))
-            .withColumn("target_sum", F.col("target_sum") / F.col("copies"))
-            .withColumn("background_sum", F.col("background_sum") / F.col("copies"))
-            .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies"))
-    mean = lambda c: F.try_divide(c, "n_tokens")
-    return out.select("doc_id", "n_tokens", mean("target_sum").alias("target_loss"),
-                      mean("background_sum").alias("background_loss"),
-                      (mean("target_sum") - mean("background_sum")).alias("score"))
+            .select("doc_id", F.coalesce("tokens", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss"))

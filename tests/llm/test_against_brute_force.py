@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from salesflow.llm import decontaminate, domain_score, exact_dedup, language_id, line_dedup, private_spans, simhash, token_files
+from salesflow.llm import (
+    bigram_packets, decontaminate, domain_score, exact_dedup, language_id, line_dedup, private_spans, simhash, token_files,
+)
 from salesflow.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tests.conftest import SF_SMALL as SF
 
@@ -314,49 +316,6 @@ def test_forward_backward_is_a_gradient(field):
 
 # -- domain score -----------------------------------------------------------
 
-def plain_losses(rows: dict, target: set, order: int) -> dict:
-    from collections import defaultdict
-    counts = [defaultdict(float), defaultdict(float)]
-    words = {i: [w.decode() for w in t.lower().encode().split()] for i, t in rows.items()}
-    steps = lambda w: [("^" * order + w + " ")[at:at + order] for at in range(1, len(w) + 2)]
-    for i, ws in words.items():
-        for w in ws:
-            for g in steps(w):
-                for n in range(1, order + 1):
-                    counts[1][g[-n:]] += 1
-                    counts[0][g[-n:]] += i in target
-    size = len([g for g in counts[1] if len(g) == 1])
-    follow = [defaultdict(list), defaultdict(list)]
-    for m in (0, 1):
-        for g, c in counts[m].items():
-            if c:
-                follow[m][len(g), g[:-1]].append(c)
-
-    def p(m, g):
-        low = 1 / size if len(g) == 1 else p(m, g[1:])
-        seen = follow[m][len(g), g[:-1]]
-        return (counts[m][g] + len(seen) * low) / (sum(seen) + len(seen)) if seen else low
-    out = {}
-    for i, ws in words.items():
-        grams = [g for w in ws for g in steps(w)]
-        out[i] = [-np.mean([np.log(p(m, g)) for g in grams]) if grams else None for m in (0, 1)]
-    return out
-
-
-@pytest.mark.parametrize("block_rows", [1_000_000, 700])
-def test_domain_score(spark, texts, block_rows):
-    rows = {i: texts[i][:2000] for i in sorted(texts)[:25]} | {800: "", 801: "\x02 tab\tÉté"}
-    target = set(sorted(rows)[:8])
-    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    ids = spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")
-    want = plain_losses(rows, target, 3)
-    for r in domain_score.score_rows(frame, ids, order=3, block_rows=block_rows).collect():
-        if want[r.doc_id][0] is None:
-            assert r.n_tokens == 0 and r.score is None
-        else:
-            assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id])
-
-
 def plain_word_losses(rows: dict, target: set, order: int) -> dict:
     from collections import Counter
     words = {i: ["^"] * (order - 1) + [w.decode() for w in (t or "").lower().encode().split()] for i, t in rows.items()}
@@ -392,6 +351,32 @@ def test_domain_score_of_words(spark, texts, order):
     assert abs(scores[802] - scores[803]) > 1e-3 and scores[802] == pytest.approx(scores[804])
 
 
+@pytest.mark.parametrize("options", [
+    {"frequent": 5}, {"frequent": 0, "bucket_tokens": 40}, {"block_bytes": 300, "bucket_tokens": 25},
+    {"frequent": 40, "block_bytes": 700, "bucket_tokens": 15}])
+def test_domain_score_by_packets(spark, texts, options):
+    """Rare words, many buckets, spread contexts and many blocks change nothing."""
+    rows = {i: texts[i][:250] for i in sorted(texts)[:8]} | {
+        800: "", 802: "a b a b a b c a a a", 803: "a " * 60, 804: " ".join(f"a w{i}" for i in range(40))}
+    rows |= {900 + i: "a b c" for i in range(20)}
+    target = {*sorted(rows)[:3], 802, 903}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    want = plain_word_losses(rows, target, 2)
+    got = domain_score.score_words(frame, spark.createDataFrame([(i,) for i in target], "doc_id long"), **options).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        n, near, far = want[r.doc_id]
+        assert r.n_tokens == n
+        assert (r.target_loss, r.background_loss) == ((None, None) if n == 0 else pytest.approx((near, far)))
+
+
+def test_planes():
+    columns = [np.array([0, 1, 300, 1 << 40]), np.array([-1, 5, -(1 << 50), 0])]
+    for n in (4, 0):
+        back = bigram_packets.unpack(bigram_packets.pack([c[:n] for c in columns]), n, 2)
+        assert all((a == b[:n]).all() for a, b in zip(back, columns))
+
+
 def test_domain_query_keeps_its_tables_off_the_driver(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 

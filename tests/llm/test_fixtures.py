@@ -34,7 +34,7 @@ OPERATORS = {
     "lines": line_dedup.line_digests,
     "simhash": simhash.near_duplicates,
     "keep_one": simhash.keep_one,
-    "domain": lambda d: domain_score.score_rows(d, d.select("doc_id").limit(2)),
+    "domain": lambda d: domain_score.score_words(d, d.select("doc_id").limit(2)),
     "chat": lambda d: chat_format.digests(chat_format.format_chats(
         d.selectExpr("doc_id AS conv_id", "n AS turn", "lang AS role", "text"))),
 }
@@ -76,7 +76,7 @@ def test_defined_results(spark):
     assert [r.n_tokens for r in tokens if r.doc_id in (2, 3, 4)] == [1, 1, 1]
     sizes = {r.doc_id: (r.size, r.taken) for r in mixing.mixing_report(docs).collect()}
     assert sizes[2] == (0, 0) and sizes[5][0] == 3
-    scores = {r.doc_id: r for r in domain_score.score_rows(docs, docs.select("doc_id").limit(2)).collect()}
-    assert scores[2].n_tokens == 0 and scores[2].score is None and scores[6].n_tokens == 400_000 * 5 + 4
+    scores = {r.doc_id: r for r in domain_score.score_words(docs, docs.select("doc_id").limit(2)).collect()}
+    assert scores[2].n_tokens == 0 and scores[2].score is None and scores[6].n_tokens == 400_001
     lines = {r.doc_id: r for r in line_dedup.line_digests(docs).collect()}
     assert (lines[2].n_lines, lines[None].n_lines, lines[4].n_lines, lines[1].n_dropped) == (1, 2, 2, 0)
