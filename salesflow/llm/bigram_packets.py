@@ -25,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm._common import as_text, filesystem, materialize, mix64, release, slices
+from salesflow.llm._common import as_text, filesystem, ids_of, materialize, mix64, release, slices
 from salesflow.llm.domain_words import STEP, word_hashes
 
 START = np.uint64(0x5BD1E995A5A5F00D)  # the hash that stands before a text's first word
@@ -73,6 +75,28 @@ def read_table(uri: str) -> pa.Table:
     return pq.read_table(path, filesystem=files)
 
 
+class Chosen:
+    """The ids of target rows, read from their sorted table for the range of the ids asked for."""
+
+    def __init__(self, folder: str):
+        files, path = filesystem(f"{folder}/chosen")
+        self.ids = ds.dataset(path, filesystem=files, schema=pa.schema([("id", pa.int64())]), format="parquet")
+
+    def __call__(self, doc_ids: pa.Array) -> np.ndarray:
+        """0 or 1 for each id; a null id is never a target row's."""
+        out = np.zeros(len(doc_ids), np.int64)
+        if doc_ids.null_count < len(doc_ids):
+            lo, hi = (pc.min_max(doc_ids)[k].as_py() for k in ("min", "max"))
+            own = ids_of(doc_ids)
+            for batch in self.ids.to_batches(filter=(ds.field("id") >= lo) & (ds.field("id") <= hi)):
+                ids = batch.column("id").to_numpy()  # in order within a file
+                if len(ids):
+                    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    out |= ids[at] == own
+            out[doc_ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return out
+
+
 def _longs(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
@@ -116,6 +140,11 @@ class Lexicon:
         out[~known] = self.size + 1 + own
         return out, rare
 
+    def rare_places(self, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket that counts each rare word, and the order in which a block asks for them."""
+        place = _UNIGRAMS + (mix64(rare) % np.uint64(self.buckets)).astype(np.int64)
+        return place, np.argsort(place, kind="stable")
+
     def route(self, before: np.ndarray, keys: np.ndarray, now: np.ndarray) -> np.ndarray:
         """The bucket of each bigram; ``keys`` are the hashes by number."""
         out = (mix64(keys[before]) % np.uint64(self.buckets)).astype(np.int64)
@@ -125,43 +154,44 @@ class Lexicon:
         return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
+def _count_words(folder: str):
+    def flush(held: list) -> None:
         words, target, background = (np.concatenate(c) for c in zip(*held))
         own, at = np.unique(words, return_inverse=True)
         sums = [np.bincount(at, c, minlength=len(own)).astype(np.int64) for c in (target, background)]
         held[:] = [(own, *sums)]
 
-    def out() -> Iterator[pa.RecordBatch]:
-        flush()
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        flush(held)
         words, target, background = held.pop()
         for k in range(0, len(words), 1 << 17):
             now = slice(k, k + (1 << 17))
             yield pa.RecordBatch.from_arrays([pa.array(c[now].view(np.int64)) for c in (words, target, background)],
                                              ["word", "target", "background"])
 
-    for part in slices(batches, "text", BLOCK_BYTES):
-        chosen = np.array([bool(x) for x in part.column("is_target").to_pylist()], np.int64)
-        owner, words = word_hashes(as_text(part.column("text")))
-        if not len(owner):
-            continue
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        held.append((np.r_[words, np.full(len(first), START)], np.r_[chosen[owner], chosen[owner[first]]],
-                     np.ones(len(owner) + len(first), np.int64)))
-        if sum(len(h[0]) for h in held) > 1 << 22:
-            flush()
-            if len(held[0][0]) > 1 << 21:
-                yield from out()
-    if held:
-        yield from out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, held = Chosen(folder), []
+        for part in slices(batches, "text", BLOCK_BYTES):
+            chosen = marks(part.column("doc_id"))
+            owner, words = word_hashes(as_text(part.column("text")))
+            if not len(owner):
+                continue
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            held.append((np.r_[words, np.full(len(first), START)], np.r_[chosen[owner], chosen[owner[first]]],
+                         np.ones(len(owner) + len(first), np.int64)))
+            if sum(len(h[0]) for h in held) > 1 << 22:
+                flush(held)
+                if len(held[0][0]) > 1 << 21:
+                    yield from out(held)
+        if held:
+            yield from out(held)
+    return run
 
 
 def count_words(rows: DataFrame, folder: str, frequent: int) -> None:
     """Write ``frequent`` (word, target, background) and ``totals`` (one row) under ``folder``."""
     counts = materialize(
-        rows.mapInArrow(_count_words, "word long, target long, background long").groupBy("word").agg(
+        rows.mapInArrow(_count_words(folder), "word long, target long, background long").groupBy("word").agg(
             F.sum("target").alias("target"), F.sum("background").alias("background")), f"{folder}/words")
     mark = int(START.astype(np.int64))
     level = F.floor(F.log2("background")).alias("level")
@@ -179,6 +209,16 @@ def count_words(rows: DataFrame, folder: str, frequent: int) -> None:
         F.coalesce(F.sum(F.when(~own, F.col("background"))), F.lit(0)).alias("texts")), f"{folder}/totals")
 
 
+def sorted_entries(before: np.ndarray, now: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+    """The three columns sorted by all of them; as one number each where they fit into 64 bits."""
+    widths = [int(c.max(initial=0)).bit_length() for c in (before, now, owner)]
+    if sum(widths) > 63:
+        by = np.lexsort((owner, now, before))
+        return [before[by], now[by], owner[by]]
+    key = np.sort((before << (widths[1] + widths[2])) | (now << widths[2]) | owner)
+    return [key >> (widths[1] + widths[2]), (key >> widths[2]) & ((1 << widths[1]) - 1), key & ((1 << widths[2]) - 1)]
+
+
 def _packet(block: str, bucket: int, lex: Lexicon, rare: np.ndarray, before, now, background, target) -> tuple:
     ids = np.unique(np.r_[before[before > lex.size], now[now > lex.size]])
     shift = lambda x: np.where(x > lex.size, lex.size + 1 + np.searchsorted(ids, x), x)
@@ -187,38 +227,37 @@ def _packet(block: str, bucket: int, lex: Lexicon, rare: np.ndarray, before, now
 
 
 def _ask(folder: str, block_bytes: int, bucket_tokens: int):
-    def asks(lex: Lexicon, doc_ids: list, texts: list, chosen: list) -> Iterator[pa.RecordBatch]:
+    def asks(lex: Lexicon, doc_ids: list, texts: list, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
         block = uuid.uuid4().hex
         owner, words = word_hashes(texts)
         now, rare = lex.numbers(words)
         keys = np.r_[lex.keys, rare]
         before = np.r_[now[:0], 0, now[:-1]][:len(now)]
         before[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])[:len(now)]] = 0
-        where = lex.route(before, keys, now)
-        by = np.lexsort((owner, now, before, where))
-        owner, now, before, where = owner[by], now[by], before[by], where[by]
+        before, now, owner = sorted_entries(before, now, owner)
         new = np.r_[True, (now[1:] != now[:-1]) | (before[1:] != before[:-1])][:len(now)]
-        entry = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]][:len(now)])
-        n, at = np.diff(np.r_[entry, len(now)]), entry
+        at = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]][:len(now)])
+        n = np.diff(np.r_[at, len(now)])
         owner, step = owner[at], new[at]
         first = np.flatnonzero(step)
-        wanted = np.array(chosen, np.int64)[owner] * n
-        background, target = (np.add.reduceat(c, first) if len(first) else c for c in (n, wanted))
-        before, now, where = before[at[first]], now[at[first]], where[at[first]]
+        background, target = (np.add.reduceat(c, first) if len(first) else c for c in (n, chosen[owner] * n))
+        before, now = before[at[first]], now[at[first]]
+        where = lex.route(before, keys, now)
         # Rare words: how often each occurs in the block.
         counts = np.zeros((2, len(rare)), np.int64)
         for k, c in enumerate((background, target)):
             own = now > lex.size
             counts[k] = np.bincount(now[own] - lex.size - 1, c[own], minlength=len(rare))
-        place = _UNIGRAMS + (mix64(rare) % np.uint64(lex.buckets)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
+        place, order = lex.rare_places(rare)
         files, path = filesystem(f"{folder}/blocks")
         files.create_dir(path)
         with files.open_output_stream(f"{path}/{block}") as sink:
             pq.write_table(pa.table({
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "entries": [len(owner)], "bigrams": [len(now)], "rare": [len(rare)],
-                "texts": [pack([step, owner, n])], "words": [pack([differences(before), now])], "order": [pack([order])],
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "entries": [len(owner)], "bigrams": [len(now)],
+                "texts": [pack([step, owner, n])], "words": [pack([differences(before), now])], "keys": [rare.tobytes()],
             }), sink)
+        by = np.argsort(where, kind="stable")
+        before, now, background, target, where = (c[by] for c in (before, now, background, target, where))
         rows = [(block, -1, 0, b"", b"")]
         cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True][:len(where) + 1]) if len(where) else []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -231,20 +270,19 @@ def _ask(folder: str, block_bytes: int, bucket_tokens: int):
         yield _batch(list(zip(*rows)), _ASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, held, size = None, ([], [], []), 0
+        lex, marks, held, size = None, Chosen(folder), ([], []), 0
         for part in slices(batches, "text", block_bytes):
             lex = lex or Lexicon(folder, bucket_tokens)
             texts = as_text(part.column("text"))
             held[0].extend(part.column("doc_id").to_pylist())
             held[1].extend(texts)
-            held[2].extend(bool(x) for x in part.column("is_target").to_pylist())
             size += sum(map(len, texts))
             if size >= block_bytes:
-                yield from asks(lex, *held)
-                held, size = ([], [], []), 0
+                yield from asks(lex, *held, marks(pa.array(held[0], pa.int64())))
+                held, size = ([], []), 0
                 release()
         if held[0]:
-            yield from asks(lex, *held)
+            yield from asks(lex, *held, marks(pa.array(held[0], pa.int64())))
     return run
 
 
@@ -300,7 +338,8 @@ def _score(folder: str, bucket_tokens: int):
         files, path = filesystem(f"{folder}/blocks/{rows[0]['block']}")
         with files.open_input_file(path) as source:
             own = pq.read_table(source).to_pylist()[0]
-        bigrams, rare = own["bigrams"], own["rare"]
+        bigrams, keys = own["bigrams"], np.frombuffer(own["keys"], np.uint64)
+        rare = len(keys)
         parts = [unpack(r["data"], r["n"], 6) for r in rows if r["n"]]
         numbers = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
         if len(numbers[0]) != bigrams + rare:
@@ -312,7 +351,12 @@ def _score(folder: str, bucket_tokens: int):
                 numbers[c][lo:hi] = np.cumsum(numbers[c][lo:hi])
         before, now = unpack(own["words"], bigrams, 2)
         before = np.cumsum(before)
-        order, = unpack(own["order"], rare, 1)
+        _, order = lex.rare_places(keys)
+        by = np.argsort(lex.route(before, np.r_[lex.keys, keys], now), kind="stable")  # as the questions went out
+        asked = numbers
+        numbers = [np.empty(bigrams, np.int64) for _ in asked]
+        for c, found in zip(numbers, asked):
+            c[by] = found[:bigrams]
         hot = np.flatnonzero((before <= lex.size) & (lex.splits[np.minimum(before, lex.size)] > 0))
         if len(hot):
             table = read_table(f"{folder}/spread")
@@ -324,9 +368,9 @@ def _score(folder: str, bucket_tokens: int):
         losses = []
         for m, model in enumerate(("target", "background")):
             counts = np.empty(rare, np.int64)
-            counts[order] = numbers[m][bigrams:]
+            counts[order] = asked[m][bigrams:]
             low = np.r_[lex.low[m], lex.unigram(model, counts)][now]
-            count, kinds, every = (numbers[c][:bigrams] for c in (m, 2 + m, 4 + m))
+            count, kinds, every = (numbers[c] for c in (m, 2 + m, 4 + m))
             whole = every + kinds
             losses.append(-np.log(np.where(whole > 0, (count + kinds * low) / np.maximum(whole, 1), low)))
         step, owner, n = unpack(own["texts"], own["entries"], 3)
@@ -338,11 +382,16 @@ def _score(folder: str, bucket_tokens: int):
     return run
 
 
-def score(marked: DataFrame, folder: str, frequent: int = FREQUENT_WORDS, block_bytes: int = BLOCK_BYTES,
-          bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss of every row of ``marked`` (doc_id, text, is_target)."""
-    count_words(marked.select("text", "is_target"), folder, frequent)
-    asks = materialize(marked.mapInArrow(_ask(folder, block_bytes, bucket_tokens), _ASK), f"{folder}/asks")
+def score(docs: DataFrame, target_ids: DataFrame, folder: str, frequent: int = FREQUENT_WORDS,
+          block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss of every row of ``docs`` (doc_id, text); ``target_ids``: one column.
+
+    Texts stay where they are: a task reads the target ids in the range of its rows' ids.
+    """
+    chosen = target_ids.toDF("id").select(F.col("id").cast("long")).filter("id IS NOT NULL").distinct()
+    materialize(chosen.orderBy("id"), f"{folder}/chosen")
+    count_words(docs, folder, frequent)
+    asks = materialize(docs.mapInArrow(_ask(folder, block_bytes, bucket_tokens), _ASK), f"{folder}/asks")
     answers = materialize(asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _answer(folder, bucket_tokens), _ANSWER), f"{folder}/answers")
     sums = ("target_kinds", "background_kinds", "target_all", "background_all")

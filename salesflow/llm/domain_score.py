@@ -145,12 +145,11 @@ def losses(counts: DataFrame, order: int, folder: str | None = None) -> DataFram
                         (-F.log("background_low")).alias("background_loss"))
 
 
-def _marked(own: DataFrame, target_ids: DataFrame, folder: str) -> DataFrame:
-    """doc_id, text, is_target of every row; texts move only if the ids' table is too large for Spark to broadcast."""
+def _marked(own: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """text, is_target of every row."""
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("__chosen")).filter("__chosen is not null").distinct()
-    chosen = materialize(chosen, f"{folder}/chosen")  # a table whose size is known
     return own.join(chosen, F.col("doc_id") == F.col("__chosen"), "left").select(
-        "doc_id", "text", F.col("__chosen").isNotNull().alias("is_target"))
+        "text", F.col("__chosen").isNotNull().alias("is_target"))
 
 
 def _emit(order: int):
@@ -181,8 +180,10 @@ def score_words(docs: DataFrame, target_ids: DataFrame, order: int = 2, folder:
     """
     folder = folder or scratch(docs.sparkSession, "domain")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = _marked(own, target_ids, folder)
-    rows = bigram_packets.score(marked, folder, **options) if order == 2 else _joined(own, marked, order, folder)
+    if order == 2:
+        rows = bigram_packets.score(own, target_ids.select("doc_id"), folder, **options)
+    else:
+        rows = _joined(own, _marked(own, target_ids), order, folder)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
