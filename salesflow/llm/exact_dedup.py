@@ -6,17 +6,22 @@ character ``[\\x20\\x09-\\x0D]``. The index is built in two steps:
 1. Every task reduces its own batches first: equal texts of one batch become
    one entry (64-bit key, normalised bytes, row count, best row), so that a
    group holding a third of all rows reaches its owner as one entry a batch.
-2. Entries go by ranges of the key's top bits to owner tasks. Each owner
-   streams its range in key order, chains different texts that share a key and
-   tells them apart by comparing bytes, appends the entries to its data file
-   and writes its directory: buckets over ``bucket_entries`` split on the next
-   key bit, doubling the directory until each fits (entries of one key can't
-   be split and stay together as that bucket's chain).
-
-Owners return the groups of two rows or more; a join on the text's digest then
+2. Entries go by ranges of the key's top bits to owner tasks. Each owner inserts
+   its entries, in any order, into an extendible hash table: the key's low bits
+   choose a directory slot, the slot's bucket is searched for the key, and the
+   entries chained under it are told apart by comparing bytes. A bucket of
+   ``bucket_entries`` entries splits on its next key bit; one that already uses
+   all bits of the directory doubles the directory first (entries of one key
+   can't be split and grow their bucket's chain). Texts are appended to segment
+   files; only the open segment and a cache of bounded size stay in memory, and
+   bytes to compare with are read back from their segment. What an owner holds
+   otherwise is narrow: its number of different texts falls with more ``owners``.
+
+The buckets give the groups of two rows or more; a join on the text's digest then
 gives every row its group. That join's large side is the narrow row table, so
-Spark's skew handling can split a hot group. Files are written under an
-attempt's own name and renamed, so a repeated task is harmless.
+Spark's skew handling can split a hot group. Segments carry an attempt's own
+name, and its directory file, which names them, is renamed when complete, so a
+repeated task is harmless.
 
 Defined cases: a null text is empty; all empty texts are one group; a null
 doc_id counts as the largest id; rows repeating doc_id and text are all marked
@@ -29,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,12 +55,15 @@ ROW_SCHEMA = "doc_id long, points long, sha binary"
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """``owners``: key ranges (and data files), several to a task; ``bucket_entries``: entries that a bucket holds before
-    it splits; ``max_depth``: key bits that an owner's directory may use before a bucket just grows."""
+    """``owners``: key ranges, several to a task; ``bucket_entries``: entries that a bucket holds before it splits;
+    ``max_depth``: key bits that an owner's directory may use before a bucket just grows; ``segment_bytes``: packed texts
+    that a segment file takes before the next is begun (one text at least); ``cache_bytes``: texts kept for comparing."""
 
     owners: int = 256
     bucket_entries: int = 64
     max_depth: int = 20
+    segment_bytes: int = 8 << 20
+    cache_bytes: int = 16 << 20
 
 
 def normalise(text: bytes) -> bytes:
@@ -94,112 +103,200 @@ def _entries(owners: int):
     return run
 
 
-# Entry in a data file: key, keep_id, keep_points, group_size, length of the bytes that follow.
-_HEAD = struct.Struct("<QqqqI")
+class Entry:
+    """One text of an owner: where its bytes lie, and what is known of its rows."""
+
+    __slots__ = ("key", "place", "rows", "points", "doc_id", "sha")
 
+    def __init__(self, key: int, place: tuple[int, int, int, int], rows: int, points: int, doc_id: int):
+        self.key, self.place, self.rows, self.points, self.doc_id = key, place, rows, points, doc_id
+        self.sha: bytes | None = None  # taken when the text turns out to be repeated, while its bytes are at hand
 
-def directory(keys: np.ndarray, prefix_bits: int, options: IndexOptions) -> tuple[int, np.ndarray, np.ndarray]:
-    """Global depth, first entry of each slot's bucket, and each slot's local depth.
 
-    ``keys``: sorted unsigned keys of one owner; bits from the top after
-    ``prefix_bits`` choose the slot. A bucket over its capacity splits by the
-    next bit; the directory doubles when a bucket outgrows its depth.
-    """
-    keys = keys << np.uint64(prefix_bits) if prefix_bits else keys
-    cells: list[tuple[int, int, int]] = []  # local depth, slot prefix, first entry
-    todo = [(0, 0, 0, len(keys))]
-    while todo:
-        depth, prefix, lo, hi = todo.pop()
-        if hi - lo <= options.bucket_entries or depth >= options.max_depth or keys[lo] == keys[hi - 1]:
-            cells.append((depth, prefix, lo))
-            continue
-        middle = lo + int(np.searchsorted(keys[lo:hi], np.uint64((2 * prefix + 1) << (63 - depth))))
-        todo += [(depth + 1, 2 * prefix, lo, middle), (depth + 1, 2 * prefix + 1, middle, hi)]
-    global_depth = max(d for d, _, _ in cells)
-    first, local = np.zeros(1 << global_depth, np.int64), np.zeros(1 << global_depth, np.int8)
-    for depth, prefix, lo in cells:
-        span = 1 << (global_depth - depth)
-        first[prefix * span:(prefix + 1) * span], local[prefix * span:(prefix + 1) * span] = lo, depth
-    return global_depth, first, local
+class Bucket:
+    __slots__ = ("depth", "keys", "entries")
 
+    def __init__(self, depth: int):
+        self.depth, self.keys, self.entries = depth, [], []
 
-class _OwnerFile:
-    """One owner's data and directory, written under a temporary name and renamed when complete."""
+    def add(self, entry: Entry) -> None:
+        self.keys.append(entry.key)
+        self.entries.append(entry)
+
+    def chain(self, key: int) -> list[Entry]:
+        """The entries of this key."""
+        return [e for k, e in zip(self.keys, self.entries) if k == key] if key in self.keys else []
+
+
+class Directory:
+    """Extendible hashing on the low bits of a key: slots point to buckets, and double as buckets outgrow them."""
+
+    def __init__(self, options: IndexOptions):
+        self.options, self.depth = options, 0
+        self.slots = [Bucket(0)]
+
+    def bucket(self, key: int) -> Bucket:
+        return self.slots[key & (len(self.slots) - 1)]
+
+    def insert(self, entry: Entry) -> None:
+        bucket = self.bucket(entry.key)
+        while (len(bucket.keys) >= self.options.bucket_entries and bucket.depth < self.options.max_depth
+               and bucket.keys.count(entry.key) < len(bucket.keys)):
+            self._split(bucket, entry.key)
+            bucket = self.bucket(entry.key)
+        bucket.add(entry)
+
+    def _split(self, bucket: Bucket, key: int) -> None:
+        if bucket.depth == self.depth:
+            self.slots += self.slots
+            self.depth += 1
+        bit = 1 << bucket.depth
+        halves = Bucket(bucket.depth + 1), Bucket(bucket.depth + 1)
+        for entry in bucket.entries:
+            halves[bool(entry.key & bit)].add(entry)
+        for slot in range(key & (bit - 1), len(self.slots), bit):
+            self.slots[slot] = halves[bool(slot & bit)]
+
+    def buckets(self) -> Iterator[Bucket]:
+        """Every bucket once: at the one slot whose number has no bits beyond the bucket's depth."""
+        return (b for slot, b in enumerate(self.slots) if slot < 1 << b.depth)
+
+
+class TextStore:
+    """An attempt's texts in segment files: appended, and read back to compare."""
+
+    def __init__(self, fs, path: str, attempt: str, options: IndexOptions):
+        self.fs, self.base, self.options = fs, f"{path}/{attempt}", options
+        self.segment, self.open = 0, bytearray()
+        self.cached: OrderedDict[tuple, bytes] = OrderedDict()
+        self.cached_bytes = 0
+
+    def append(self, text: bytes) -> tuple[int, int, int, int]:
+        """Segment, position, packed length, length."""
+        packed = pa.compress(text, "lz4", asbytes=True) if text else b""
+        place = self.segment, len(self.open), len(packed), len(text)
+        self.open += packed
+        if len(self.open) >= self.options.segment_bytes:
+            self.flush()
+        return place
+
+    def flush(self) -> None:
+        with self.fs.open_output_stream(segment_name(self.base, self.segment), compression=None) as out:
+            out.write(self.open)
+        self.segment, self.open = self.segment + 1, bytearray()
+
+    def text(self, place: tuple[int, int, int, int]) -> bytes:
+        found = self.cached.get(place)
+        if found is not None:
+            self.cached.move_to_end(place)
+            return found
+        segment, at, packed, _ = place
+        if segment == self.segment:
+            found = unpack(bytes(self.open[at:at + packed]), place)
+        else:
+            found = read_text(self.fs, self.base, place)
+        if len(found) <= self.options.cache_bytes:
+            self.cached[place] = found
+            self.cached_bytes += len(found)
+            while self.cached_bytes > self.options.cache_bytes:
+                self.cached_bytes -= len(self.cached.popitem(last=False)[1])
+        return found
+
+
+def segment_name(base: str, segment: int) -> str:
+    return f"{base}-{segment:06d}.data"
+
+
+def unpack(packed: bytes, place: tuple) -> bytes:
+    return pa.decompress(packed, place[3], "lz4", asbytes=True) if place[3] else b""
+
+
+def read_text(fs, base: str, place: tuple) -> bytes:
+    segment, at, packed, _ = place
+    with fs.open_input_file(segment_name(base, segment)) as source:
+        source.seek(at)
+        return unpack(source.read(packed), place)
+
+
+# Directory file: attempt, depth, number of buckets and of entries; then the bucket of each slot, the first entry of each
+# bucket (and the end), and the entries in bucket order.
+_HEAD = struct.Struct("<32sIQQ")
+_ENTRY = np.dtype([("key", "<u8"), ("segment", "<i8"), ("at", "<i8"), ("packed", "<i8"), ("length", "<i8"),
+                   ("rows", "<i8"), ("points", "<i8"), ("doc_id", "<i8")])
+
+
+class OwnerIndex:
+    """One owner's hash table over its segment files."""
 
     def __init__(self, folder: str, owner: int, options: IndexOptions):
         self.fs, self.path = filesystem(folder)
-        self.owner, self.options = owner, options
-        self.attempt = uuid.uuid4().hex
-        self.data = self.fs.open_output_stream(f"{self.path}/{self.attempt}.data", compression=None)
-        self.keys, self.offsets, self.at = [], [], 0
-
-    def add(self, key: int, norm: bytes, keep_id: int, points: int, rows: int) -> None:
-        packed = pa.compress(norm, "lz4", asbytes=True) if norm else b""
-        self.keys.append(key)
-        self.offsets.append(self.at)
-        self.data.write(_HEAD.pack(key, keep_id, points, rows, len(packed)) + struct.pack("<I", len(norm)) + packed)
-        self.at += _HEAD.size + 4 + len(packed)
+        self.owner, self.attempt = owner, uuid.uuid4().hex
+        self.directory = Directory(options)
+        self.store = TextStore(self.fs, self.path, self.attempt, options)
+
+    def put(self, key: int, norm: bytes, rows: int, points: int, doc_id: int) -> None:
+        """Add rows to the entry of this text, or insert one."""
+        for entry in self.directory.bucket(key).chain(key):
+            if entry.place[3] == len(norm) and self.store.text(entry.place) == norm:
+                entry.rows += rows
+                if (-points, doc_id) < (-entry.points, entry.doc_id):
+                    entry.points, entry.doc_id = points, doc_id
+                break
+        else:
+            entry = Entry(key, self.store.append(norm), rows, points, doc_id)
+            self.directory.insert(entry)
+        if entry.rows > 1 and entry.sha is None:
+            entry.sha = hashlib.sha256(norm).digest()
 
     def close(self) -> None:
-        self.data.close()
-        keys, offsets = np.array(self.keys, np.uint64), np.array(self.offsets + [self.at], np.int64)
-        depth, first, local = directory(keys, 0, self.options)
+        self.store.flush()
+        buckets = list(self.directory.buckets())
+        number = {id(b): i for i, b in enumerate(buckets)}
+        slots = np.array([number[id(b)] for b in self.directory.slots], np.int64)
+        first = np.cumsum([0] + [len(b.keys) for b in buckets]).astype(np.int64)
+        entries = np.array([(e.key, *e.place, e.rows, e.points, e.doc_id) for b in buckets for e in b.entries], _ENTRY)
         with self.fs.open_output_stream(f"{self.path}/{self.attempt}.dir", compression=None) as out:
-            out.write(struct.pack("<IQ", depth, len(keys)))
-            for part in (first, local, keys, offsets):
+            out.write(_HEAD.pack(self.attempt.encode(), self.directory.depth, len(buckets), len(entries)))
+            for part in (slots, first, entries):
                 out.write(part.tobytes())
-        for kind in ("data", "dir"):
-            self.fs.move(f"{self.path}/{self.attempt}.{kind}", f"{self.path}/owner-{self.owner:06d}.{kind}")
+        self.fs.move(f"{self.path}/{self.attempt}.dir", f"{self.path}/owner-{self.owner:06d}.dir")
+
+    def groups(self) -> Iterator[pa.RecordBatch]:
+        """Entries of two rows or more, bucket by bucket."""
+        found = []
+        for bucket in self.directory.buckets():
+            found += [(e.sha, None if e.doc_id == NULL_ID else e.doc_id, e.points, e.rows)
+                      for e in bucket.entries if e.rows > 1]
+            if len(found) > 1 << 14:
+                yield group_batch(found)
+                found = []
+        yield group_batch(found)
+
+
+def group_batch(found: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*found)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])],
+        ["sha", "keep_id", "keep_points", "group_size"])
 
 
 def _own(folder: str, options: IndexOptions):
-    """Stream one owner's entries in key order; several owners may share a task, one after another."""
+    """Insert one owner's entries after another's; several owners may share a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: _OwnerFile | None = None
-        chain: list[list] = []  # different texts of the current key: [norm, rows, points, id]
-        key = None
-        found: list[tuple] = []
-
-        def finish() -> None:
-            for norm, rows, points, doc_id in chain:
-                out.add(key, norm, doc_id, points, rows)
-                if rows > 1:
-                    found.append((hashlib.sha256(norm).digest(), None if doc_id == NULL_ID else doc_id, points, rows))
-            chain.clear()
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*found)) or [[], [], [], []]
-            found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                ["sha", "keep_id", "keep_points", "group_size"])
-
+        index: OwnerIndex | None = None
         for part in slices(batches, "norm", 4 << 20):
             columns = [part.column(c).to_pylist() for c in ("owner", "norm", "rows", "best_points", "best_id")]
             unsigned = part.column("key").to_numpy().view(np.uint64).tolist()
-            for owner, norm, rows, points, doc_id, k in zip(*columns, unsigned):
-                if out is None or owner != out.owner or k != key:
-                    if out is not None:
-                        finish()
-                        if owner != out.owner:
-                            out.close()
-                            out = None
-                    out = out or _OwnerFile(folder, owner, options)
-                    key = k
-                for entry in chain:
-                    if entry[0] == norm:
-                        entry[1] += rows
-                        if (-points, doc_id) < (-entry[2], entry[3]):
-                            entry[2:] = points, doc_id
-                        break
-                else:
-                    chain.append([norm, rows, points, doc_id])
-            if found:
-                yield flush()
-        if out is not None:
-            finish()
-            out.close()
-        yield flush()
+            for owner, norm, rows, points, doc_id, key in zip(*columns, unsigned):
+                if index is None or owner != index.owner:
+                    if index is not None:
+                        index.close()
+                        yield from index.groups()
+                    index = OwnerIndex(folder, owner, options)
+                index.put(key, norm, rows, points, doc_id)
+        if index is not None:
+            index.close()
+            yield from index.groups()
     return run
 
 
@@ -208,7 +305,7 @@ def build_index(docs: DataFrame, folder: str, options: IndexOptions = IndexOptio
     fs, path = filesystem(folder)
     fs.create_dir(path + "/index", recursive=True)
     entries = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_entries(options.owners), ENTRY_SCHEMA)
-    owned = entries.repartition(max(1, options.owners // 4), "owner").sortWithinPartitions("owner", "key")
+    owned = entries.repartition(max(1, options.owners // 4), "owner").sortWithinPartitions("owner")
     return materialize(owned.mapInArrow(_own(folder + "/index", options), GROUP_SCHEMA), folder + "/groups")
 
 
@@ -218,28 +315,20 @@ def probe(folder: str, text: str | None, options: IndexOptions = IndexOptions())
     key = key_of(norm)
     owner = (key >> 32) * options.owners >> 32
     fs, path = filesystem(folder + "/index")
-    base = f"{path}/owner-{owner:06d}"
-    if fs.get_file_info(base + ".dir").type.name != "File":
+    name = f"{path}/owner-{owner:06d}.dir"
+    if fs.get_file_info(name).type.name != "File":
         return None
-    raw = fs.open_input_stream(base + ".dir", compression=None).read()
-    depth, n = struct.unpack_from("<IQ", raw)
-    at = struct.calcsize("<IQ")
-    first = np.frombuffer(raw, np.int64, 1 << depth, at)
-    at += 9 << depth  # skips the local depths too
-    keys = np.frombuffer(raw, np.uint64, n, at)
-    offsets = np.frombuffer(raw, np.int64, n + 1, at + 8 * n)
-    data = fs.open_input_file(base + ".data")
-    for i in range(int(first[key >> (64 - depth) if depth else 0]), n):
-        if int(keys[i]) > key:
-            return None
-        if int(keys[i]) == key:
-            data.seek(int(offsets[i]))
-            block = data.read(int(offsets[i + 1] - offsets[i]))
-            _, keep_id, _, rows, packed = _HEAD.unpack_from(block)
-            size = struct.unpack_from("<I", block, _HEAD.size)[0]
-            stored = block[_HEAD.size + 4:]
-            if (pa.decompress(stored, size, "lz4", asbytes=True) if packed else b"") == norm:
-                return keep_id, rows
+    raw = fs.open_input_stream(name, compression=None).read()
+    attempt, depth, buckets, n = _HEAD.unpack_from(raw)
+    slots = np.frombuffer(raw, np.int64, 1 << depth, _HEAD.size)
+    at = _HEAD.size + slots.nbytes
+    first = np.frombuffer(raw, np.int64, buckets + 1, at)
+    entries = np.frombuffer(raw, _ENTRY, n, at + first.nbytes)
+    bucket = slots[key & ((1 << depth) - 1)]
+    for entry in entries[first[bucket]:first[bucket + 1]]:
+        place = tuple(entry[["segment", "at", "packed", "length"]].tolist())
+        if int(entry["key"]) == key and read_text(fs, f"{path}/{attempt.decode()}", place) == norm:
+            return int(entry["doc_id"]), int(entry["rows"])
     return None
 
 

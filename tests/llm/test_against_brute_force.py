@@ -1,5 +1,6 @@
 """Operators against plain versions of their contracts on the small test tables."""
 
+import hashlib
 import itertools
 import os
 import re
@@ -53,30 +54,55 @@ def test_index_lookup_and_splits(spark, docs, texts, tmp_path):
     assert exact_dedup.probe(folder, "a text that is not there", options) is None
 
 
-def test_chained_collisions(spark, monkeypatch):
+def test_chained_collisions(tmp_path):
     """With one key for all texts, only comparing bytes tells them apart."""
     rows = [(k, owner, norm, n, p, i) for k, owner, norm, n, p, i in
             [(7, 0, b"a", 1, 1, 5), (7, 0, b"b", 1, 1, 4), (7, 0, b"a", 2, 3, 9), (8, 0, b"c", 1, 1, 1)]]
+    assert [r[1:] for r in _owned(rows, str(tmp_path))] == [(9, 3, 3)]
+
+
+def test_directory_doubles():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 500).tolist()
+    index = exact_dedup.Directory(exact_dedup.IndexOptions(bucket_entries=8))
+    for key in keys:
+        index.insert(exact_dedup.Entry(key, (0, 0, 0, 0), 1, 0, key))
+    buckets = list(index.buckets())
+    assert len(index.slots) == 1 << index.depth and max(b.depth for b in buckets) == index.depth > 5
+    assert sorted(k for b in buckets for k in b.keys) == sorted(keys) and max(len(b.keys) for b in buckets) <= 8
+    for key in keys:
+        assert [e.doc_id for e in index.bucket(key).chain(key)] == [key]
+    # entries of one key stay together however many they are, and so do keys that agree in all bits of a full directory
+    index = exact_dedup.Directory(exact_dedup.IndexOptions(bucket_entries=2, max_depth=3))
+    for i, key in enumerate([5] * 9 + [5 + 8, 5 + 16, 4]):
+        index.insert(exact_dedup.Entry(key, (0, 0, 0, 0), 1, 0, i))
+    assert index.depth == 3 and [len(index.bucket(5).chain(k)) for k in (5, 13, 21)] == [9, 1, 1]
+
+
+def _owned(rows, folder, **options):
     import pyarrow as pa
-    import tempfile
-    folder = tempfile.mkdtemp()
     keys, owners, norms, counts, points, ids = zip(*rows)
     batch = pa.RecordBatch.from_arrays(
         [pa.array(owners, pa.int32()), pa.array(keys, pa.int64()), pa.array(norms, pa.binary()),
          *(pa.array(c, pa.int64()) for c in (counts, points, ids))],
         ["owner", "key", "norm", "rows", "best_points", "best_id"])
-    out = [r for b in exact_dedup._own(folder, exact_dedup.IndexOptions())(iter([batch])) for r in b.to_pylist()]
-    assert [(r["keep_id"], r["group_size"]) for r in out] == [(9, 3)]
+    run = exact_dedup._own(folder, exact_dedup.IndexOptions(**options))
+    return sorted((r["sha"], r["keep_id"], r["keep_points"], r["group_size"])
+                  for b in run(iter([batch])) for r in b.to_pylist())
 
 
-def test_directory_doubles():
-    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(1))
-    options = exact_dedup.IndexOptions(bucket_entries=8)
-    depth, first, local = exact_dedup.directory(keys, 0, options)
-    assert len(first) == 1 << depth and local.max() == depth
-    for i, key in enumerate(keys.tolist()):
-        slot = key >> (64 - depth)
-        assert first[slot] <= i < first[slot] + 8
+def test_owner_takes_entries_in_any_order(tmp_path):
+    """Groups come out of the buckets: whatever the order of entries, with small segments, no cache and shared keys."""
+    rng = np.random.default_rng(3)
+    texts = [b"%d " % n * int(n % 50) for n in range(300)]
+    rows = [(zlib.crc32(texts[n]) % 37, 0, texts[n], 1, len(texts[n]), i) for i, n in enumerate(rng.integers(0, 300, 900))]
+    want = {}
+    for _, _, text, n, points, i in rows:
+        size, best = want.get(text, (0, i))
+        want[text] = size + n, best
+    want = sorted((hashlib.sha256(t).digest(), i, len(t), n) for t, (n, i) in want.items() if n > 1)
+    for options in {}, {"bucket_entries": 3}, {"segment_bytes": 100, "cache_bytes": 0, "bucket_entries": 5}:
+        for order in rows, rows[::-1], [rows[j] for j in rng.permutation(len(rows))]:
+            assert _owned(order, str(tmp_path), **options) == want
 
 
 # -- simhash ----------------------------------------------------------------
