@@ -169,26 +169,95 @@ def test_keep_one_with_null_and_shared_ids(spark):
 
 # -- decontamination --------------------------------------------------------
 
-def test_masks_cover_four_substitutions():
-    shapes = [sum(1 << (at + p) for p in m) for m in decontaminate.MASKS for at in range(20 - m[-1])]
-    for gone in itertools.combinations(range(20), 4):
-        pattern = sum(1 << i for i in gone)
-        assert not all(s & pattern for s in shapes)
-
-
-def plain_overlaps(text: str, item: str) -> bool:
+def test_masks_cover_substitutions():
+    for size in range(1, 21):
+        allowed = size - int(np.ceil(0.8 * size - 1e-9))
+        masks = ([tuple(range(size))] if size < 5 else decontaminate.MASKS if size > 7
+                 else decontaminate.MASKS + decontaminate.SHORT_MASKS)
+        shapes = [sum(1 << (at + p) for p in m) for m in masks for at in range(size - m[-1])]
+        for gone in itertools.combinations(range(size), allowed):
+            pattern = sum(1 << i for i in gone)
+            assert not all(s & pattern for s in shapes), (size, gone)
+
+
+def plain_overlaps(text: str, item: str, short_chars: int = 16) -> bool:
     """Every stretch of the text against every stretch of the item."""
-    t, m = ([w for w in map(decontaminate.token, x.split()) if w] for x in (text, item))
-    size = min(len(m), 20)
-    if len(m) < 5 or len(t) < size:
+    t, m = ([w for w in map(decontaminate.token, decontaminate.spaced(x).split()) if w] for x in (text, item))
+    size = min(len(m), len(t), 20)
+    if size < 5 and (not t or not m or t != m and (len(t) < 5 <= len(m) or len("".join(m)) < short_chars)):
         return False
     number = {w: i for i, w in enumerate(m)}
     same = np.array([number.get(w, -1) for w in t])[:, None] == np.array([number[w] for w in m])
-    places = len(t) - size + 1
-    return any((sum(same[k:k + places, b + k].astype(int) for k in range(size)) >= 0.8 * size).any()
+    if size < len(m) and len(t) < len(m) < 5:
+        return False
+    return any((sum(same[k:k + len(t) - size + 1, b + k].astype(int) for k in range(size)) >= 0.8 * size - 1e-9).any()
                for b in range(len(m) - size + 1))
 
 
+def found_overlaps(texts: list[str], items: list[str], **options) -> set:
+    """(text, item) by the seeds, without Spark."""
+    pieces = [(i, *p) for i, x in enumerate(items) for p in decontaminate._pieces(x, 20, 4000) if p[0]]
+    number, totals, chars, tokens = zip(*pieces)
+    table = decontaminate.SeedTable(list(number), list(number), np.concatenate(tokens), np.array([len(t) for t in tokens]),
+                                    np.array(totals), np.array(chars), **options)
+    return {(d, table.uid[i]) for d, i, *_ in decontaminate.overlaps(table, decontaminate.Texts(texts), 0.8)}
+
+
+def test_every_substitution_of_short_stretches():
+    """Lengths 5 to 19, every pattern of substitutions that still counts, as an item inside a text and the other way round."""
+    for size in range(5, 20):
+        words = [f"w{i}" for i in range(size)]
+        allowed = size - int(np.ceil(0.8 * size - 1e-9))
+        for extra in 0, 1:
+            gone = list(itertools.combinations(range(size), allowed + extra))
+            spoilt = [" ".join("other" if i in g else w for i, w in enumerate(words)) for g in gone]
+            inside = [f"some words before {x} and some after it" for x in spoilt]
+            want = set(range(len(gone))) if not extra else set()
+            assert {d for d, _ in found_overlaps(inside, [" ".join(words)])} == want
+            assert {i for _, i in found_overlaps([" ".join(words)], inside)} == want
+
+
+def test_short_and_unspaced_texts():
+    long = [f"v{i}" for i in range(40)]
+    items = [" ".join(long), "photosynthesis chlorophyll", "yes", "Paris, France!", "", "... --", "一二三四五六七八九十",
+             "ab cd ef gh", "electroencephalography", "ภาษาไทยง่ายนิดเดียว"]
+    texts = [" ".join(long[7:22]), " ".join(long[3:8]), " ".join(long[3:7]), "on photosynthesis, chlorophyll and so on",
+             "photosynthesis of chlorophyll", "yes", "yes it is so", "paris france", "to Paris, France!", "", "前文一二三四X六七八九十后文",
+             "三四五六七", "一二三", "ab cd ef gh", "so ab cd ef gh it is", "electroencephalography of it all",
+             "photosynthesis", "พูดว่า ภาษาไทยง่ายนิดเดียว แล้ว", "chlorophyll photosynthesis"]
+    got = found_overlaps(texts, items)
+    assert got == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plain_overlaps(t, x)}
+    assert {(0, 0), (1, 0), (3, 1), (5, 2), (7, 3), (10, 6), (11, 6), (13, 7), (15, 8), (17, 9)} == got
+
+
+def test_settings_that_the_masks_miss(spark):
+    frame = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    items = frame.withColumnRenamed("doc_id", "item_id")
+    for options in {"similarity": 0.7}, {"window": 30}, {"window": 4}, {"block_tokens": 30}:
+        for call in decontaminate.contaminated_pairs, decontaminate.remove_contaminated:
+            with pytest.raises(ValueError):
+                call(frame, items, **options)
+    assert decontaminate.contaminated_pairs(frame, items, window=13, similarity=0.9).count() == 1
+
+
+def test_item_of_a_million_tokens(spark, tmp_path, monkeypatch):
+    """A long item goes into blocks of bounded size, and a pair that several of them show comes out once."""
+    from pyspark.sql import DataFrame
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    words = [f"t{i}" for i in range(1_000_000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "an item of quite a few plain words")], "item_id long, text string")
+    texts = {10: " ".join(words[199_970:200_010]), 11: " ".join(words[:30] + ["x"] * 9 + words[700_000:700_030]),
+             12: " ".join(words[-20:]), 13: " ".join(words[5:24]), 14: "an item of quite a few plain words, really"}
+    docs = spark.createDataFrame([*texts.items(), (10, texts[10])], "doc_id long, text string")
+    folder = f"file://{tmp_path}/blocks"
+    found = decontaminate.contaminated_pairs(docs, items, folder=folder).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == [
+        (10, 1, 1.0), (10, 1, 1.0), (11, 1, 1.0), (12, 1, 1.0), (13, 1, 1.0), (14, 2, 1.0)]
+    sizes = [os.path.getsize(tmp_path / "blocks" / f) for f in os.listdir(tmp_path / "blocks")]
+    assert len(sizes) >= 6 and max(sizes) < 8 * 200_000 + 10_000
+
+
 def test_decontamination(spark, docs, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     words = [r.text.split() for r in items.limit(6).collect()]
