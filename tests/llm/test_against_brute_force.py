@@ -289,6 +289,73 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_features(text: str) -> dict[int, int]:
+    """How often each feature column occurs: 1- to 3-grams of the letters of each word, with its edges as blanks."""
+    out, full = {}, (1 << 64) - 1
+    for word in text.lower().split():
+        word = "".join(c for c in word if c.isalpha())
+        marked = f" {word} "
+        for gram in [*word, *(marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1))] if word else []:
+            h = len(gram)
+            for c in gram:
+                h = (h * 0x100000001B3 + ord(c)) & full
+            h ^= h >> 30
+            h = h * 0xBF58476D1CE4E5B9 & full
+            h ^= h >> 27
+            h = h * 0x94D049BB133111EB & full
+            h ^= h >> 31
+            out[h >> 48] = out.get(h >> 48, 0) + 1
+    return out
+
+
+def test_language_against_plain_version(spark, docs, texts):
+    """Every row's label and score, from a sum over its n-grams one by one."""
+    model = language_id.learned_from(docs)
+    odd = {-1: "", -2: "123 ...", -3: "É", -4: "a1b2c3", -5: "word " * 5000, -6: "ÀÉ\u3000straße\n\tx"}
+    frame = spark.createDataFrame(list((texts | odd).items()), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.classify(frame, model).collect()}
+    for i, text in (texts | odd).items():
+        found = plain_features(text)
+        if not found:
+            assert got[i] == ("und", 0.0)
+            continue
+        logits = sum(n * model.weights[c] for c, n in found.items()) / sum(found.values()) + model.bias
+        p = np.exp((logits - logits.max()) / model.temperature)
+        p /= p.sum()
+        assert got[i][1] == pytest.approx(p.max(), abs=1e-9) and p[model.classes.index(got[i][0])] == pytest.approx(p.max())
+
+
+def test_ftrl_by_single_weights():
+    """The update of one weight at a time, as the published rule states it."""
+    options = language_id.Options(feature_bits=4, passes=2, l1=0.5)
+    rng = np.random.default_rng(5)
+    samples = [(int(rng.integers(3)), np.sort(rng.choice(16, 4, replace=False)), rng.random(4)) for _ in range(60)]
+    z, n = ([[0.0] * 3 for _ in range(16)] for _ in range(2))
+    bias, bias_n = [0.0] * 3, [0.0] * 3
+
+    def weight(f, k):
+        if abs(z[f][k]) <= options.l1:
+            return 0.0
+        return -(z[f][k] - (1 if z[f][k] > 0 else -1) * options.l1) / ((options.beta + n[f][k] ** 0.5) / options.alpha + options.l2)
+
+    for label, at, values in samples * options.passes:
+        w = {(f, k): weight(f, k) for f in at for k in range(3)}
+        logits = [bias[k] + sum(v * w[f, k] for f, v in zip(at, values)) for k in range(3)]
+        whole = sum(np.exp(x) for x in logits)
+        for k in range(3):
+            error = np.exp(logits[k]) / whole - (k == label)
+            for f, v in zip(at, values):
+                g = v * error
+                sigma = ((n[f][k] + g * g) ** 0.5 - n[f][k] ** 0.5) / options.alpha
+                z[f][k] += g - sigma * w[f, k]
+                n[f][k] += g * g
+            bias_n[k] += error * error
+            bias[k] -= options.alpha * error / (options.beta + bias_n[k] ** 0.5)
+    got, got_bias = language_id.ftrl(samples, 3, options)
+    assert np.allclose(got, [[weight(f, k) for k in range(3)] for f in range(16)], atol=1e-9)
+    assert np.allclose(got_bias, bias) and 0 < np.count_nonzero(got == 0) < got.size
+
+
 def test_temperature_flattens_overconfidence():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, 400)
@@ -376,6 +443,46 @@ def test_field_adds_dressed_spans_only(field, texts):
     assert added == 0
 
 
+def dressed_figures(field, texts: list[str], wanted) -> tuple[int, int, int, int]:
+    """(dressed spans found exactly, dressed spans, look-alikes hit, look-alikes) over entities put in other dress."""
+    import random
+    rng, found, real, hit, alike = random.Random(7), 0, 0, 0, 0
+    for text in texts:
+        for kind, a, b in private_spans.base_spans(text):
+            before, after = text[max(0, a - 60):a], text[b:b + 60]
+            if private_spans.base_spans(before) or private_spans.base_spans(after):
+                continue
+            for j, (dress, is_real) in enumerate(private_spans._dresses(kind, text[a:b], rng)):
+                if wanted(kind, j, is_real):
+                    spans = private_spans.find_spans(before + dress + after, field)[1]
+                    exact = (kind, len(before), len(before) + len(dress)) in spans
+                    touched = any(x < len(before) + len(dress) and y > len(before) for _, x, y in spans)
+                    found, real = found + (is_real and exact), real + is_real
+                    hit, alike = hit + (not is_real and touched), alike + (not is_real)
+    return found, real, hit, alike
+
+
+def test_dressed_spans_of_unseen_texts(spark, monkeypatch):
+    """Recall and precision on texts the field wasn't fitted on; then with one spelling of phones left out of the fit."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9@]'")
+    rows = sorted((r.doc_id, r.text) for r in table.select("doc_id", "text").collect())
+    taught, unseen = [t for _, t in rows[::2]][:250], [t for _, t in rows[1::2]][:250]
+    options = private_spans.Options()
+    known = private_spans.fit(private_spans.examples(taught, options), options)
+    found, real, hit, alike = dressed_figures(known, unseen, lambda kind, j, is_real: True)
+    print("unseen texts", found, real, hit, alike)
+    assert real > 200 and found >= 0.97 * real and hit <= 0.03 * alike
+    every = private_spans._dresses
+    monkeypatch.setattr(private_spans, "_dresses", lambda kind, said, rng: [
+        d for j, d in enumerate(every(kind, said, rng)) if (kind, j) != ("phone", 2)])
+    less = private_spans.fit(private_spans.examples(taught, options), options)
+    monkeypatch.setattr(private_spans, "_dresses", every)
+    found, real, _, _ = dressed_figures(less, unseen, lambda kind, j, is_real: (kind, j) == ("phone", 2))
+    _, _, hit, alike = dressed_figures(less, unseen, lambda kind, j, is_real: not is_real)
+    print("spelling left out", found, real, hit, alike)
+    assert real > 20 and hit <= 0.03 * alike
+
+
 def test_forward_backward_is_a_gradient(field):
     """The change of a weight agrees with the slope of the log likelihood, summed over all segmentations."""
     text = "call (509) 555-6973 x"
