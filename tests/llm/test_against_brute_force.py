@@ -31,12 +31,14 @@ def texts(docs):
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+    rows = (t[columns].astype(object).where(t[columns].notna(), None).values.tolist() for t in (got, want))
+    got, want = (sorted(r, key=lambda row: [(v is None, 0 if v is None else v) for v in row]) for r in rows)
+    assert got == want
 
 
 # -- exact dedup ------------------------------------------------------------
