@@ -26,6 +26,15 @@ from salesflow.sources.catalog import DEALER_SHEET_COLUMNS, DEALER_SHEET_SCHEMA,
 # Bump when the derived dealer sheet changes, so stale landing copies are not reused.
 LANDING_VERSION = "v4"
 _LANDING_LOCK = threading.Lock()   # one writer per process while a table lands
+# Test tables of so many rows hold row groups enough for every core: what is derived from them is not landed,
+# so a large table is not dealt out and written again, and a query computes the columns that it reads.
+LAND_BELOW_ROWS = 1 << 22
+# Test table whose rows each source table has, about.
+BASE_TABLES = {
+    "products": "part", "product_categories": "part", "product_category_relationship": "part",
+    "inventory": "lineitem", "users": "customer", "orders": "orders", "order_items": "lineitem",
+    "payments": "orders", "dealer_sheet": "events",
+}
 
 def _cat(*parts: Column) -> Column:
     # `||` semantics: NULL if any part is NULL.
@@ -39,11 +48,12 @@ class FixtureCatalog:
     ``'raw'`` uses the bare ``p_name`` (few distinct values), which makes the
     name join of category sales fan out.
 
-    With ``land=True`` (default) each derived source table is written once as
-    Parquet under the session's shared folder (``landing/...``) and read back
-    from there, the way the operational tables exist as files or database
-    tables for the real job. ``land=False`` keeps every table a lazy plan
-    over the test tables.
+    With ``land=True`` (default) each source table derived from less than
+    ``LAND_BELOW_ROWS`` rows is written once as Parquet under the session's
+    shared folder (``landing/...``) and read back from there, the way the
+    operational tables exist as files or database tables for the real job.
+    Larger ones, and with ``land=False`` all, are lazy plans over the test
+    tables.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, product_names: str = "unique",
@@ -79,7 +89,7 @@ class FixtureCatalog:
 
     # -- raw test tables ---------------------------------------------------
     def land_all(self) -> None:
-        """Land every source table now (otherwise each lands on first use)."""
+        """Land every source table that lands now (otherwise each lands on first use)."""
         for name in SOURCE_TABLES:
             self.table(name)
 
@@ -97,9 +107,13 @@ class FixtureCatalog:
         if not hasattr(self, f"_t_{name}"):
             raise KeyError(f"unknown source table {name!r}")
         if name not in self._tables:
-            self._tables[name] = self.landed(name) if self.land else self.derive(name)
+            self._tables[name] = self.landed(name) if self.lands(name) else self.derive(name)
         return self._tables[name]
 
+    def lands(self, name: str) -> bool:
+        """Whether a source table is landed; the rows are counted from the footers of the test table's files."""
+        return self.land and self.raw(BASE_TABLES[name]).count() < LAND_BELOW_ROWS
+
     def derive(self, name: str) -> DataFrame:
         """The source table as a plan over the test tables."""
         return getattr(self, f"_t_{name}")()
