@@ -18,7 +18,10 @@ is encoded once per filling of a worker's bounded cache; this gives the ids of t
 tokenizers whose tokens don't reach across white space, and ``whole=True``
 encodes whole texts for any other. Where the tokenizer marks word ends, and
 probes of all Latin-1 letters show that it folds case and splits off a closing
-stop or comma, such words are encoded once by their lower-cased letters.
+stop or comma, such words are encoded once by their lower-cased letters; so are
+words before any other run of marks for which the same probes hold. Words of
+lower-case letters skip the tokenizer's folding and cutting if probes show that
+these leave them as they are.
 
 Shard files are written under an attempt's own name and renamed, so a repeated
 task is harmless. Defined cases: a null text is empty (it holds the end id
@@ -41,6 +44,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,7 +110,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---------------------------------------------------------------------------
 
 _MARKS = ".,"
+_TAIL_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may begin an ending
+_TAIL_CHARS, _TAILS = 16, 1000  # longest run of marks, and most of them, that are encoded apart from words
 _TEXT_END = "\n"  # stands for the end id; texts are cut at line ends, so no piece is one
+_BETWEEN = f" {_TEXT_END} "
 
 
 class _Numbered(dict):
@@ -129,6 +136,7 @@ class Encoder:
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.end_id, self.whole = end_id, whole
         self.word_ends = None if whole else self._word_ends()
+        self.plain = self._plain(tokenizer_path) if self.word_ends is not None else self.tokenizer
         self.forget()
 
     def forget(self) -> None:
@@ -176,20 +184,48 @@ class Encoder:
         ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith(suffix)
-        marks = [plain(m) for m in _MARKS]
-        if any(len(m) != 1 for m in marks):
-            return None
-        for c in filter(str.isalpha, map(chr, range(256))):
-            word = plain("a" + c)
-            if word != plain("A" + c.lower()) or ends[word].sum() != 1 or not ends[word[-1]] or \
-                    any(plain("a" + c + m) != word + i for m, i in zip(_MARKS, marks)):
+        self.letters = list(filter(str.isalpha, map(chr, range(256))))
+        self.words = ["a" + c for c in self.letters]
+        self.word_ids = [plain(w) for w in self.words]
+        for c, word in zip(self.letters, self.word_ids):
+            if word != plain("A" + c.lower()) or ends[word].sum() != 1 or not ends[word[-1]]:
                 return None
-        self.mark_ids = np.array([0] + [m[0] for m in marks], self.dtype)
-        return ends
+        self.tails = {"": 0}  # number of each run of marks that may follow a word; 0: such words are encoded whole
+        self.tail_ids = [np.empty(0, self.dtype)]
+        return ends if all(map(self._tail, _MARKS)) else None
+
+    def _tail(self, marks: str) -> int:
+        """Number of a run of marks whose ids follow those of any word of Latin-1 letters; 0 if it has none."""
+        found = self.tails.get(marks)
+        if found is None:
+            if len(marks) > _TAIL_CHARS or len(self.tails) >= _TAILS:
+                return 0
+            ids, *both = [e.ids for e in self.tokenizer.encode_batch(
+                [marks] + [w + marks for w in self.words], add_special_tokens=False)]
+            found = self.tails[marks] = len(self.tail_ids) if ids and both == [w + ids for w in self.word_ids] else 0
+            if found:
+                self.tail_ids.append(np.array(ids, self.dtype))
+        return found
+
+    def _plain(self, tokenizer_path: str):
+        """The tokenizer without its folding and cutting, if words of lower-case letters get the same ids; else itself."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        lower = [c.lower() for c in self.letters]
+        probe = " ".join(["a" + c for c in lower] + ["".join(lower), "".join(lower[::-1]) * 4])
+        want = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        blanks = pre_tokenizers.WhitespaceSplit()
+        raw = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for cut in pre_tokenizers.Sequence([blanks, raw]), blanks:
+            other = Tokenizer.from_file(tokenizer_path)
+            other.normalizer, other.pre_tokenizer = None, cut
+            if other.encode(probe, add_special_tokens=False).ids == want:
+                return other
+        return self.tokenizer
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids on end and their number for words of letters; None if the word ends don't come out."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         last = np.flatnonzero(self.word_ends[ids])
         if len(last) != len(words) or len(ids) and last[-1] != len(ids) - 1:
             return None
@@ -210,13 +246,15 @@ class Encoder:
         new: dict[str, int] = {}
         # Of each piece: number of its word among the known (below ``before``), then the new ones; -1: no such word.
         base_of, mark_of = [], []
-        known, seen = self.known.get, new.setdefault
+        known, seen, tail = self.known.get, new.setdefault, self._tail
         for piece in pieces:
             mark = 0
             word = piece
             if not piece.isalpha():
-                mark = _MARKS.find(piece[-1:]) + 1 if piece else 0
-                word = piece[:-1] if mark else ""
+                word = piece.rstrip(_TAIL_MARKS)
+                mark = tail(piece[len(word):])
+                if not mark:
+                    word = ""
             if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
                 word = word.lower()
                 n = known(word, before)
@@ -241,11 +279,14 @@ class Encoder:
         source_lengths = np.r_[self.lengths[:before], counts]
         source_starts = np.r_[self.starts[:before], self.used + np.cumsum(counts) - counts]
         own = source_lengths[base]
-        lengths = own + (mark > 0)
+        tail_lengths = np.array(list(map(len, self.tail_ids)), np.int64)
+        closing = tail_lengths[mark]
+        lengths = own + closing
         ends = np.cumsum(lengths)
         out = np.empty(int(lengths.sum()), self.dtype)
         out[ragged(ends - lengths, own)] = source[ragged(source_starts[base], own)]
-        out[ends[mark > 0] - 1] = self.mark_ids[mark[mark > 0]]
+        tail_starts = np.cumsum(tail_lengths) - tail_lengths
+        out[ragged(ends - closing, closing)] = np.concatenate(self.tail_ids)[ragged(tail_starts[mark], closing)]
         self._store(before, out, lengths)
         return True
 
@@ -254,23 +295,22 @@ class Encoder:
         if self.whole:
             each = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.array([i for e in each for i in e], self.dtype), np.array(list(map(len, each)), np.int64)
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            before = len(words)
-            words += text.replace("\n", " ").split(" ")
-            words.append(_TEXT_END)
-            counts.append(len(words) - before)
+        # Arrow cuts the texts and finds the distinct pieces, so that each is looked up once here.
+        words = pc.split_pattern(pa.array(["".join([t.replace("\n", " ") + _BETWEEN for t in texts])[:-1]]), " ")
+        words = words.flatten().dictionary_encode()
         if len(self.known) > CACHE_PIECES:
             self.forget_rare()
         before = len(self.known)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        pieces = words.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
+        place = number[words.indices.to_numpy()]
         if len(self.known) > before:
             self._learn(before)
         self.uses[:len(self.known)] += np.bincount(place, minlength=len(self.known))
         lengths = self.lengths[place]
         ids = self.flat[ragged(self.starts[place], lengths)]
-        return ids, np.add.reduceat(lengths, np.cumsum([0] + counts[:-1]))
+        ends = np.cumsum(lengths)[place == self.known[_TEXT_END]]
+        return ids, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=1)

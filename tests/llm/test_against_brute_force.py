@@ -391,6 +391,22 @@ def test_whole_texts_and_cache_refills(texts, monkeypatch):
         assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
+def test_words_before_runs_of_marks(monkeypatch):
+    texts = ["Heat*** heat%%% the.,&&& Straße!? x<|", "", "heat\nÉTÉ... heat*** (a) _b_ c\\", "heat*** Don't 3. a'b* ét\u0301*"]
+    cut, whole = token_files.Encoder(tokenizer_path(), 2), token_files.Encoder(tokenizer_path(), 2, whole=True)
+    assert cut.plain is not cut.tokenizer and cut.plain.normalizer is None
+    apart = []
+    encode = cut._encode_pieces
+    monkeypatch.setattr(cut, "_encode_pieces", lambda pieces: apart.extend(pieces) or encode(pieces))
+    for some in [texts[:1], texts[1:3], texts[3:], texts]:
+        a, b = cut(some), whole(some)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    assert apart == ["", "(a)", "_b_", "Don't", "3.", "a'b*", "ét\u0301*"]
+    monkeypatch.setattr(token_files, "_TAILS", 0)  # no run of marks is looked at any more
+    rare = ["heat#### c~", "ab****" + "*" * 20]
+    assert cut(rare)[0].tolist() == whole(rare)[0].tolist() and apart[-3:] == ["heat####", "c~", "ab****" + "*" * 20]
+
+
 @pytest.mark.parametrize("top", [1, 255, 256, 70_000, 1 << 25, (1 << 32) - 1])
 def test_pack(top):
     values = np.random.default_rng(top).integers(0, top, 1003, endpoint=True).astype(np.uint32)
