@@ -1,12 +1,14 @@
 """Monthly snapshot tables: cleaned tables appended under a ``report_month`` tag.
 
 Layout of a table: ``data/report_month=.../batch_id=...`` holds Parquet files,
-``commits`` one row for each batch that was published (version, month, batch,
-action, rows, schema). A write puts a new batch aside and then publishes it by
-adding its row to ``commits``; readers see published batches only. So a write
-that fails, or a job that is run again after a lost driver, changes nothing
-that can be read, and a month is replaced in one step, also from a frame that
-reads the same table.
+``_log/commits`` one row for each batch that was published (version, month,
+batch, action, rows, schema); ``_log`` is hidden from a plain read of the
+folder, and tables that an older release wrote hold part of it in ``commits``.
+A write puts a new batch aside and then publishes it by adding its row to
+``_log/commits``; readers see published batches only. So a write that fails,
+or a job that is run again after a lost driver, changes nothing that can be
+read, and a month is replaced in one step, also from a frame that reads the
+same table.
 
 The history is never overwritten by default: appending a month twice keeps
 both batches, as a plain append does. ``replace_month=True`` makes the month
@@ -16,7 +18,7 @@ reads the last batch of each month only, so that a month that was appended
 twice is not counted twice. Batches that a replacement left behind stay on
 disk until housekeeping removes the folders that ``obsolete_batches`` names.
 
-A reader keeps the batches that ``commits`` names by a join on the partition
+A reader keeps the batches that ``_log/commits`` names by a join on the partition
 columns, so Spark prunes the other folders (a month asked for by name is
 pruned at once). Columns whose type differs between batches are reconciled
 batch by batch before the union by name (``drift=True``).
@@ -37,18 +39,19 @@ from pyspark.sql import types as T
 
 MONTH_COLUMN = "report_month"
 BATCH_COLUMN = "batch_id"
+OLD_COMMITS = "commits"  # folder in which an older release published
 COMMIT_SCHEMA = ("version long, report_month string, batch_id string, action string, row_count long, "
                  "data_schema string, committed_at timestamp")
 
 
 def snapshot_schema(data_schema: T.StructType) -> T.StructType:
-    fields = [f for f in data_schema.fields if f.name != MONTH_COLUMN]
+    fields = [f for f in data_schema.fields if f.name not in (MONTH_COLUMN, BATCH_COLUMN)]
     return T.StructType(fields + [T.StructField(MONTH_COLUMN, T.StringType(), True)])
 
 
 def _paths(path: str) -> tuple[str, str]:
     base = path.rstrip("/")
-    return f"{base}/data", f"{base}/commits"
+    return f"{base}/data", f"{base}/_log/commits"
 
 
 # ---------------------------------------------------------------------------
@@ -57,12 +60,14 @@ def _paths(path: str) -> tuple[str, str]:
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """The published batches of a table, replaced ones included; empty before the first."""
-    try:
-        return spark.read.schema(COMMIT_SCHEMA).parquet(_paths(path)[1])
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], COMMIT_SCHEMA)
+    parts = []
+    for folder in (_paths(path)[1], f"{path.rstrip('/')}/{OLD_COMMITS}"):
+        try:
+            parts.append(spark.read.schema(COMMIT_SCHEMA).parquet(folder))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], COMMIT_SCHEMA)
 
 
 def live_batches(spark: SparkSession, path: str, latest: bool = False) -> DataFrame:

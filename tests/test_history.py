@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import os
 
 import pyarrow.parquet as pq
 import pytest
@@ -127,3 +128,14 @@ def test_counts_of_a_run_without_a_scan(spark, tmp_path):
     want = {r.table_name: r.row_count for r in a.load_counts().collect()}
     assert got == {"products": want["products"], "orders": want["all_orders"], "inventory": want["inventory"],
                    "collections": want["collections"]}
+
+
+def test_plain_read_and_older_commits(spark, tmp_path):
+    path, df = f"{tmp_path}/t", spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    write_snapshot(df, path, "202601")
+    assert spark.read.parquet(path).select("id", "v").count() == 2  # the folder of commits is hidden
+    os.rename(f"{path}/_log/commits", f"{path}/commits")  # as an older release wrote it
+    write_snapshot(df, path, "202601")
+    write_snapshot(df, path, "202602", replace_month=True)
+    assert read_snapshot(spark, path, df.schema).count() == 6
+    assert sorted(r.version for r in commits(spark, path).collect()) == [1, 2, 3]
