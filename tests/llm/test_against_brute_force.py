@@ -534,6 +534,63 @@ def test_forward_backward_is_a_gradient(field):
         assert (likelihood(up) - likelihood(down)) / 2e-5 == pytest.approx(change[y, f], abs=1e-4)
 
 
+def digit_texts(n: int, size: int = 1) -> list[str]:
+    """Texts of numbers, entities in plain and other dress, and words."""
+    import random
+    rng = random.Random(n)
+
+    def some():
+        d = "".join(rng.choice("0123456789") for _ in range(20))
+        return rng.choice([f"+{d[:2]} {d[2:5]} {d[5:8]}-{d[8:12]}", f"1.{d[:2]}.{d[2:4]}.9", f"a{d[:2]}@m{d[2]}.example.com",
+                           f"u{d[0]} (at) b.org", d[:rng.randrange(1, 9)], "so it\nsaid ñ² and then went on home"])
+    return [rng.choice([" ", ", ", "."]).join(some() for _ in range(size * rng.randrange(1, 9))) for _ in range(n)]
+
+
+def test_long_region_takes_little_memory():
+    """Its candidates are not all in memory at once, neither to decode nor to fit."""
+    import tracemalloc
+    text = ", ".join(f"a{i}@m.example.com, 10.0.{i % 200}.7 (+1) {i}" for i in range(800))
+    assert len(private_spans.regions(text, 24)) == 1
+    options = private_spans.Options(passes=1)
+    tracemalloc.start()
+    assert private_spans.find_spans(text, private_spans.Field.blank(), options)[1]
+    taught = private_spans.examples([text], options)
+    private_spans.fit(taught, options)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(taught) and peak < 25e6
+
+
+def test_blocks_and_temporary_file_change_nothing(monkeypatch):
+    texts = [*digit_texts(60), *digit_texts(2, 40), "", "9", "@", "1 " * 300]
+    kept, spilled = private_spans.Options(passes=2), private_spans.Options(passes=2, held_tokens=100)
+    field = private_spans.fit(private_spans.examples(texts, kept), kept)
+    spans = [private_spans.find_spans(t, field, kept) for t in texts]
+    assert any(len(every) > len(base) for base, every in spans)
+    for block, options in ((1024, spilled), (50, kept), (5, spilled)):
+        monkeypatch.setattr(private_spans, "_BLOCK", block)
+        again = private_spans.fit(private_spans.examples(texts, options), options)
+        assert (again.weights == field.weights).all() and (again.steps == field.steps).all()
+        assert [private_spans.find_spans(t, field, options) for t in texts] == spans
+
+
+def test_field_is_fitted_on_regions_of_the_sampled_texts(spark):
+    """Rows in the order of their hashes, repeated ones each; of a long text only its regions go to the fit."""
+    import pyarrow as pa
+    prose = "the words of a long text without any mark " * 2000
+    texts = [prose + t + prose for t in digit_texts(40)]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[5]), (None, texts[5]), (90, None), (91, ""), (92, prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = private_spans.Options(passes=1)
+    hashes = docs.selectExpr("xxhash64('sample', doc_id, text) AS h", "text").filter("text rlike '[0-9@]'").collect()
+    want = private_spans.fit(private_spans.examples([t for _, t in sorted(map(tuple, hashes))], options), options)
+    got = private_spans.learn(docs, options)
+    assert (got.weights == want.weights).all() and (got.steps == want.steps).all()
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([texts[0]])], ["h", "row", "text"])
+    cut = [t for b in private_spans._cut(options)(iter([batch])) for t in b.column("text").to_pylist()]
+    assert cut and sum(map(len, cut)) < 1000 and all(t in texts[0] for t in cut)
+
+
 # -- domain score -----------------------------------------------------------
 
 def plain_word_losses(rows: dict, target: set, order: int) -> dict:
